@@ -193,7 +193,7 @@ def pack(pieces: DataFrame, n_buckets: int, size: int = SEQUENCE) -> DataFrame:
     return pieces.groupBy(bucket.alias("bucket")).applyInPandas(run, schema)
 
 
-def op10pack_idsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens; one row for each piece."""
     return packed(table(spark, sf_dir, "documents"))
 
