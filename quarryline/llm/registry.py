@@ -2,8 +2,22 @@
 
 from __future__ import annotations
 
+from quarryline.llm.language_id import op4_language_id
 from quarryline.llm.packing import op10_packing
+from quarryline.llm.quality_rules import op8_quality
+from quarryline.llm.secret_scan import op7_secret_scan
 from quarryline.llm.sentencepiece_codec import op1_sentencepiece
+from quarryline.llm.url_filter import OP6_SQL, op6_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op10_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sentencepiece,
+        op4_language_id,
+        op6_url_filter,
+        op7_secret_scan,
+        op8_quality,
+        op10_packing,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op6_url_filter": OP6_SQL}
