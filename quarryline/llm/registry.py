@@ -7,6 +7,8 @@ from quarryline.llm.packing import op10_packing
 from quarryline.llm.quality_rules import op8_quality
 from quarryline.llm.secret_scan import op7_secret_scan
 from quarryline.llm.sentencepiece_codec import op1_sentencepiece
+from quarryline.llm.spot_signatures import op5_fingerprints
+from quarryline.llm.substring_dedup import op9_substring_dedup
 from quarryline.llm.url_filter import OP6_SQL, op6_url_filter
 
 QUERIES = {
@@ -14,9 +16,11 @@ QUERIES = {
     for f in (
         op1_sentencepiece,
         op4_language_id,
+        op5_fingerprints,
         op6_url_filter,
         op7_secret_scan,
         op8_quality,
+        op9_substring_dedup,
         op10_packing,
     )
 }
