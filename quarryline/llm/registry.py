@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quarryline.llm.language_id import op4_language_id
 from quarryline.llm.near_dedup import op2_near_dedup
+from quarryline.llm.nearest_neighbours import op3_nearest_neighbours
 from quarryline.llm.packing import op10_packing
 from quarryline.llm.quality_rules import op8_quality
 from quarryline.llm.secret_scan import op7_secret_scan
@@ -17,6 +18,7 @@ QUERIES = {
     for f in (
         op1_sentencepiece,
         op2_near_dedup,
+        op3_nearest_neighbours,
         op4_language_id,
         op5_fingerprints,
         op6_url_filter,
