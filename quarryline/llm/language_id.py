@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import bucket_of, chunks, documents, table, text_or_empty
+from quarryline.llm.common import bucket_of, chunks, table, text_or_empty
 
 N_DIMS = 512
 OTHER = 101
@@ -119,7 +119,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc
     names = [*prototypes]
     matrix = np.array([prototypes[k] for k in names], np.float32) if names else None
     dims = matrix.shape[1] if names else N_DIMS
-    rows = documents(df, id_col, text_col) if not keep else df.select(F.col(id_col).alias("doc_id"), text_or_empty(df[text_col]).alias("text"), *(F.col(c) for c in keep))
+    rows = df.select(F.col(id_col).alias("doc_id"), text_or_empty(df[text_col]).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
@@ -140,7 +140,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc
             )
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInArrow(run, ", ".join([f"doc_id {kinds['doc_id']}", "lang_pred string", "score double", *(f"`{c}` {kinds[c]}" for c in keep)]))
+    return rows.mapInArrow(run, ", ".join([f"doc_id {kinds['doc_id']}", "lang_pred string", "score double", *(f"`{c}` {kinds[f'keep_{c}']}" for c in keep)]))
 
 
 def held_out() -> Column:

@@ -289,6 +289,16 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     return docs.select("doc_id", "tid").join(by_text, "tid").select("doc_id", "class_id", "class_size")
 
 
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The row with the smallest id of each class, with all its columns; of repeated rows one."""
+    docs = df.withColumn("_tid", F.xxhash64(text_or_empty(df[text_col])))
+    labels = text_classes(docs.select(F.col("_tid").alias("tid"), text_or_empty(df[text_col]).alias("text")), threshold)
+    copies = docs.select(F.col("_tid").alias("tid"), id_col).groupBy("tid").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))).alias("k"))
+    named = copies.join(labels, "tid", "left").select(F.coalesce("label", "tid").alias("label"), F.struct("k.none", "k.id", "tid").alias("k"))
+    chosen = named.groupBy("label").agg(F.min("k").alias("k")).select(F.col("k.tid").alias("_tid"), F.col("k.id").alias("_id"))
+    return docs.join(chosen, (docs["_tid"] == chosen["_tid"]) & docs[id_col].eqNullSafe(chosen["_id"])).select(docs["_tid"], *(docs[c] for c in df.columns)).dropDuplicates(["_tid", id_col]).select(*df.columns)
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of each document."""
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
