@@ -78,16 +78,22 @@ def keyword_tokens(text: Column) -> Column:
 
 
 def keywords(text: Column, top: int = 10) -> Column:
-    """The most frequent keyword tokens: by count, then integers by value, then first occurrence."""
-    toks = keyword_tokens(text)
-    integer = lambda w: w.rlike("^(0|[1-9][0-9]{0,8})$")
+    """The most frequent keyword tokens: by count, then integers by value, then first occurrence.
+
+    Sorted with their places, equal tokens stand together; a possessive pattern
+    takes each run, so the work is that of a sort.
+    """
+    placed = F.sort_array(F.transform(keyword_tokens(text), lambda w, i: F.concat(w, F.lit(":"), F.lpad(i.cast("string"), 9, "0"))))
+    runs = F.regexp_extract_all(F.array_join(placed, " "), F.lit(r"([^ :]+):[0-9]{9}(?: \1:[0-9]{9})*+"), 0)
+    word = lambda r: F.substring_index(r, ":", 1)
+    integer = lambda r: word(r).rlike("^(0|[1-9][0-9]{0,8})$")
     ranked = F.transform(
-        F.array_distinct(toks),
-        lambda w: F.struct(
-            (-F.size(F.filter(toks, lambda t: t == w))).alias("n"),
-            F.when(integer(w), 0).otherwise(1).alias("kind"),
-            F.when(integer(w), w.try_cast("long")).otherwise(F.array_position(toks, w)).alias("place"),
-            w.alias("word"),
+        runs,
+        lambda r: F.struct(
+            (-F.floor((F.length(r) + 1) / (F.length(word(r)) + 11))).alias("n"),
+            F.when(integer(r), 0).otherwise(1).alias("kind"),
+            F.when(integer(r), word(r).try_cast("long")).otherwise(F.substring(r, F.length(word(r)) + 2, F.lit(9)).cast("long")).alias("place"),
+            word(r).alias("word"),
         ),
     )
     return F.transform(F.slice(F.sort_array(ranked), 1, top), lambda r: r["word"])

@@ -121,7 +121,12 @@ def sort_columns(spec: str) -> list[Column]:
 def facet_counts(df: DataFrame, columns: Sequence[str], most: int = 100) -> DataFrame:
     """field, value and count of the most frequent values of several columns, scalar or array, from one scan."""
     kinds = dict(df.dtypes)
-    each = [F.transform(F.col(c).cast("array<string>") if kinds[c].startswith("array") else F.array(F.col(c).cast("string")), lambda v, c=c: F.struct(F.lit(c).alias("field"), v.alias("value"))) for c in columns]
+
+    def of(c: str) -> Column:
+        values = F.col(c).cast("array<string>") if kinds[c].startswith("array") else F.array(F.col(c).cast("string"))
+        return F.transform(values, lambda v: F.struct(F.lit(c).alias("field"), v.alias("value")))
+
+    each = [of(c) for c in columns]
     rows = df.select(F.explode(F.flatten(F.array_compact(F.array(*each)))).alias("f")).select("f.field", "f.value").where("value is not null")
     counts = rows.groupBy("field", "value").agg(F.count("*").alias("count"))
     return top_per_group(counts, ["field"], [F.desc("count"), F.asc("value")], most)

@@ -1,15 +1,59 @@
-"""Registered queries over the driver's tables, each beside its SQL oracle."""
+"""Registered queries over the tables, each beside its SQL oracle."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.functions import hashing as H
+from quarryline.functions import text as T
+from quarryline.functions import urls as U
+from quarryline.operators import graph as G
+from quarryline.operators import grounding as C
+from quarryline.operators import html as P
+from quarryline.operators import profile as Q
+from quarryline.operators import quality as I
+from quarryline.operators import search as S
+from quarryline.operators import similarity as J
+from quarryline.operators import tagging as X
+from quarryline.sources import readers as R
+from quarryline.sources import sinks as K
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+#: A taxonomy of words that occur in the tables.
+TAXONOMY = {"motion": ("tion", "ation", "ingthe"), "persons": ("thehe", "shethe", "hethe"), "places": ("onthe", "atthe", "inthe", "bythe"), "goods": ("andthe", "ofthe")}
+EVENTS = {"moving": ("tionthe", "onand", "inand"), "meeting": ("hethe", "andhe"), "leaving": ("fromthe", "ouand")}
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+_KSTOP = ", ".join(f"'{w}'" for w in T.KEYWORD_STOPWORDS)
+_GENERIC = ", ".join(f"'{w}'" for w in T.GENERIC_TITLES)
+_GENERIC_WORDS = ", ".join(f"'{w}'" for w in T.GENERIC_WORDS)
+_MACROS = {
+    "NORM": "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))",
+    "ALLTOKS": "list_filter(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '')",
+    "TOKS": f"list_filter(string_split(trim(regexp_replace(lower({{0}}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '' AND t NOT IN ({_STOP}))",
+    "TITLE": "regexp_extract({0}, '<title>([^<]*)</title>', 1)",
+    "HOST": "regexp_replace(regexp_replace(lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^.*@', ''), ':[0-9]*$', '')",
+    "SENTENCE": "regexp_extract({0}, '^([^.\\n]*)', 1)",
+    "JACCARD": "CASE WHEN len({0}) + len({1}) = 0 THEN 1.0 ELSE len(list_intersect({0}, {1})) / (len({0}) + len({1}) - len(list_intersect({0}, {1})))::DOUBLE END",
+}
+
+
+def _sql(template: str) -> str:
+    """The template with %%NAME(argument; argument) replaced by the macros."""
+    while (at := template.find("%%")) >= 0:
+        name, depth = template[at + 2 : template.index("(", at)], 0
+        for end in range(at, len(template)):
+            depth += (template[end] == "(") - (template[end] == ")")
+            if template[end] == ")" and depth == 0:
+                break
+        inner = template[at + len(name) + 3 : end]
+        template = template[:at] + _MACROS[name].format(*(a.strip() for a in inner.split(";"))) + template[end + 1 :]
+    return template
+
 
 def query(sql: str | None = None):
     """Registers a function under its name, with its oracle."""
@@ -17,7 +61,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = sql
+            ORACLE_SQL[f.__name__] = _sql(sql)
         return f
 
     return add
@@ -27,10 +71,368 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _title(html: Column) -> Column:
+    return F.regexp_extract(html, "<title>([^<]*)</title>", 1)
+
+
+def _sentence(text: Column) -> Column:
+    return F.regexp_extract(text, r"^([^.\n]*)", 1)
+
+
+@query("SELECT %%HOST(url) AS host, count(*) AS n FROM pages GROUP BY 1")
+def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").groupBy(U.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
+
+
+@query(r"""
+SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || %%HOST(url) ||
+  CASE WHEN regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) END AS base_url
+FROM pages
+""")
+def page_base_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", U.base_url(F.col("url")).alias("base_url"))
+
+
+@query(r"""
+WITH links AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)href\s*=\s*"([^"]+)"', 1)) AS href FROM pages)
+SELECT page_id, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || href ELSE href END AS link, count(*) AS n
+FROM links GROUP BY ALL
+""")
+def page_out_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = F.array_compact(F.transform(U.hrefs(F.col("html")), lambda h: U.resolve(h, F.col("url"))))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(links).alias("link")).groupBy("page_id", "link").agg(F.count("*").alias("n"))
+
+
+@query(r"""
+WITH links AS (SELECT DISTINCT url, unnest(regexp_extract_all(html, '(?i)href\s*=\s*"([^"]+)"', 1)) AS href FROM pages),
+tokens AS (SELECT %%HOST(url) AS host, %%HOST(url) || '/' || lower(regexp_extract(href, '^/+([^/?#]+)', 1)) AS target FROM links WHERE starts_with(href, '/') AND regexp_extract(href, '^/+([^/?#]+)', 1) <> '')
+SELECT host, target, count(*) AS n FROM tokens GROUP BY ALL
+""")
+def host_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("url", "html")
+    links = F.array_distinct(F.array_compact(F.transform(U.hrefs(F.col("html")), lambda h: U.resolve(h, F.col("url")))))
+    each = pages.select("url", F.explode(links).alias("link")).distinct().select(U.host(F.col("url")).alias("host"), F.explode(U.link_tokens(F.array("link"), None)).alias("target"))
+    return each.where(F.contains("target", F.lit("/"))).groupBy("host", "target").agg(F.count("*").alias("n"))
+
+
 @query("""
-SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)) AS host, count(*) AS n
-FROM pages GROUP BY 1
+WITH t AS (SELECT page_id, %%TITLE(html) AS title FROM pages)
+SELECT page_id, array_to_string(list_sort(list_distinct(%%TOKS(title)[1:12]))[1:5], '_') AS title_key,
+  trim(lower(title)) = '' OR trim(lower(title)) IN (""" + _GENERIC + """) OR (len(%%TOKS(title)) <= 2 AND len(list_filter(%%TOKS(title), lambda t: t NOT IN (""" + _GENERIC_WORDS + """))) = 0) AS generic
+FROM t
+""")
+def page_title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titled = table(spark, sf_dir, "pages").select("page_id", _title(F.col("html")).alias("title"))
+    return titled.select("page_id", T.title_key(F.col("title")).alias("title_key"), T.is_generic_title(F.col("title")).alias("generic"))
+
+
+@query("SELECT doc_id, md5(source || %%SENTENCE(text) || text) AS id FROM documents")
+def doc_fragment_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", H.fragment_id(F.col("source"), _sentence(F.col("text")), F.col("text")).alias("id"))
+
+
+@query(r"""
+WITH toks AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(lower(text), '[^a-z0-9_\s]', ' ', 'g'), '\s+')) AS word, generate_subscripts(string_split_regex(regexp_replace(lower(text), '[^a-z0-9_\s]', ' ', 'g'), '\s+'), 1) AS pos FROM documents),
+n AS (SELECT doc_id, word, count(*) AS n, min(pos) AS pos FROM toks WHERE length(word) > 3 AND word NOT IN (""" + _KSTOP + r""") GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, CASE WHEN regexp_matches(word, '^(0|[1-9][0-9]{0,8})$') THEN 0 ELSE 1 END, CASE WHEN regexp_matches(word, '^(0|[1-9][0-9]{0,8})$') THEN try_cast(word AS BIGINT) ELSE pos END) AS r FROM n)
+SELECT doc_id, r::INTEGER AS rank, word FROM ranked WHERE r <= 10
+""")
+def doc_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.keywords(F.col("text"))).alias("pos", "word")).select("doc_id", (F.col("pos") + 1).alias("rank"), "word")
+
+
+@query("""
+WITH f AS (SELECT 'lang' AS field, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents)
+SELECT field, value, count(*) AS count FROM f WHERE value IS NOT NULL GROUP BY ALL
 """)
-def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1))
-    return table(spark, sf_dir, "pages").groupBy(host.alias("host")).agg(F.count("*").alias("n"))
+def doc_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.facet_counts(table(spark, sf_dir, "documents"), ["lang", "source"])
+
+
+@query("SELECT 'source' AS field, source AS value, count(*) AS count FROM documents WHERE lang = 'en' AND source IS NOT NULL GROUP BY source")
+def doc_facets_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.facet_counts(table(spark, sf_dir, "documents").where(S.facet_filter({"lang": "en"})), ["source"])
+
+
+@query("SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r <= 10")
+def doc_top_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.top_per_group(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), ["source"], [F.desc("n_chars"), F.asc("doc_id")], 10)
+
+
+@query("""
+WITH toks AS (SELECT DISTINCT doc_id, unnest(%%ALLTOKS(text)) AS token FROM documents),
+q AS (SELECT doc_id, 0 AS term, CASE WHEN token = 'station' THEN 1.0 WHEN levenshtein(token, 'station') <= 2 THEN 0.5 END AS q FROM toks
+  UNION ALL SELECT doc_id, 1, CASE WHEN token = 'ther' THEN 1.0 WHEN starts_with(token, 'ther') THEN 0.75 WHEN levenshtein(token, 'ther') <= 1 THEN 0.5 END FROM toks),
+best AS (SELECT doc_id, term, max(q) AS s FROM q WHERE q IS NOT NULL GROUP BY ALL)
+SELECT doc_id, sum(s)::DOUBLE AS text_match FROM best GROUP BY doc_id HAVING count(*) = 2
+""")
+def doc_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.matches(table(spark, sf_dir, "documents"), "doc_id", "station ther", ["text"])
+
+
+@query("""
+WITH d AS (SELECT doc_id, %%SENTENCE(text) AS title FROM documents),
+toks AS (SELECT DISTINCT doc_id, unnest(%%ALLTOKS(title)) AS token FROM d),
+best AS (SELECT doc_id, max(CASE WHEN token = 'tion' THEN 1.0 WHEN levenshtein(token, 'tion') <= 1 THEN 0.5 END)::DOUBLE AS text_match FROM toks GROUP BY doc_id)
+SELECT doc_id, text_match, CASE WHEN contains(lower(title), 'tion') THEN 'exact' ELSE 'partial' END AS match_type
+FROM best JOIN d USING (doc_id) WHERE text_match IS NOT NULL ORDER BY text_match DESC, doc_id LIMIT 10
+""")
+def entity_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), _sentence(F.col("text")).alias("title"), F.lit("").alias("content_text"))
+    hits = docs.join(S.matches(docs, "id", "tion", ("title",), typos=1, prefix=False), "id")
+    kind = F.when(F.contains(F.lower("title"), F.lit("tion")), "exact").otherwise("partial")
+    return S.page_of(hits, [F.desc("text_match"), F.asc("id")], 1, 10).select(F.col("id").alias("doc_id"), "text_match", kind.alias("match_type"))
+
+
+def _hits_sql(words: tuple[str, ...], content: str = "lower(text)") -> str:
+    return "(" + " + ".join(f"contains({content}, '{w}')::INT" for w in words) + ")"
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS category FROM documents WHERE {_hits_sql(ws)} >= 2" for k, ws in TAXONOMY.items()) + ")")
+def doc_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(X.categories(F.col("text"), TAXONOMY)).alias("category"))
+
+
+def _event_sql(words: tuple[str, ...]) -> str:
+    long_ = [w for w in words if len(w) > 6]
+    any_long = " OR ".join(f"contains(lower(text), '{w}')" for w in long_) or "false"
+    return f"({_hits_sql(words)} >= 2 OR ({_hits_sql(words)} = 1 AND ({any_long})))"
+
+
+def _score_sql(words: tuple[str, ...]) -> str:
+    return " + ".join(rf"len(regexp_extract_all(lower(text), '\b{w}\b')) * {2 if len(w) > 6 else 1}" for w in words)
+
+
+@query("WITH e AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS event, {i} AS ord, {_score_sql(ws)} AS score FROM documents WHERE {_event_sql(ws)}" for i, (k, ws) in enumerate(EVENTS.items())) + """)
+SELECT doc_id, count(*) AS events, arg_min(CASE WHEN score > 0 THEN event END, CASE WHEN score > 0 THEN -score * 10 + ord END) AS primary_event FROM e GROUP BY doc_id
+""")
+def doc_life_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = table(spark, sf_dir, "documents").select("doc_id", "text", X.life_events(F.col("text"), EVENTS).alias("events")).where(F.size("events") > 0)
+    return tagged.select("doc_id", F.size("events").cast("long").alias("events"), X.primary_life_event(F.col("text"), F.col("events"), EVENTS).alias("primary_event"))
+
+
+_SITES = "CASE WHEN length(source) % 2 = 0 THEN 'A' ELSE 'B' END"
+_PAIRS = f"""
+WITH d AS (SELECT doc_id, {_SITES} AS site, %%SENTENCE(text) AS title, text FROM documents),
+t AS (SELECT doc_id, site, list_distinct(%%TOKS(title)) AS tt, list_distinct(%%TOKS(text[1:4000])) AS ct FROM d
+  WHERE NOT (trim(lower(title)) = '' OR trim(lower(title)) IN ({_GENERIC}) OR (len(%%TOKS(title)) <= 2 AND len(list_filter(%%TOKS(title), lambda t: t NOT IN ({_GENERIC_WORDS}))) = 0))),
+s AS (SELECT a.doc_id AS a_id, b.doc_id AS b_id, %%JACCARD(a.tt; b.tt) AS ts, %%JACCARD(a.ct; b.ct) AS cs FROM t a, t b WHERE a.site = 'A' AND b.site = 'B'),
+p AS (SELECT a_id, b_id, ts, cs, 0.4 * ts + 0.5 * cs + 0.1 AS score FROM s WHERE 0.4 * ts + 0.5 * cs + 0.1 >= 0.55)
+"""
+
+
+def _documents_as_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    none = F.array().cast("array<string>")
+    return docs.select(
+        F.when(F.length("source") % 2 == 0, "A").otherwise("B").alias("site"), F.col("doc_id").alias("id"), F.concat(F.lit("https://"), "source", F.lit("/")).alias("url"),
+        _sentence(F.col("text")).alias("title"), F.col("text").alias("content_text"), F.lit(None).cast("string").alias("content_html"), none.alias("life_events"), F.array("lang").alias("categories"),
+    )
+
+
+@query(_PAIRS + "SELECT a_id, b_id, round(ts, 3) AS title_sim, round(cs, 3) AS content_sim, round(score, 3) AS score FROM p")
+def doc_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.fragment_pairs(_documents_as_fragments(spark, sf_dir)).select("a_id", "b_id", "title_sim", "content_sim", "score")
+
+
+@query(_PAIRS + """, g AS (SELECT 'https://' || a.source || '/' AS a_page, 'https://' || b.source || '/' AS b_page, count(*) AS match_count, avg(round(score, 3)) AS avg_, max(round(score, 3)) AS max_score,
+  count(DISTINCT a_id) AS a_matched, count(DISTINCT b_id) AS b_matched FROM p JOIN documents a ON a.doc_id = a_id JOIN documents b ON b.doc_id = b_id GROUP BY 1, 2),
+n AS (SELECT 'https://' || source || '/' AS page, count(*) AS n FROM documents GROUP BY 1)
+SELECT a_page, b_page, match_count, round(avg_, 3) AS avg_score, max_score, a_matched, b_matched, x.n AS a_total, y.n AS b_total, round((a_matched / x.n::DOUBLE + b_matched / y.n::DOUBLE) / 2, 3) AS coverage
+FROM g JOIN n x ON x.page = a_page JOIN n y ON y.page = b_page
+""")
+def page_pair_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents_as_fragments(spark, sf_dir)
+    return J.page_overlap(J.fragment_pairs(docs), docs.select("site", "id", "url"))
+
+
+@query("""
+WITH p AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1)
+SELECT a_id::VARCHAR AS a_url, b_id::VARCHAR AS b_url, round(c, 3) AS score FROM p WHERE c >= 0.3
+""")
+def embedding_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    pages = table(spark, sf_dir, "embeddings").select(
+        F.when(F.col("vec_id") % 2 == 0, "A").otherwise("B").alias("site"), F.col("vec_id").cast("string").alias("url"), none.alias("life_events"), F.array(F.col("label").cast("string")).alias("categories"),
+        none.alias("keywords"), none.alias("out_link_tokens"), "embedding",
+    )
+    return J.page_pairs(pages, 0.3, "embedding").select("a_url", "b_url", "score")
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, unnest(%%ALLTOKS(text)) AS token FROM documents), n AS (SELECT doc_id, token, count(*) AS n FROM t GROUP BY ALL),
+v AS (SELECT token, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(token, ''), lambda c: ascii(c)::HUGEINT)),
+  lambda h, c: (((CASE WHEN xor(h::BIGINT, c::BIGINT) >= 2147483648 THEN xor(h::BIGINT, c::BIGINT) - 4294967296 ELSE xor(h::BIGINT, c::BIGINT) END)::DOUBLE * 16777619.0)::HUGEINT % 4294967296 + 4294967296) % 4294967296) AS h
+  FROM (SELECT DISTINCT token FROM n))
+SELECT doc_id, (h % 256)::INTEGER AS bucket, sum(n)::BIGINT AS n FROM n JOIN v USING (token) GROUP BY ALL
+""")
+def hashed_embedding_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text"), False).alias("toks"))
+    return H.bucket_counts(docs, "doc_id", "toks")
+
+
+@query("""
+WITH t AS (SELECT source, %%SENTENCE(text) AS title, doc_id, lang, n_chars FROM documents), m AS (SELECT source, title, count(*) AS n, min(doc_id) AS first FROM t WHERE title <> '' GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, first, title) AS r FROM m)
+SELECT source, count(*) AS fragment_count, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs, sum(n_chars)::BIGINT AS n_chars, any_value(r.title) AS title
+FROM t JOIN r USING (source) WHERE r.r = 1 GROUP BY source
+""")
+def source_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarryline.operators.pages import modal_title
+
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("page_url"), _sentence(F.col("text")).alias("title"), F.lit(None).cast("string").alias("hierarchy_lvl0"), F.col("doc_id").alias("pos"), "lang", "n_chars")
+    sums = docs.groupBy("page_url").agg(F.count("*").alias("fragment_count"), F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("langs"), F.sum("n_chars").alias("n_chars"))
+    return sums.join(modal_title(docs), "page_url").select(F.col("page_url").alias("source"), "fragment_count", "langs", "n_chars", "title")
+
+
+@query("""
+WITH top AS (SELECT source FROM documents GROUP BY source ORDER BY count(*) DESC, source LIMIT 8)
+SELECT 'provider' AS dimension, source AS value, count(*) AS count FROM documents JOIN labels USING (doc_id) WHERE lang = 'en' AND quality = 1 AND source IN (SELECT source FROM top) GROUP BY source
+""")
+def filter_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.array(F.col("quality").cast("string")).alias("life_events"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array("lang").alias("categories"), F.col("source").alias("provider")).join(labels, "doc_id", "left")
+    return S.filter_combinations(docs, {"category": "en", "life_event": "1"})
+
+
+@query("""
+WITH p AS (SELECT c_mktsegment || '-' || c_nationkey AS p_id, (count(*) % 60)::INTEGER AS age, round(avg(c_acctbal))::INTEGER AS income FROM customer GROUP BY c_mktsegment, c_nationkey),
+d AS (SELECT p_partkey AS id, p_size AS min_age, p_size + 10 AS max_age, (p_retailprice * 2)::INTEGER AS min_income, (p_retailprice * 4)::INTEGER AS max_income, p_size % 7 * 15 AS urgency FROM part)
+SELECT p_id, id, 1.0::DOUBLE AS eligibility_score, round(0.5 + CASE WHEN urgency = 0 THEN 50 ELSE urgency END / 100.0 * 0.2, 6)::DOUBLE AS relevance_score
+FROM p JOIN d ON min_age <= age AND max_age >= age AND min_income <= income AND max_income >= income
+""")
+def eligible_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = table(spark, sf_dir, "customer").groupBy("c_mktsegment", "c_nationkey").agg((F.count("*") % 60).cast("int").alias("age"), F.round(F.avg("c_acctbal")).cast("int").alias("income"))
+    none = F.array().cast("array<string>")
+    profiles = profiles.select(F.concat_ws("-", "c_mktsegment", "c_nationkey").alias("id"), "age", "income", none.alias("citizenship"), none.alias("current_life_events"), none.alias("completed_life_events"))
+    docs = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_size").alias("min_age"), (F.col("p_size") + 10).alias("max_age"), F.round(F.col("p_retailprice") * 2).cast("int").alias("min_income"),
+        F.round(F.col("p_retailprice") * 4).cast("int").alias("max_income"), (F.col("p_size") % 7 * 15).alias("urgency_score"), none.alias("required_citizenship"), none.alias("life_events"), none.alias("prerequisite_states"),
+    )
+    found = Q.matched(docs, profiles)
+    return found.select("p_id", "id", Q.eligibility_score().alias("eligibility_score"), F.round(Q.relevance_score(), 6).alias("relevance_score"))
+
+
+def _small_graph(spark: SparkSession) -> DataFrame:
+    """Six events: a chain, two paths to one event, a cycle and a dangling id."""
+    rows = [
+        ("birth", "Birth", [], ["school"], [0, 1], "Family"), ("school", "School", ["birth"], ["study", "work"], [5, 18], "Education"), ("study", "Study", ["school", "birth"], ["work"], [17, 30], "Education"),
+        ("work", "Work", ["study", "school", "gone"], ["retire"], [16, 70], "Work"), ("house", "House", ["work", "loop"], [], [20, 60], "Housing"), ("loop", "Loop", ["house"], ["birth"], [20, 40], None),
+    ]
+    ddl = "id string, event_name string, prerequisites array<string>, next_states array<string>, typical_age_range array<int>, cluster string"
+    return spark.createDataFrame(rows, ddl).withColumns({"frequent_concurrents": F.array().cast("array<string>"), "concurrent_disallowed": F.array().cast("array<string>")})
+
+
+@query("SELECT * FROM (VALUES ('work', 'Work', 1), ('study', 'Study', 2), ('school', 'School', 3), ('birth', 'Birth', 3), ('loop', 'Loop', 1)) AS t(id, event_name, depth)")
+def prerequisite_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.prerequisite_chain(_small_graph(spark), "House").select("id", "event_name", "depth")
+
+
+@query("""
+WITH p AS (SELECT c_custkey AS id, (c_custkey % 70)::INTEGER AS age FROM customer),
+g(id, lo, hi, open_) AS (VALUES ('birth', 0, 1, true), ('school', 5, 18, true), ('study', 17, 30, true), ('work', 16, 70, false), ('house', 20, 60, false), ('loop', 20, 40, false))
+SELECT p.id AS p_id, g.id, round(least(greatest(0.5 + CASE WHEN age BETWEEN lo AND hi THEN 0.3 ELSE -0.01 * least(abs(age - lo), abs(age - hi)) END + 0.2, 0), 1), 6)::DOUBLE AS likelihood
+FROM p JOIN g ON open_ AND hi >= age - 5 AND lo <= age + 10
+""")
+def next_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = F.array(F.lit("birth"), F.lit("school"))
+    profiles = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 70).cast("int").alias("age"), F.array().cast("array<string>").alias("current_life_events"), done.alias("completed_life_events"))
+    return Q.next_events(_small_graph(spark), profiles).select("p_id", "id", F.round("likelihood", 6).alias("likelihood"))
+
+
+@query(r"""
+WITH c AS (SELECT item_id AS claim_id, list_filter(string_split_regex(lower(text), '\s+'), lambda t: length(t) > 3) AS terms, list_distinct(%%TOKS(text)) AS toks FROM benchmark),
+ct AS (SELECT claim_id, unnest(toks) AS token FROM c), dt AS (SELECT DISTINCT doc_id, unnest(%%TOKS(text)) AS token FROM documents),
+h AS (SELECT claim_id, doc_id, count(*) AS n FROM ct JOIN dt USING (token) GROUP BY ALL), top AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY n DESC, doc_id) AS r FROM h),
+o AS (SELECT claim_id, doc_id, len(list_filter(terms, lambda t: contains(' ' || lower(text), t))) / len(terms)::DOUBLE AS rel FROM top JOIN c USING (claim_id) JOIN documents USING (doc_id) WHERE r <= 10 AND len(terms) > 0),
+e AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY rel DESC, doc_id) AS r FROM o WHERE rel > 0.3),
+a AS (SELECT claim_id, count(*) AS n, max(rel) AS top FROM e WHERE r <= 5 GROUP BY 1)
+SELECT c.claim_id, CASE WHEN n IS NULL THEN 'not_found' WHEN n >= 2 AND top > 0.5 THEN 'supported' ELSE 'ambiguous' END AS verdict,
+  round(CASE WHEN n IS NULL THEN 0.0 WHEN n >= 2 AND top > 0.5 THEN least(0.95, top + 0.1 * n) WHEN n = 1 THEN top ELSE 0.5 END, 2)::DOUBLE AS confidence, coalesce(n, 0) AS evidence
+FROM c LEFT JOIN a USING (claim_id)
+""")
+def claim_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content_text"))
+    asked = claims.select("claim_id", F.explode(T.token_set(F.col("claim"))).alias("token"))
+    counts = asked.join(docs.select("id", F.explode(T.token_set(F.col("content_text"))).alias("token")), "token").groupBy("claim_id", "id").agg(F.count("*").alias("n"))
+    hits = S.top_per_group(counts, ["claim_id"], [F.desc("n"), F.asc("id")], 10).join(docs, "id").withColumn("title", F.lit(""))
+    return C.verdicts(claims, C.overlap(claims, hits))
+
+
+@query("SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars FROM documents WHERE source = (SELECT source FROM documents WHERE doc_id = 7) ORDER BY n_chars, doc_id LIMIT 20) WHERE doc_id <> 7")
+def context_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("page_url"), F.col("n_chars").alias("popularity_sort"))
+    return S.context_siblings(docs, 7).select(F.col("id").alias("doc_id"), F.col("popularity_sort").alias("n_chars"))
+
+
+@query("""
+WITH new AS (SELECT user_id, event_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE event_type <> 'view')
+SELECT user_id, event_id, event_type FROM new WHERE r = 1
+UNION ALL SELECT user_id, event_id, event_type FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r = 1 AND user_id NOT IN (SELECT user_id FROM new)
+""")
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    first = S.top_per_group(events, ["user_id"], [F.asc("event_id")], 1)
+    return K.upsert(first, events.where(F.col("event_type") != "view"), "user_id", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE epoch(ts)::BIGINT // 86400 >= (SELECT max(epoch(ts)::BIGINT // 86400) FROM events) - 7 GROUP BY 1")
+def prune_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = table(spark, sf_dir, "events").withColumn("crawl_version", F.datediff("ts", F.lit("1970-01-01").cast("date")))
+    newest = days.agg(F.max("crawl_version").alias("v")).first()["v"]
+    return K.prune(days, newest - 7).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS context, count(*) AS turns FROM conversations GROUP BY conv_id")
+def conversation_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.conversation_context(table(spark, sf_dir, "conversations"))
+
+
+@query("SELECT md5(text) AS value, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS owners FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text")).alias("value"))
+    return I.duplicates(docs, "value", "doc_id").select("value", F.array_join(F.col("owners").cast("array<string>"), ",").alias("owners"))
+
+
+@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def missing_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.missing_references(table(spark, sf_dir, "labels"), "doc_id", table(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id").select("doc_id")
+
+
+@query("SELECT * FROM (VALUES ('title', 'string', NULL, 'missing'), ('n_chars', 'int', 'bigint', 'mismatched'), ('source', NULL, 'string', 'extra'), ('doc_id', NULL, 'bigint', 'extra')) AS t(name, expected, actual, status)")
+def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = spark.createDataFrame([("text", "string"), ("lang", "string"), ("n_chars", "int"), ("title", "string")], "name string, type string")
+    return I.schema_diff(expected, I.schema_frame(table(spark, sf_dir, "documents")))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS w, len(list_filter(string_split_regex(text, '[.!?]+'), lambda s: trim(s, ' ') <> '')) AS s, len(regexp_extract_all(lower(text), '[aeiouy]+')) AS y FROM documents)
+SELECT doc_id, (CASE WHEN w = 0 OR s = 0 THEN 12 ELSE least(greatest(floor(0.39 * w / s::DOUBLE + 11.8 * y / w::DOUBLE - 15.59 + 0.5), 1), 12) END)::INTEGER AS reading_level FROM d
+""")
+def doc_reading_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.reading_level(F.col("text")).alias("reading_level"))
+
+
+@query("""
+WITH t AS (SELECT page_id, lower(%%TITLE(html)) AS title, regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)', 1) AS category FROM pages)
+SELECT page_id, 2 * (CASE WHEN category = 'en' THEN 30 ELSE 0 END + 25) + (contains(title, 'apply') OR contains(title, 'application'))::INT * 15 + (contains(title, 'payment') OR contains(title, 'benefit'))::INT * 15
+  + (contains(title, 'deadline') OR contains(title, 'due') OR contains(title, 'expires'))::INT * 20 + (contains(title, 'emergency') OR contains(title, 'urgent'))::INT * 25 + (contains(title, 'eligibility') OR contains(title, 'qualify'))::INT * 10
+  + (contains(title, 'how to') OR contains(title, 'guide'))::INT * 8 + (contains(title, 'support') OR contains(title, 'help'))::INT * 10 + (contains(title, 'about') OR contains(title, 'information') OR contains(title, 'overview'))::INT * 5 AS score
+FROM t
+""")
+def ranked_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), _title(F.col("html")).alias("title"), F.regexp_extract("url", "^[a-z]+://[^/]*/([a-z]+)", 1).alias("category"), F.lit(None).cast("string").alias("life_event"), F.lit("x").alias("provider"))
+    return C.ranked_content(rows, "en", None, "y").select(F.col("id").alias("page_id"), "score")
+
+
+@query()
+def html_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments of all pages; HTML parsing has no SQL."""
+    return P.fragments(table(spark, sf_dir, "pages"), 1, 1000).select("id", "url", "page_url", "title", "hierarchy_lvl0", "component_type", "reading_level", "popularity_score", "pos")
+
+
+@query()
+def link_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most relevant links of each page."""
+    return R.frontier(table(spark, sf_dir, "pages"), 5).select("url", "link", "score")
