@@ -2,9 +2,9 @@
 
 A spot is an anchor (a very common word); its signature is the anchor and the
 two content words that follow it, anchors between them left out. Of anchors in
-a row the last counts. A text of at most ``SHORT_WORDS`` words, or with less than
+a row the last counts. A text of at most ``SHORT`` characters, or with less than
 one spot in ``SPARSE`` words, also gets a signature for each pair of adjacent words, one of at most
-``TINY_WORDS`` words for each three characters, and one that has none of these one for its
+``TINY`` characters for each three characters, and one that has none of these one for its
 whole self. A signature that a text repeats counts as often: its k-th
 occurrence is an element of its own. The set of the elements' hashes, in
 order, is the fingerprint; likeness is the Jaccard of two sets (1 of two
@@ -40,16 +40,18 @@ ANCHORS = (
     "au", "avec", "dans", "de", "du", "elle", "en", "est", "et", "la", "le", "les", "par", "pas", "pour", "que", "qui", "un", "une",
     "al", "con", "del", "el", "las", "los", "no", "para", "por", "se", "su", "y",
 )
-SHORT_WORDS = 80
-TINY_WORDS = 8
+#: Characters: texts of equal length are treated alike.
+SHORT, TINY = 500, 60
 SPARSE = 8
 RANGE_DOCS = 1024
 MOST_RANGES = 1024
 
 _ANCHOR = "(?:" + "|".join(sorted(ANCHORS, key=lambda w: (-len(w), w))) + ")"
-_RUN = rf" (?:{_ANCHOR} )*({_ANCHOR}) (?=[^ ])"
+# No group repeats without being possessive: Java's matcher would recurse once for each repetition.
+_MARKED = rf" ({_ANCHOR})(?= )"
+_BEFORE_MARKED = " [^ \x02]+\x02(?= [^ \x02]+\x02)"
 _SPOT = "(?=(?<= )([^ \x02]+\x02[^ ]+ [^ ]+) )"
-_EQUAL = "([0-9A-F]{8})(?: \\1)*"
+_EQUAL = "([0-9A-F]{8})(?: \\1)*+"
 _GRAM = "(?s)(?=(...))"
 _PAIR = "(?=(?<= )([^ ]+ [^ ]+) )"
 
@@ -63,7 +65,8 @@ def with_signatures(df: DataFrame, text_col: str = "text", out: str = "hashes")
     words, joined, found, ordered, runs = map(F.col, names)
     padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     df = df.withColumn(names[0], F.regexp_replace(padded, "^ +| +$", " "))
-    spots = F.regexp_extract_all(F.regexp_replace(words, _RUN, " $1\x02"), F.lit(_SPOT), 1)
+    marked = F.regexp_replace(F.regexp_replace(words, _MARKED, " $1\x02"), _BEFORE_MARKED, "")
+    spots = F.regexp_extract_all(F.replace(marked, F.lit("\x02 "), F.lit("\x02")), F.lit(_SPOT), 1)
     # Anchors between the words of a chain go.
     df = df.withColumn(names[1], F.regexp_replace(F.array_join(spots, "\n"), " [^ \x02\n]*\x02", " "))
     n_words = F.char_length(words) - F.char_length(F.translate(words, " ", "")) - 1
@@ -75,8 +78,8 @@ def with_signatures(df: DataFrame, text_col: str = "text", out: str = "hashes")
         F.when(text == "", none).otherwise(
             F.concat(
                 F.when(joined == "", none).otherwise(F.split(joined, "\n")),
-                F.when((n_words <= SHORT_WORDS) | sparse, F.regexp_extract_all(words, F.lit(_PAIR), 1)).otherwise(none),
-                F.when(n_words <= TINY_WORDS, F.regexp_extract_all(F.lower(text), F.lit(_GRAM), 1)).otherwise(none),
+                F.when((F.char_length(text) <= SHORT) | sparse, F.regexp_extract_all(words, F.lit(_PAIR), 1)).otherwise(none),
+                F.when(F.char_length(text) <= TINY, F.regexp_extract_all(F.lower(text), F.lit(_GRAM), 1)).otherwise(none),
             )
         ),
     )
