@@ -32,15 +32,20 @@ def bucket_of(col: str = "doc_id", n: int = 4) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def chunks(batches: Iterable[pa.RecordBatch], text: int = 1, most: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with about ``most`` bytes of text each, and their texts."""
+def slices(batches: Iterable[pa.RecordBatch], text: int = 1, most: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``most`` bytes of text each."""
     for batch in batches:
         col = batch.column(text)
         size = max(1, batch.num_rows and col.nbytes // batch.num_rows)
         step = max(1, most // size)
         for at in range(0, batch.num_rows, step):
-            part = batch.slice(at, step)
-            yield part, part.column(text).to_pylist()
+            yield batch.slice(at, step)
+
+
+def chunks(batches: Iterable[pa.RecordBatch], text: int = 1, most: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches with about ``most`` bytes of text each, and their texts."""
+    for part in slices(batches, text, most):
+        yield part, part.column(text).to_pylist()
 
 
 def checkpoint_folder(spark: SparkSession) -> str:

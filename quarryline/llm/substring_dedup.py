@@ -34,13 +34,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import Memo, chunks, cut, table, text_or_empty
+from quarryline.llm.common import chunks, cut, slices, table, text_or_empty
 
 WINDOW = 50
 #: Words in a minimiser.
@@ -57,11 +58,44 @@ def words_of(text: str) -> list[str]:
     return [w for w in text.translate(_BREAKS).split(" ") if w] if text else []
 
 
-def _hash_words(words: list[str]) -> list[int]:
-    return [int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in words]
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd number modulo 2 ** 64, and of its inverse."""
+    base = 0x9E3779B97F4A7C15
+    inverse = pow(base, -1, 2**64)
+    up, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-_memo = Memo(400_000)
+_BYTES = np.random.default_rng(50).integers(1, 2**63, 256).astype(np.uint64)
+_IS_BREAK = np.zeros(256, bool)
+_IS_BREAK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def _word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of each word of a string column, in order, from its UTF-8 bytes.
+
+    A word's hash is a polynomial in its bytes: the difference of two running
+    sums, shifted to the word's start.
+    """
+    empty = np.empty(0, np.uint64), np.empty(0, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.empty(0, np.uint8)
+    offsets = offsets - offsets[0]
+    if not len(data):
+        return empty
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets] = True
+    inside = ~_IS_BREAK[data]
+    starts, ends = inside.copy(), inside.copy()
+    starts[1:] &= ~inside[:-1] | first[1:-1]
+    ends[:-1] &= ~inside[1:] | first[1:-1]
+    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends)
+    up, down = _powers(1 << max(20, len(data).bit_length()))
+    sums = np.cumsum(_BYTES[data] * up[: len(data)])
+    before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
+    return _mixed((sums[ends] - before) * down[starts]), np.searchsorted(offsets, starts, side="right") - 1
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -90,15 +124,12 @@ def _super_kmers(hashes: np.ndarray, doc: np.ndarray, window: int, size: int) ->
     return first, ends - first + 1, low[first].view(np.int64)
 
 
-def _sketch(texts: list[str], window: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _sketch(column: pa.Array, window: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, place in the row, number of windows, minimiser) of each super-k-mer."""
-    split = [words if len(words := words_of(t)) >= window else [] for t in texts]
-    lengths = np.array([len(w) for w in split], np.int64)
-    flat = [w for words in split for w in words]
-    known = _memo.take(flat, _hash_words)
-    hashes = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
-    first, n, mini = _super_kmers(hashes, np.repeat(np.arange(len(texts)), lengths), window, size)
-    row = np.repeat(np.arange(len(texts)), lengths)[first]
+    hashes, doc = _word_hashes(column)
+    first, n, mini = _super_kmers(hashes, doc, window, size)
+    lengths = np.bincount(doc, minlength=len(column))
+    row = doc[first]
     return row, first - (np.cumsum(lengths) - lengths)[row], n, mini
 
 
@@ -149,8 +180,8 @@ def repeated_spans(df: DataFrame, window: int = WINDOW, minimiser: int = MINIMIS
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches, text=2):
-            row, start, n, mini = _sketch(texts, window, minimiser)
+        for part in slices(batches, text=2, most=1_000_000):
+            row, start, n, mini = _sketch(part.column(2), window, minimiser)
             at = pa.array(row)
             yield pa.record_batch([part.column(0).take(at), part.column(1).take(at), pa.array(mini), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["id", "key", "mini", "start", "n"])
 
