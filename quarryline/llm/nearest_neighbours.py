@@ -34,13 +34,13 @@ from pyspark.sql import functions as F
 
 from quarryline.llm.common import cut, table
 
-K = 16
-TREES = 3
-LEAF = 160
+K = 20
+TREES = 8
+LEAF = 3200
 SAMPLE = 4096
 ITERATIONS = 5
 ENOUGH = 0.02
-BEAM = 80
+BEAM = 160
 ROUNDS = 12
 GROUP = 96
 
@@ -164,10 +164,14 @@ def first_graph(points: DataFrame, sample: np.ndarray, n: int, k: int, trees: in
         for group in _groups(batches):
             if group.num_rows < 2:
                 continue
-            ids, d = group.column(1).to_numpy(), _squares(_matrix(group.column(2)))
-            m = min(k, len(ids) - 1)
-            best = np.argpartition(d, m - 1, axis=1)[:, :m]
-            yield _edges([np.repeat(ids, m)], [ids[best].ravel()], [np.take_along_axis(d, best, 1).ravel()])
+            ids, x = group.column(1).to_numpy(), _matrix(group.column(2))
+            m, norms = min(k, len(ids) - 1), (x * x).sum(1)
+            for at in range(0, len(ids), 256):  # a block of rows against the leaf
+                d = norms[at : at + 256, None] + norms[None] - 2 * (x[at : at + 256] @ x.T)
+                own = np.arange(len(d))
+                d[own, at + own] = np.inf
+                best = np.argpartition(d, m - 1, axis=1)[:, :m]
+                yield _edges([np.repeat(ids[at : at + 256], m)], [ids[best].ravel()], [np.maximum(np.take_along_axis(d, best, 1), 0).ravel()])
 
     found = dealt.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(compare, _EDGE)
     return nearest(found.groupBy("node", "near").agg(F.min("d").alias("d")), k)
