@@ -16,14 +16,17 @@ and a class is a connected component of the links.
 2. Bands of ``ROWS`` registers meet in buckets: at the threshold two texts miss all
    ``BANDS`` with a probability of 3e-5. Equal texts are one node from the start.
 3. Of the texts in buckets with others, shingles that no second one of these
-   texts has are counted. They cannot overlap, which bounds a text's similarity
-   to any other: most texts that share a passage only, or that are edited too
-   far, are out before any comparison, exactly.
+   texts has cannot overlap, which bounds a text's similarity to any other: most
+   texts that share a passage only, or that are edited too far, are out before any
+   comparison, exactly.
 4. In a bucket, the text with the largest share of common shingles is the centre,
    and all others are compared with it (multiset overlap, exactly): as many pairs as
-   texts. Where a bucket still holds several components, pairs across them that
-   the bound allows are compared too. No link between compared texts is lost, and
-   pairs within a component are never listed.
+   texts. Across the components that a bucket still holds, two texts either share
+   a shingle that at most ``RARE`` texts have, and meet by it, or overlap in
+   frequent shingles only, and are compared if there are enough of those. So no link
+   between texts that met in a bucket is lost, pairs within a component are never
+   listed, and texts that differ from their original in ways of their own do not
+   meet each other.
 5. Components by smallest labels and pointer jumping, as Spark joins.
 
 The result has a row for each row of the input: doc_id, class_id (smallest doc_id
@@ -48,6 +51,7 @@ from quarryline.llm.common import Memo, chunks, cut, table, text_or_empty
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
+RARE = 20
 REGISTERS = BANDS * ROWS
 
 _WORD = re.compile(r"\w+")
@@ -241,9 +245,9 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def _possible(a: str, b: str, threshold: float) -> Column:
-    """Whether the common shingles of two texts allow the threshold: their overlap has at least threshold / (1 + threshold) of both sizes."""
-    most = F.least(F.col(f"{a}.common"), F.col(f"{b}.common"))
+def _possible(a: str, b: str, threshold: float, shared: str = "common") -> Column:
+    """Whether so many shared shingles allow the threshold: the overlap has at least threshold / (1 + threshold) of both sizes."""
+    most = F.least(F.col(f"{a}.{shared}"), F.col(f"{b}.{shared}"))
     return most * (1 + threshold) >= threshold * (F.col(f"{a}.n") + F.col(f"{b}.n")) - 1e-6
 
 
@@ -255,24 +259,29 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = cut(keys.join(buckets, "key").select("key", "tid", "n"))
     texts = docs.groupBy("tid").agg(F.first("text").alias("text"))
     bags_ = cut(texts.join(members.select("tid").distinct(), "tid", "left_semi").select("tid", "text").mapInArrow(_vectors, "tid long, bag binary"))
-    # Shingles that only one of these texts has.
-    alone = bags_.mapInArrow(_elements, "tid long, element long").groupBy("element").agg(F.count("*").alias("texts"), F.min("tid").alias("tid")).where("texts = 1")
-    alone = alone.groupBy("tid").agg(F.count("*").alias("alone"))
-    judged = members.distinct().join(alone, "tid", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    # Shingles that one, or few, of these texts have.
+    elements = bags_.mapInArrow(_elements, "tid long, element long")
+    few = elements.groupBy("element").agg(F.count("*").alias("texts")).where(F.col("texts") <= RARE)
+    rare = cut(elements.join(few, "element").select("element", "tid", "texts"))
+    counts = rare.groupBy("tid").agg(F.count("*").alias("rare"), F.count_if(F.col("texts") == 1).alias("alone"))
+    judged = members.distinct().join(counts, "tid", "left").select("key", "tid", "n", *((F.col("n") - F.coalesce(c, F.lit(0))).alias(k) for c, k in (("alone", "common"), ("rare", "frequent"))))
     judged = cut(judged.where(F.col("common") >= threshold * F.col("n") - 1e-6))
     centre = judged.groupBy("key").agg(F.max(F.struct(F.round(F.col("common") / F.col("n"), 3).alias("share"), "n", "tid", "common")).alias("c"))
     centre = centre.select("key", "c.*")
     pairs = judged.alias("x").join(centre.alias("c"), "key").where((F.col("x.tid") != F.col("c.tid")) & _possible("x", "c", threshold))
-    pairs = pairs.select(F.least("x.tid", "c.tid").alias("a"), F.greatest("x.tid", "c.tid").alias("b")).distinct()
+    pairs = cut(pairs.select(F.least("x.tid", "c.tid").alias("a"), F.greatest("x.tid", "c.tid").alias("b")).distinct())
     edges = cut(linked(pairs, bags_, threshold))
     labels = components(edges)
     # Pairs across the components of a bucket.
     named = judged.join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
     split = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("texts")).where("low < high and texts > 2").select("key")
     open_ = cut(named.join(split, "key", "left_semi"))
-    across = open_.alias("x").join(open_.alias("y"), F.expr("x.key = y.key and x.tid < y.tid and x.label <> y.label") & _possible("x", "y", threshold))
-    across = across.select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    further = cut(linked(across, bags_, threshold))
+    apart = F.expr("x.tid < y.tid and x.label <> y.label")
+    alike = open_.alias("x").join(open_.alias("y"), F.expr("x.key = y.key") & apart & _possible("x", "y", threshold, "frequent"))
+    by_rare = rare.where("texts > 1").join(open_.drop("key").distinct(), "tid").select("element", "tid", "n", "common", "label")
+    alike_rare = by_rare.alias("x").join(by_rare.alias("y"), F.expr("x.element = y.element") & apart & _possible("x", "y", threshold))
+    across = alike.select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b")).union(alike_rare.select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b")))
+    further = cut(linked(across.distinct().join(pairs, ["a", "b"], "left_anti"), bags_, threshold))
     if not further.isEmpty():
         labels = components(edges.union(further))
     return labels.select(F.col("node").alias("tid"), "label")
