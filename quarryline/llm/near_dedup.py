@@ -40,13 +40,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import Memo, chunks, cut, table, text_or_empty
+from quarryline.llm.common import chunks, cut, table, text_or_empty
+from quarryline.llm.substring_dedup import powers
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -54,9 +56,9 @@ BANDS, ROWS = 20, 4
 RARE = 20
 REGISTERS = BANDS * ROWS
 
+#: A word, as _words finds it.
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_memo = Memo(400_000)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -65,23 +67,37 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hash_words(words: list[str]) -> list[int]:
-    import xxhash
-
-    return [xxhash.xxh3_64_intdigest(w) for w in words]
+@lru_cache(maxsize=1)
+def _is_word() -> np.ndarray:
+    """Whether a code point is a letter, a digit or an underscore."""
+    return np.array([c == 0x5F or (not 0xD800 <= c < 0xE000 and chr(c).isalnum()) for c in range(0x110000)])
+
+
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of each word, in order: a polynomial in its characters, from running sums over all texts."""
+    low = [t.lower() for t in texts]
+    points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(points):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in low])])
+    first = np.zeros(len(points) + 1, bool)
+    first[offsets] = True
+    inside = _is_word()[points]
+    starts, ends = inside.copy(), inside.copy()
+    starts[1:] &= ~inside[:-1] | first[1:-1]
+    ends[:-1] &= ~inside[1:] | first[1:-1]
+    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends)
+    up, down = powers(1 << max(20, len(points).bit_length()))
+    sums = np.cumsum(_mixed(points.astype(np.uint64) + _MIX) * up[: len(points)])
+    before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
+    return _mixed((sums[ends] - before) * down[starts]), np.searchsorted(offsets, starts, side="right") - 1
 
 
 def shingles(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of each shingle, as often as it occurs."""
-    split = [_WORD.findall(t.lower()) for t in texts]
-    lengths = np.array([len(w) for w in split], np.int64)
-    flat = [w for words in split for w in words]
-    if not flat:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    known = _memo.take(flat, _hash_words)
-    hashes = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
-    doc = np.repeat(np.arange(len(texts)), lengths)
-    at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    hashes, doc = _words(texts)
+    lengths = np.bincount(doc, minlength=len(texts))
+    at = np.arange(len(doc)) - (np.cumsum(lengths) - lengths)[doc]
     starts = np.flatnonzero((at + size <= lengths[doc]) | ((at == 0) & (lengths[doc] < size)))
     left = np.minimum(lengths[doc[starts]] - at[starts], size)
     out = np.zeros(len(starts), np.uint64)
@@ -167,7 +183,7 @@ def band_keys(points: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()  # copies that this task has met already
-    for part, texts in chunks(batches):
+    for part, texts in chunks(batches, most=500_000):
         ids = part.column(0).to_pylist()
         new = [i for i, t in enumerate(ids) if t not in seen and not seen.add(t)]
         if len(seen) > 1_000_000:
@@ -194,7 +210,7 @@ def _numbered(texts: list[str]) -> list[np.ndarray]:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, texts in chunks(batches):
+    for part, texts in chunks(batches, most=500_000):
         yield pa.record_batch([part.column(0), pa.array([v.tobytes() for v in _numbered(texts)], pa.binary())], names=["tid", "bag"])
 
 

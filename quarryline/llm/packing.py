@@ -64,7 +64,7 @@ class ByteBpe:
     else, and for texts that cannot be split, by the tokenizers library.
     """
 
-    def __init__(self, path: str, table_size: int = 400_000):
+    def __init__(self, path: str, table_size: int = 200_000):
         import json
         import os
 

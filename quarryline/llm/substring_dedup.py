@@ -59,7 +59,7 @@ def words_of(text: str) -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of an odd number modulo 2 ** 64, and of its inverse."""
     base = 0x9E3779B97F4A7C15
     inverse = pow(base, -1, 2**64)
@@ -92,7 +92,7 @@ def _word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts[1:] &= ~inside[:-1] | first[1:-1]
     ends[:-1] &= ~inside[1:] | first[1:-1]
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends)
-    up, down = _powers(1 << max(20, len(data).bit_length()))
+    up, down = powers(1 << max(20, len(data).bit_length()))
     sums = np.cumsum(_BYTES[data] * up[: len(data)])
     before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
     return _mixed((sums[ends] - before) * down[starts]), np.searchsorted(offsets, starts, side="right") - 1
