@@ -59,10 +59,10 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def nodes_of(rows: DataFrame, ids: int) -> DataFrame:
     """node (the smallest id), ids (the smallest ones) and vector of each distinct vector."""
-    # The rank's limit is taken in each task before the shuffle.
+    # Repeated rows go first, else they would take the places of other ids. The rank's limit is taken in each task before the shuffle.
     rank = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
-    few = rows.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0))).withColumn("rank", rank).where(F.col("rank") <= 2 * ids)
-    return few.groupBy("vector").agg(F.min("vec_id").alias("node"), F.slice(F.sort_array(F.collect_set("vec_id")), 1, ids).alias("ids")).select("node", "ids", "vector")
+    few = rows.select("vec_id", F.transform("vector", lambda x: x + F.lit(0.0)).alias("vector")).distinct().withColumn("rank", rank).where(F.col("rank") <= ids)
+    return few.groupBy("vector").agg(F.min("vec_id").alias("node"), F.sort_array(F.collect_list("vec_id")).alias("ids")).select("node", "ids", "vector")
 
 
 class _Trees:

@@ -198,3 +198,11 @@ def test_many_equal_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = nearest_neighbours.query_neighbours(df, F.col("vec_id") == 201).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [1, 3, 5, 7, 9, 11, 13, 15, 17, 19] and all(r["score"] == 0 for r in got)
+
+
+def test_repeated_rows_hide_no_ids(spark):
+    """One row that stands 60 times leaves the places of the other ids with its vector."""
+    rows = [(1, [1.0, 2.0])] * 60 + [(i, [1.0, 2.0]) for i in range(2, 9)] + [(9, [4.0, 6.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = nearest_neighbours.query_neighbours(df, F.col("vec_id") == 1).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, 0.0) for i in range(2, 9)] + [(9, 5.0)]
