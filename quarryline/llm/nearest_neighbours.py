@@ -2,14 +2,16 @@
 
 Equal vectors are one node with its smallest ids (no more of them than can be
 asked for). Random projection trees, grown on a bounded sample (``SAMPLE``
-vectors), give every node first neighbours: those in its leaf.
+vectors), give every node first neighbours: those in its leaf. Leaves are small
+(about ``LEAF`` vectors), so only tables of that size are compared pair by pair.
 
 NN-descent then joins neighbours of neighbours. Each edge sends the vector of
 either end to the other, the pivot; at a pivot all that meet are compared, and a
 pair nearer than what one of them has so far becomes a candidate edge. A node
 keeps its ``K`` nearest. Pairs of which both came by old edges are not compared
 again. The neighbours of a pivot with very many are dealt to several groups, none
-is left out. The descent ends when hardly an edge changes.
+is left out. The descent ends when of 1,000 edges less than one changes; each
+change makes an edge shorter, so it ends.
 
 A query starts at its own node and goes on from all of its ``BEAM`` nearest nodes
 that it has not left from yet, by edges of either direction, until there are none. The
@@ -36,12 +38,10 @@ from quarryline.llm.common import cut, table
 
 K = 20
 TREES = 8
-LEAF = 3200
+LEAF = 200
 SAMPLE = 4096
-ITERATIONS = 5
-ENOUGH = 0.02
+ENOUGH = 0.001
 BEAM = 160
-ROUNDS = 12
 GROUP = 96
 
 
@@ -213,13 +213,11 @@ def descend(graph: DataFrame, points: DataFrame, k: int) -> DataFrame:
     return nearest(merged, k)
 
 
-def build(points: DataFrame, sample: np.ndarray, n: int, k: int = K) -> DataFrame:
+def build(points: DataFrame, sample: np.ndarray, n: int, k: int = K, leaf: int = LEAF) -> DataFrame:
     """node, near and d (squared) of the neighbour graph."""
-    graph = cut(first_graph(points, sample, n, k).withColumn("new", F.lit(True)))
-    for _ in range(ITERATIONS):
+    graph = cut(first_graph(points, sample, n, k, leaf=leaf).withColumn("new", F.lit(True)))
+    while graph.where("new").count() > ENOUGH * n * k:
         graph = cut(descend(graph, points, k))
-        if graph.where("new").count() <= ENOUGH * n * k:
-            break
     return graph.select("node", "near", "d")
 
 
@@ -237,7 +235,7 @@ def search(queries: DataFrame, points: DataFrame, graph: DataFrame, beam: int =
 
     rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "node"))
     met = cut(queries.select("query", F.col("start").alias("node"), F.lit(0.0).cast("float").alias("d"), F.lit(False).alias("left")))
-    for _ in range(ROUNDS):
+    while True:
         ranked = met.withColumn("rank", rank)
         going = ranked.where((F.col("rank") <= beam) & ~F.col("left")).select("query", "node")
         onward = going.join(links, "node").select("query", "near").distinct()

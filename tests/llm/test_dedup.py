@@ -206,3 +206,17 @@ def test_repeated_rows_hide_no_ids(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
     got = nearest_neighbours.query_neighbours(df, F.col("vec_id") == 1).orderBy("rank").collect()
     assert [(r["vec_id"], r["score"]) for r in got] == [(i, 0.0) for i in range(2, 9)] + [(9, 5.0)]
+
+
+def test_recall_of_many_leaves(spark):
+    """The table holds many times LEAF vectors, so that the method and no comparison of all pairs is measured."""
+    n = 3000
+    assert n >= 10 * nearest_neighbours.LEAF
+    x = np.random.default_rng(3).normal(size=(n, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in nearest_neighbours.query_neighbours(df, F.col("vec_id") % 100 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    d = ((x[::100, None].astype(float) - x[None]) ** 2).sum(2)
+    want = {q * 100: set(np.argsort(row)[1:11].tolist()) for q, row in enumerate(d)}
+    assert set(got) == set(want) and sum(len(got[q] & want[q]) for q in want) >= 0.9 * 10 * len(want)
