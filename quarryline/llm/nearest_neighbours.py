@@ -15,10 +15,12 @@ change makes an edge shorter, so it ends.
 
 A query starts at its own node and goes on from all of its ``BEAM`` nearest nodes
 that it has not left from yet, by edges of either direction, until there are none. The
-nearest found are ranked by their exact distance on the original vectors.
+nearest found are ranked by their distance on the original vectors.
 
-Building and searching compare half-precision vectors, centred and scaled by the
-sample; the scores are double precision. Recall is measured against brute force by the tests (0.9 is asked
+Building and searching compare the vectors as they are given (single precision if
+the column is, else double), scaled by a power of two, which changes no digit. Distances are
+double precision, of pairs that are kept from the differences themselves, so
+those within a close family and of far outliers are told apart. Recall is measured against brute force by the tests (0.9 is asked
 for). Vectors that are null, zero, or hold null or non-finite components take no
 part, nor do those of another length than the most frequent one and null ids.
 Ties go to smaller ids; repeated rows with one id and vector are one; of a query, rows
@@ -33,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from quarryline.llm.common import cut, table
 
@@ -45,10 +48,6 @@ BEAM = 160
 GROUP = 96
 
 
-def _half(v: np.ndarray) -> bytes:
-    return v.astype(np.float16).tobytes()
-
-
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id and vector (double) of the rows that take part."""
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")).where("vec_id is not null and size(vector) > 0")
@@ -97,24 +96,29 @@ class _Trees:
             yield at
 
 
-def _matrix(column: pa.Array, kind: type = np.float16) -> np.ndarray:
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The vectors; the first byte of each tells their kind."""
     parts = column.to_pylist()
-    return np.frombuffer(b"".join(parts), kind).reshape(len(parts), -1).astype(np.float32)
+    kind = np.float32 if parts[0][:1] == b"f" else np.float64
+    return np.frombuffer(b"".join(p[1:] for p in parts), kind).reshape(len(parts), -1).astype(np.float64)
 
 
 def _squares(x: np.ndarray) -> np.ndarray:
-    n = (x * x).sum(1)
-    d = n[:, None] + n[None] - 2 * (x @ x.T)
+    """Squared distances, from differences: norms less products would lose those of a close family."""
+    d = np.empty((len(x), len(x)))
+    for i in range(len(x)):
+        y = x - x[i]
+        d[i] = np.einsum("ij,ij->i", y, y)
     np.fill_diagonal(d, np.inf)
-    return np.maximum(d, 0)
+    return d
 
 
-_EDGE = "node long, near long, d float"
+_EDGE = "node long, near long, d double"
 
 
 def _edges(node: list, near: list, d: list) -> pa.RecordBatch:
     join = lambda parts, kind: pa.array(np.concatenate(parts).astype(kind) if parts else np.empty(0, kind))
-    return pa.record_batch([join(node, np.int64), join(near, np.int64), join(d, np.float32)], names=["node", "near", "d"])
+    return pa.record_batch([join(node, np.int64), join(near, np.int64), join(d, np.float64)], names=["node", "near", "d"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -146,32 +150,29 @@ def bounded_sample(nodes: DataFrame, n: int) -> np.ndarray:
 
 
 def first_graph(points: DataFrame, sample: np.ndarray, n: int, k: int, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
-    """node, near, d (squared) from the leaves of the trees; points has node and half."""
+    """node, near, d (squared) from the leaves of the trees; points has node and held."""
     forest = _Trees(sample, n, trees, leaf)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 for t, leaves in enumerate(forest.leaves(_matrix(batch.column(1)))):
-                    yield pa.record_batch([pa.array(leaves * trees + t), batch.column(0), batch.column(1)], names=["leaf", "node", "half"])
+                    yield pa.record_batch([pa.array(leaves * trees + t), batch.column(0), batch.column(1)], names=["leaf", "node", "held"])
 
-    placed = points.mapInArrow(place, "leaf long, node long, half binary")
+    placed = points.mapInArrow(place, "leaf long, node long, held binary")
     # Leaves are split at random where they are large.
     sizes = placed.groupBy("leaf").agg(F.ceil(F.count("*") / (3 * leaf)).alias("parts"))
-    dealt = placed.join(sizes, "leaf").select(F.xxhash64("leaf", F.pmod(F.xxhash64("node"), "parts")).alias("leaf"), "node", "half")
+    dealt = placed.join(sizes, "leaf").select(F.xxhash64("leaf", F.pmod(F.xxhash64("node"), "parts")).alias("leaf"), "node", "held")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
             if group.num_rows < 2:
                 continue
             ids, x = group.column(1).to_numpy(), _matrix(group.column(2))
-            m, norms = min(k, len(ids) - 1), (x * x).sum(1)
-            for at in range(0, len(ids), 256):  # a block of rows against the leaf
-                d = norms[at : at + 256, None] + norms[None] - 2 * (x[at : at + 256] @ x.T)
-                own = np.arange(len(d))
-                d[own, at + own] = np.inf
-                best = np.argpartition(d, m - 1, axis=1)[:, :m]
-                yield _edges([np.repeat(ids[at : at + 256], m)], [ids[best].ravel()], [np.maximum(np.take_along_axis(d, best, 1), 0).ravel()])
+            m = min(k, len(ids) - 1)
+            d = _squares(x)
+            best = np.argpartition(d, m - 1, axis=1)[:, :m]
+            yield _edges([np.repeat(ids, m)], [ids[best].ravel()], [np.take_along_axis(d, best, 1).ravel()])
 
     found = dealt.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(compare, _EDGE)
     return nearest(found.groupBy("node", "near").agg(F.min("d").alias("d")), k)
@@ -182,11 +183,11 @@ def descend(graph: DataFrame, points: DataFrame, k: int) -> DataFrame:
     ends = graph.select(F.col("node").alias("pivot"), F.col("near").alias("member"), "new").union(graph.select(F.col("near").alias("pivot"), F.col("node").alias("member"), "new"))
     ends = ends.groupBy("pivot", "member").agg(F.max("new").alias("new"))
     bound = graph.groupBy("node").agg(F.max("d").alias("worst"), F.count("*").alias("has"))
-    carried = points.join(bound, "node", "left").select(F.col("node").alias("member"), "half", F.when(F.col("has") >= k, F.col("worst")).otherwise(float("inf")).cast("float").alias("worst"))
+    carried = points.join(bound, "node", "left").select(F.col("node").alias("member"), "held", F.when(F.col("has") >= k, F.col("worst")).otherwise(float("inf")).alias("worst"))
     # A pivot with many neighbours becomes several groups.
     parts = ends.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).alias("parts"), F.max("new").alias("any")).where("any")
     met = ends.join(parts, "pivot").select(F.xxhash64("pivot", F.pmod(F.xxhash64("member"), "parts")).alias("pivot"), "member", "new")
-    met = met.join(carried, "member").select("pivot", "member", "half", "worst", "new")
+    met = met.join(carried, "member").select("pivot", "member", "held", "worst", "new")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, near, ds, rows = [], [], [], 0
@@ -222,25 +223,25 @@ def build(points: DataFrame, sample: np.ndarray, n: int, k: int = K, leaf: int =
 
 
 def search(queries: DataFrame, points: DataFrame, graph: DataFrame, beam: int = BEAM) -> DataFrame:
-    """query, node and d (squared) of all nodes that the queries (query, start, half) have met."""
+    """query, node and d (squared) of all nodes that the queries (query, start, held) have met."""
     links = cut(graph.select("node", "near").union(graph.select("near", "node")).distinct())
-    asked = queries.select("query", F.col("half").alias("asked"))
-    nodes = points.select(F.col("node").alias("near"), "half")
+    asked = queries.select("query", F.col("held").alias("asked"))
+    nodes = points.select(F.col("node").alias("near"), "held")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 d = ((_matrix(batch.column(2)) - _matrix(batch.column(3))) ** 2).sum(1)
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(d.astype(np.float32))], names=["query", "node", "d"])
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(d)], names=["query", "node", "d"])
 
     rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "node"))
-    met = cut(queries.select("query", F.col("start").alias("node"), F.lit(0.0).cast("float").alias("d"), F.lit(False).alias("left")))
+    met = cut(queries.select("query", F.col("start").alias("node"), F.lit(0.0).alias("d"), F.lit(False).alias("left")))
     while True:
         ranked = met.withColumn("rank", rank)
         going = ranked.where((F.col("rank") <= beam) & ~F.col("left")).select("query", "node")
         onward = going.join(links, "node").select("query", "near").distinct()
         onward = onward.join(met.select("query", F.col("node").alias("near")), ["query", "near"], "left_anti")
-        fresh = onward.join(nodes, "near").join(asked, "query").select("query", "near", "half", "asked").mapInArrow(measure, "query long, node long, d float")
+        fresh = onward.join(nodes, "near").join(asked, "query").select("query", "near", "held", "asked").mapInArrow(measure, "query long, node long, d double")
         # What a query has met beyond its beam it need not rank again: only that it was met.
         new = cut(ranked.select("query", "node", "d", (F.col("left") | (F.col("rank") <= beam)).alias("left")).union(fresh.withColumn("left", F.lit(False))))
         if new.where("not left").isEmpty():
@@ -259,14 +260,15 @@ def query_neighbours(df: DataFrame, is_query: Column, top: int = 10, id_col: str
     if n == 0:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = bounded_sample(nodes, n)
-    centre = sample.mean(axis=0)
-    scale = 1 / max(float(np.linalg.norm(sample - centre, axis=1).mean()), 1e-300)
-    points = cut(nodes.select("node", "vector").mapInArrow(lambda batches: _halved(batches, centre, scale), "node long, half binary"))
+    single = df.schema[vector_col].dataType == ArrayType(FloatType())
+    # Single precision needs none: its squares are within double precision.
+    scale = 1.0 if single else 2.0 ** -min(1000, max(-1000, int(np.frexp(np.abs(sample).max())[1])))
+    points = cut(nodes.select("node", "vector").mapInArrow(lambda batches: _held(batches, scale, single), "node long, held binary"))
     asked = rows.where(is_query).distinct().join(nodes.select("vector", F.col("node").alias("start")), "vector").select("vec_id", "start")
     # Queries of one vector are one search.
-    starts = asked.select(F.col("start").alias("query")).distinct().withColumn("start", F.col("query")).join(points, F.col("start") == F.col("node")).select("query", "start", "half")
-    found = search(starts, points, build(points, (sample - centre) * scale, n))
-    # Half precision may swap close ones: some more than asked for are measured exactly.
+    starts = asked.select(F.col("start").alias("query")).distinct().withColumn("start", F.col("query")).join(points, F.col("start") == F.col("node")).select("query", "start", "held")
+    found = search(starts, points, build(points, sample * scale, n))
+    # Scaling aside these distances are those of the scores; some more than asked for are scored, as sums may round otherwise.
     best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", "node"))).where(F.col("rank") <= 4 * top + 10).select("query", "node")
     vectors = nodes.select("node", "ids", "vector")
     pairs = best.join(vectors, "node").join(nodes.select(F.col("node").alias("query"), F.col("vector").alias("asked")), "query")
@@ -280,12 +282,13 @@ def _rows(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _halved(batches: Iterator[pa.RecordBatch], centre: np.ndarray, scale: float) -> Iterator[pa.RecordBatch]:
-    """Vectors shifted and scaled alike, so that half precision holds their differences."""
+def _held(batches: Iterator[pa.RecordBatch], scale: float, single: bool) -> Iterator[pa.RecordBatch]:
+    """The vectors' bytes behind one that tells their kind."""
+    mark, kind = (b"f", np.float32) if single else (b"d", np.float64)
     for batch in batches:
         if batch.num_rows:
-            x = ((_rows(batch.column(1)) - centre) * scale).clip(-1000, 1000)
-            yield pa.record_batch([batch.column(0), pa.array([_half(v) for v in x], pa.binary())], names=["node", "half"])
+            x = (_rows(batch.column(1)) * scale).astype(kind)
+            yield pa.record_batch([batch.column(0), pa.array([mark + v.tobytes() for v in x], pa.binary())], names=["node", "held"])
 
 
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -220,3 +220,20 @@ def test_recall_of_many_leaves(spark):
     d = ((x[::100, None].astype(float) - x[None]) ** 2).sum(2)
     want = {q * 100: set(np.argsort(row)[1:11].tolist()) for q, row in enumerate(d)}
     assert set(got) == set(want) and sum(len(got[q] & want[q]) for q in want) >= 0.9 * 10 * len(want)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_close_family_and_far_outliers(spark, kind):
+    """A family of 400 far closer than half precision tells apart, and outliers at a million radii."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(800, 8))
+    x[:400] = x[0] + 1e-5 * rng.normal(size=(400, 8))
+    x[780:] = 1e7 + 1e4 * rng.normal(size=(20, 8))
+    x = x[rng.permutation(800)].astype(np.float32 if kind == "float" else np.float64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    asked = range(0, 800, 20)
+    want = {q: [i for _, i in v] for q, v in brute_neighbours({i: v.astype(float) for i, v in enumerate(x)}, asked).items()}
+    got = defaultdict(list)
+    for r in nearest_neighbours.query_neighbours(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert sum(len(set(got[q]) & set(want[q])) for q in asked) >= 0.98 * 10 * len(asked)
