@@ -9,8 +9,10 @@ NN-descent then joins neighbours of neighbours. Each edge sends the vector of
 either end to the other, the pivot; at a pivot all that meet are compared, and a
 pair nearer than what one of them has so far becomes a candidate edge. A node
 keeps its ``K`` nearest. Pairs of which both came by old edges are not compared
-again. The neighbours of a pivot with very many are dealt to several groups, none
-is left out. The descent ends when of 1,000 edges less than one changes; each
+again. The members of a pivot with over ``GROUP`` are dealt to several groups: none of
+them is left out, but pairs of different groups are not compared at that pivot. Each
+descent deals them differently, and in such groups pairs of old edges are compared too, as they may not
+have met. Large leaves are dealt too, differently in each tree. The descent ends when of 1,000 edges less than one changes; each
 change makes an edge shorter, so it ends.
 
 A query starts at its own node and goes on from all of its ``BEAM`` nearest nodes
@@ -162,7 +164,7 @@ def first_graph(points: DataFrame, sample: np.ndarray, n: int, k: int, trees: in
     placed = points.mapInArrow(place, "leaf long, node long, held binary")
     # Leaves are split at random where they are large.
     sizes = placed.groupBy("leaf").agg(F.ceil(F.count("*") / (3 * leaf)).alias("parts"))
-    dealt = placed.join(sizes, "leaf").select(F.xxhash64("leaf", F.pmod(F.xxhash64("node"), "parts")).alias("leaf"), "node", "held")
+    dealt = placed.join(sizes, "leaf").select(F.xxhash64("leaf", F.pmod(F.xxhash64("node", "leaf"), "parts")).alias("leaf"), "node", "held")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
@@ -178,15 +180,15 @@ def first_graph(points: DataFrame, sample: np.ndarray, n: int, k: int, trees: in
     return nearest(found.groupBy("node", "near").agg(F.min("d").alias("d")), k)
 
 
-def descend(graph: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """The graph (node, near, d, new) after one join of neighbours of neighbours."""
+def descend(graph: DataFrame, points: DataFrame, k: int, salt: int = 0) -> DataFrame:
+    """The graph (node, near, d, new) after one join of neighbours of neighbours; salt tells how large pivots are dealt."""
     ends = graph.select(F.col("node").alias("pivot"), F.col("near").alias("member"), "new").union(graph.select(F.col("near").alias("pivot"), F.col("node").alias("member"), "new"))
     ends = ends.groupBy("pivot", "member").agg(F.max("new").alias("new"))
     bound = graph.groupBy("node").agg(F.max("d").alias("worst"), F.count("*").alias("has"))
     carried = points.join(bound, "node", "left").select(F.col("node").alias("member"), "held", F.when(F.col("has") >= k, F.col("worst")).otherwise(float("inf")).alias("worst"))
     # A pivot with many neighbours becomes several groups.
     parts = ends.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).alias("parts"), F.max("new").alias("any")).where("any")
-    met = ends.join(parts, "pivot").select(F.xxhash64("pivot", F.pmod(F.xxhash64("member"), "parts")).alias("pivot"), "member", "new")
+    met = ends.join(parts, "pivot").select(F.xxhash64("pivot", F.pmod(F.xxhash64("member", F.lit(salt)), "parts")).alias("pivot"), "member", (F.col("new") | (F.col("parts") > 1)).alias("new"))
     met = met.join(carried, "member").select("pivot", "member", "held", "worst", "new")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,8 +219,10 @@ def descend(graph: DataFrame, points: DataFrame, k: int) -> DataFrame:
 def build(points: DataFrame, sample: np.ndarray, n: int, k: int = K, leaf: int = LEAF) -> DataFrame:
     """node, near and d (squared) of the neighbour graph."""
     graph = cut(first_graph(points, sample, n, k, leaf=leaf).withColumn("new", F.lit(True)))
+    salt = 0
     while graph.where("new").count() > ENOUGH * n * k:
-        graph = cut(descend(graph, points, k))
+        graph = cut(descend(graph, points, k, salt))
+        salt += 1
     return graph.select("node", "near", "d")
 
 

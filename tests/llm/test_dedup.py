@@ -237,3 +237,16 @@ def test_close_family_and_far_outliers(spark, kind):
     for r in nearest_neighbours.query_neighbours(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append(r["vec_id"])
     assert sum(len(set(got[q]) & set(want[q])) for q in asked) >= 0.98 * 10 * len(asked)
+
+
+def test_large_pivots_are_dealt_anew(spark):
+    """Pairs of a hub's members that one descent keeps apart meet in another, also when their edges are old."""
+    x = np.random.default_rng(8).normal(size=(400, 4)).astype(np.float32)
+    points = cut_of(spark, [(i, b"f" + v.tobytes()) for i, v in enumerate(x)], "node long, held binary")
+    star = cut_of(spark, [(i, 0, float(((x[i] - x[0]) ** 2).sum()), i == 1) for i in range(1, 400)], "node long, near long, d double, new boolean")
+    found = [{(r["node"], r["near"]) for r in nearest_neighbours.descend(star, points, 10, salt).collect()} for salt in (0, 1)]
+    assert all(len(f) > 3000 for f in found) and found[0] - found[1] and found[1] - found[0]
+
+
+def cut_of(spark, rows, ddl):
+    return nearest_neighbours.cut(spark.createDataFrame(rows, ddl))
