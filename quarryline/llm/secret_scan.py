@@ -5,7 +5,7 @@ escapes, backslash and character-reference escapes give a layer in which the
 rest of the text stands unchanged, so a secret half of which is escaped is
 found too; a run of base64 gives a layer of its own, inflated first if it holds
 gzip or zlib data. Each new layer is scanned and put on the worklist until no
-layer is new; a layer seen before in the same document is not opened again,
+layer is new; a layer seen before from the same place is not opened again,
 which ends cycles. A position in a layer is mapped to the span of the original
 text that it came from.
 
@@ -13,19 +13,22 @@ Spans count code points, ends exclusive. A null text is empty and has no
 spans; rows are independent, so repeated rows repeat; an empty table gives an
 empty result; other columns are not read.
 
-Guard: a single document's layers stop being opened when they add up to
-``MAX_EXPANSION`` characters over 16 times its own length. Only compressed
-layers can reach it (each other layer is shorter than its source).
+Compressed data is inflated until it is compressed no longer (all members, at any
+depth; one that inflates to what it came from ends there) and scanned as a stream in parts
+of about ``PART`` characters, cut where no pattern can go on, so memory grows with
+the longest run without such a place and not with the document. No layer is left out for its size. Bytes that are not
+UTF-8 are read as Latin-1: the patterns are ASCII.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import hashlib
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
 import pandas as pd
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from quarryline.llm.common import chunks, documents, table
 
 KINDS = ("assign", "access", "hex")
-MAX_EXPANSION = 8_000_000
+PART = 1_000_000
 
 
 def _either_case(word: str) -> str:
@@ -52,6 +55,8 @@ _HINTS = ("password", "passwd", "secret", "token", "api")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: No pattern, escape or run of base64 holds one of these.
+_APART = re.compile(r"""[^A-Za-z0-9+/_.=\-"' :%\\{};&#]""")
 _MIXED = re.compile(r"[0-9+/_=-]|[a-z][A-Z]")
 
 Span = tuple[int, int, int]  # start, end, index of the kind
@@ -83,6 +88,10 @@ class _Layer:
         self.text, self.pieces = text, pieces
         self.starts = [p[0] for p in pieces]
 
+    def key(self) -> bytes:
+        """Tells layers apart by text and origin."""
+        return hashlib.blake2b(self.text.encode("utf-8", "surrogatepass") + repr(self.pieces).encode(), digest_size=16).digest()
+
     def cut(self, start: int, end: int) -> Iterator[Piece]:
         """The pieces between two places."""
         for at, n, a, b, copied in self.pieces[max(0, bisect_right(self.starts, start) - 1) :]:
@@ -112,43 +121,123 @@ class _Layer:
         return _Layer("".join(text), pieces)
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    plain = sum(c.isprintable() or c in "\t\n\r" for c in text)
-    return text if text and plain >= 0.9 * len(text) else None
+def _kind(data: bytes) -> int | None:
+    """How zlib is to read data, if it looks compressed."""
+    if data[:2] == b"\x1f\x8b":
+        return zlib.MAX_WBITS | 16
+    return zlib.MAX_WBITS if len(data) > 1 and data[0] & 0x0F == 8 and data[0] >> 4 < 8 and (data[0] << 8 | data[1]) % 31 == 0 else None
 
 
-def _inflated(data: bytes, room: int) -> bytes | None:
-    if data[:2] == b"\x1f\x8b":
-        kind = zlib.MAX_WBITS | 16
-    elif len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-        kind = zlib.MAX_WBITS
-    else:
-        return None
-    try:
-        return zlib.decompressobj(kind).decompress(data, max(1, room))
-    except zlib.error:
-        return None
+Source = Callable[[], Iterator[bytes]]  # starts the stream again at each call
 
 
-def _unbased(run: str, room: int) -> str | None:
-    """The text in a run of base64, if it is one."""
+def _inflated(source: Source, heads: list[bytes], broken: list[bool], only: int | None = None) -> Iterator[bytes]:
+    """The contents of all members of compressed data, or of one; heads gets the first bytes of each, broken an entry if data is damaged.
+
+    What follows the last member is given as it is.
+    """
+    heads.clear()
+    broken.clear()
+    member, inflate, rest = -1, None, b""
+    for piece in source():
+        rest += piece
+        more = True
+        while more:
+            if inflate is None:
+                if len(rest) < 2:
+                    break
+                if (kind := _kind(rest)) is None:
+                    if only is None:
+                        yield rest
+                    rest = b""
+                    break
+                inflate, member = zlib.decompressobj(kind), member + 1
+                heads.append(b"")
+            try:
+                out = inflate.decompress(rest, PART)
+            except zlib.error:
+                broken.append(True)
+                return
+            rest = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
+            more = bool(rest) or (len(out) == PART and not inflate.eof)  # what did not fit may be held back
+            heads[-1] = (heads[-1] + out[:2])[:2]
+            if out and only in (None, member):
+                yield out
+            if inflate.eof:
+                inflate = None
+    if inflate is None and rest and only is None:
+        yield rest
+
+
+def _digest(source: Source) -> bytes:
+    h = hashlib.blake2b(digest_size=16)
+    for piece in source():
+        h.update(piece)
+    return h.digest()
+
+
+def _head(source: Source) -> bytes:
+    head = b""
+    for piece in source():
+        head += piece[:2]
+        if len(head) > 1:
+            break
+    return head
+
+
+def _streams(source: Source, above: tuple[bytes, ...] = ()) -> Iterator[Source]:
+    """What is in source and compressed no longer. Damaged data also counts as it is. Each stream is to be read before the next."""
+    if _kind(_head(source)) is None or (own := _digest(source)) in above:
+        yield source
+        return
+    heads: list[bytes] = []
+    broken: list[bool] = []
+    yield from _streams(lambda: _inflated(source, heads, broken), (*above, own))
+    for _ in _inflated(source, heads, broken):
+        pass
+    bad = bool(broken)
+    # Members after the first may hold compressed data of their own.
+    for i in [i for i, h in enumerate(heads) if i and _kind(h) is not None]:
+        yield from _streams(lambda i=i: _inflated(source, [], [], i), (*above, own))
+    if bad:
+        yield source
+
+
+def _parts(source: Source) -> Iterator[str]:
+    """A stream as texts, cut where no pattern goes on."""
+    held, size = [], 0
+    for piece in source():
+        text = piece.decode("latin-1")
+        held.append(text)
+        size += len(text)
+        if size >= PART:
+            # Of the last place only the one in this piece counts: what stood before was held for want of one.
+            at = next((m.start() for m in _APART.finditer(text[::-1])), None)
+            if at is not None:
+                joined, keep = "".join(held), at
+                yield joined[: len(joined) - keep]
+                held, size = [joined[len(joined) - keep :]] if keep else [], keep
+    if size:
+        yield "".join(held)
+
+
+def _unbased(run: str) -> Iterator[str]:
+    """The texts in a run of base64."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if not _MIXED.search(run) or len(body) % 4 == 1:
-        return None
+        return
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
-        return None
-    for _ in range(2):  # compressed data may hold compressed data; deeper ones come back as layers
-        inner = _inflated(data, room)
-        if inner is None:
-            break
-        data = inner
-    return _readable(data)
+        return
+    if _kind(data) is None:
+        try:
+            yield data.decode("utf-8")
+        except UnicodeDecodeError:
+            yield data.decode("latin-1")
+        return
+    for source in _streams(lambda: iter((data,))):
+        yield from _parts(source)
 
 
 def _character(m: re.Match) -> str:
@@ -157,14 +246,14 @@ def _character(m: re.Match) -> str:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"
 
 
-def _layers(layer: _Layer, room: int) -> Iterator[_Layer]:
+def _layers(layer: _Layer) -> Iterator[_Layer]:
     text = layer.text
     if "%" in text and (parts := [(m.start(), m.end(), unquote(m[0], errors="replace")) for m in _PERCENT.finditer(text)]):
         yield layer.replaced(parts)
     if ("\\" in text or "&#" in text) and (parts := [(m.start(), m.end(), _character(m)) for m in _ESCAPE.finditer(text)]):
         yield layer.replaced(parts)
     for m in _BASE64.finditer(text):
-        if (inner := _unbased(m[0], room)) is not None:
+        for inner in _unbased(m[0]):
             yield _Layer(inner, [(0, len(inner), *layer.origin(m.start(), m.end()), False)])
 
 
@@ -174,16 +263,15 @@ def spans(text: str) -> list[tuple[int, int, int, bool]]:
     found = {s: True for s in base}
     if not ("%" in text or "\\" in text or "&#" in text or _BASE64.search(text)):
         return _ordered(found)
-    seen = {text}
-    work = [_Layer(text, [(0, len(text), 0, len(text), True)])]
-    room = MAX_EXPANSION + 16 * len(text)
+    first = _Layer(text, [(0, len(text), 0, len(text), True)])
+    seen = {first.key()}
+    work = [_layers(first)]  # the innermost last, so that parts of a stream are not held together
     while work:
-        for new in _layers(work.pop(), room):
-            if not new.text or new.text in seen or len(new.text) > room:
-                continue
-            room -= len(new.text)
-            seen.add(new.text)
-            work.append(new)
+        if (new := next(work[-1], None)) is None:
+            work.pop()
+        elif new.text and (key := new.key()) not in seen:
+            seen.add(key)
+            work.append(_layers(new))
             for s, e, k in base_spans(new.text):
                 found.setdefault((*new.origin(s, e), k), False)
     return _ordered(found)

@@ -123,6 +123,34 @@ def test_secret_layers():
     assert secret_scan.spans(cycle * 3) == []
 
 
+def test_secrets_of_compressed_layers(monkeypatch):
+    b64 = lambda s: base64.b64encode(s).decode()
+    secret, fill = SECRET.encode(), b"line of words\n"
+    deep = gzip.compress(gzip.compress(gzip.compress(zlib.compress(secret))))
+    cases = [
+        deep,
+        gzip.compress(b"first\n") + gzip.compress(secret),
+        gzip.compress(b"first\n") + deep,
+        gzip.compress(SECRET[:20].encode()) + gzip.compress(SECRET[20:].encode()),
+        gzip.compress(b"\xff\xfe\x00" * 50 + secret),
+        b"\xff\xfe\x00" * 50 + secret,
+        gzip.compress(fill * 700_000 + secret),
+        gzip.compress(fill * 99 + b64(secret).encode() + b"\n" + fill * 99),
+        gzip.compress(secret + b"\n" + random.Random(1).randbytes(5000))[:-900],
+        b"x^ no zlib data, though it begins so: " + secret,
+    ]
+    for size in (1_000_000, 64):
+        monkeypatch.setattr(secret_scan, "PART", size)
+        for data in cases if size > 64 else [c for c in cases if len(c) < 9000]:
+            run = b64(data)
+            assert (3, 3 + len(run), 0, False) in secret_scan.spans(f"so {run} end"), data[:40]
+    monkeypatch.undo()
+    # A large layer leaves the others to be opened, and each place of a repeated one counts.
+    big, small = b64(gzip.compress(fill * 1_500_000)), b64(secret)
+    text = f"{big} {small} {quote(SECRET)} {small}"
+    assert {s for s, _, k, b in secret_scan.spans(text) if k == 0 and not b} >= {len(big) + 1, text.rindex(small)}
+
+
 def brute_base(text):
     assign = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     out = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 8]
