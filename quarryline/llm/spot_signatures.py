@@ -2,9 +2,10 @@
 
 A spot is an anchor (a very common word); its signature is the anchor and the
 two content words that follow it, anchors between them left out. Of anchors in
-a row the last counts. A text of at most ``SHORT`` characters, or with less than
-one spot in ``SPARSE`` words, also gets a signature for each pair of adjacent words, one of at most
-``TINY`` characters for each three characters, and one that has none of these one for its
+a row the last counts. Each text also has a signature for each pair of adjacent words,
+with a mark before the first and one after the last. So texts of all lengths, and with many or
+few anchors, have the same kinds of signatures, and a small edit changes few of them. A
+text without a letter or digit has one for each three characters, or, shorter than that, for its
 whole self. A signature that a text repeats counts as often: its k-th
 occurrence is an element of its own. The set of the elements' hashes, in
 order, is the fingerprint; likeness is the Jaccard of two sets (1 of two
@@ -40,9 +41,6 @@ ANCHORS = (
     "au", "avec", "dans", "de", "du", "elle", "en", "est", "et", "la", "le", "les", "par", "pas", "pour", "que", "qui", "un", "une",
     "al", "con", "del", "el", "las", "los", "no", "para", "por", "se", "su", "y",
 )
-#: Characters: texts of equal length are treated alike.
-SHORT, TINY = 500, 60
-SPARSE = 8
 RANGE_DOCS = 1024
 MOST_RANGES = 1024
 
@@ -53,7 +51,6 @@ _BEFORE_MARKED = " [^ \x02]+\x02(?= [^ \x02]+\x02)"
 _SPOT = "(?=(?<= )([^ \x02]+\x02[^ ]+ [^ ]+) )"
 _EQUAL = "([0-9A-F]{8})(?: \\1)*+"
 _GRAM = "(?s)(?=(...))"
-_PAIR = "(?=(?<= )([^ ]+ [^ ]+) )"
 
 
 def with_signatures(df: DataFrame, text_col: str = "text", out: str = "hashes") -> DataFrame:
@@ -61,37 +58,28 @@ def with_signatures(df: DataFrame, text_col: str = "text", out: str = "hashes")
 
     The steps are columns of their own, so that each is computed once.
     """
-    text, names = F.col(text_col), [f"_{out}_{k}" for k in ("words", "joined", "found", "sorted", "runs")]
-    words, joined, found, ordered, runs = map(F.col, names)
+    text, names = F.col(text_col), [f"_{out}_{k}" for k in ("words", "joined", "split", "sorted", "runs")]
+    words, joined, split, ordered, runs = map(F.col, names)
     padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     df = df.withColumn(names[0], F.regexp_replace(padded, "^ +| +$", " "))
     marked = F.regexp_replace(F.regexp_replace(words, _MARKED, " $1\x02"), _BEFORE_MARKED, "")
     spots = F.regexp_extract_all(F.replace(marked, F.lit("\x02 "), F.lit("\x02")), F.lit(_SPOT), 1)
     # Anchors between the words of a chain go.
     df = df.withColumn(names[1], F.regexp_replace(F.array_join(spots, "\n"), " [^ \x02\n]*\x02", " "))
-    n_words = F.char_length(words) - F.char_length(F.translate(words, " ", "")) - 1
-    n_spots = F.char_length(joined) - F.char_length(F.translate(joined, "\n", "")) + 1
-    sparse = (joined == "") | (n_spots * SPARSE < n_words)
-    none = F.array().cast("array<string>")
-    df = df.withColumn(
-        names[2],
-        F.when(text == "", none).otherwise(
-            F.concat(
-                F.when(joined == "", none).otherwise(F.split(joined, "\n")),
-                F.when((F.char_length(text) <= SHORT) | sparse, F.regexp_extract_all(words, F.lit(_PAIR), 1)).otherwise(none),
-                F.when(F.char_length(text) <= TINY, F.regexp_extract_all(F.lower(text), F.lit(_GRAM), 1)).otherwise(none),
-            )
-        ),
-    )
-    hashed = F.transform(F.when((F.size(found) == 0) & (text != ""), F.array(text)).otherwise(found), lambda s: _low(F.hash(s)))
+    df = df.withColumn(names[2], F.split(F.concat(F.lit("^"), words, F.lit("$")), " "))
+    none = F.array().cast("array<bigint>")
+    one = lambda s: _low(F.hash(s))
+    spotted = F.when(joined == "", none).otherwise(F.transform(F.split(joined, "\n"), one))
+    pairs = F.zip_with(F.slice(split, F.lit(1), F.size(split) - 1), F.slice(split, F.lit(2), F.size(split) - 1), lambda a, b: _low(F.hash(a, b)))
+    wordless = F.when(F.char_length(text) < 3, F.array(one(text))).otherwise(F.transform(F.regexp_extract_all(F.lower(text), F.lit(_GRAM), 1), one))
+    hashed = F.when(text == "", none).when(words == " ", wordless).otherwise(F.concat(spotted, pairs))
     df = df.withColumn(names[3], F.sort_array(hashed))
     # Equal ones stand together: the first keeps its hash, the k-th gets one of its own.
-    digits = F.array_join(F.transform(ordered, lambda h: F.lpad(F.hex(h), 8, "0")), " ")
-    df = df.withColumn(names[4], F.when(F.size(F.array_distinct(ordered)) < F.size(ordered), F.regexp_extract_all(digits, F.lit(_EQUAL), 0)))
-    numbered = F.flatten(
-        F.transform(runs, lambda r: F.transform(F.sequence(F.lit(0), ((F.length(r) - 8) / 9).cast("int")), lambda k: F.when(k == 0, F.conv(F.substring(r, 1, 8), 16, 10).cast("long")).otherwise(_low(F.hash(F.substring(r, 1, 8), k)))))
-    )
-    return df.withColumn(out, F.when(runs.isNull(), ordered).otherwise(F.sort_array(F.array_distinct(numbered)))).drop(*names)
+    repeats = F.filter(ordered, lambda h, i: h == F.get(ordered, i - 1))
+    digits = F.array_join(F.transform(repeats, lambda h: F.lpad(F.hex(h), 8, "0")), " ")
+    df = df.withColumn(names[4], F.regexp_extract_all(digits, F.lit(_EQUAL), 0))
+    numbered = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), ((F.length(r) + 1) / 9).cast("int")), lambda k: _low(F.hash(F.substring(r, 1, 8), k)))))
+    return df.withColumn(out, F.when(F.size(runs) == 0, ordered).otherwise(F.sort_array(F.array_distinct(F.concat(ordered, numbered))))).drop(*names)
 
 
 def _low(h: Column) -> Column:

@@ -303,3 +303,25 @@ def test_spot_pairs_equal_brute_force(spark):
         reps.setdefault(sets[k], k)
     want = {(a, b) for x, a in reps.items() for y, b in reps.items() if a < b and len(x & y) >= 0.8 * len(x | y)}
     assert {(r["a"], r["b"]) for r in spot_signatures.near_duplicates(df).collect()} == want and want
+
+
+def test_small_edits_change_few_signatures(spark):
+    """At the lengths of 60 and 500 characters, and where a word tips the share of anchors, near copies stay alike."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("bcdfgklm") + rng.choice("aeiou") for _ in range(2))
+    texts = []
+    for length in (60, 500):
+        for _ in range(5):
+            words = [word() if k % 4 else "the" for k in range(length // 4)]
+            long_ = " ".join(words)[: length - 1].rstrip() + "y"
+            long_ += "y" * (length - len(long_))
+            texts += [long_, long_ + "y"]
+    sparse = [word() for _ in range(160)]
+    sparse[::8] = ["the"] * 20
+    texts += [" ".join(sparse), " ".join([*sparse[:-8], "word", *sparse[-7:]])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {r["doc_id"]: set(r["hashes"]) for r in spot_signatures.members(df).collect()}
+    like = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(texts), 2)]
+    print("likeness", [round(x, 2) for x in like])
+    assert min(like[:5]) > 0.5 and min(like[5:]) > 0.8
+    assert {(r["a"], r["b"]) for r in spot_signatures.near_duplicates(df).collect()} >= {(i, i + 1) for i in range(10, len(texts), 2)}
