@@ -168,6 +168,24 @@ def test_similarity(spark):
     assert (r["tag_sim"], r["emb_sim"], r["link_sim"], r["score"]) == (0.333, 0.707, 1.0, 0.579)
 
 
+def test_similar_contents_without_a_title_token(spark):
+    """Candidates by content do not depend on the order or number of tokens; whole texts can be compared."""
+    words = [f"word{i:03d}" for i in range(200)]
+    data = [
+        ("A", "1", "Alpha report", " ".join(words)),
+        ("B", "2", "Different heading", " ".join(reversed(words))),
+        ("A", "3", "Gamma summary", "shared " * 600 + " ".join(w.replace("word", "left") for w in words)),
+        ("B", "4", "Unlike naming", "shared " * 600 + " ".join(w.replace("word", "right") for w in words)),
+        ("A", "5", "Short terms", "to be or not to be"),
+        ("B", "6", "Brief lines", "be to not or be to"),
+    ]
+    df = spark.createDataFrame([(s, i, f"https://{i}.org/", t, c) for s, i, t, c in data], "site string, id string, url string, title string, content_text string")
+    df = df.withColumns({"content_html": F.lit(None).cast("string"), "life_events": F.array().cast("array<string>"), "categories": F.array().cast("array<string>")})
+    pairs = lambda **k: sorted((r["a_id"], r["b_id"]) for r in similarity.fragment_pairs(df, **k).collect())
+    assert pairs(content_chars=None) == pairs(content_chars=None, metric="content", threshold=0.9) == [("1", "2"), ("5", "6")]
+    assert {("1", "2"), ("5", "6")} <= set(pairs())
+
+
 @pytest.fixture(scope="module")
 def life(spark):
     data = [("birth", "Birth", [], ["school"], [], [0, 1], "Family", 1.0), ("school", "School", ["birth", "gone"], ["work"], ["house"], [5, 18], "Education", 2.0), ("work", "Work", ["school", "birth"], ["house"], [], [16, 70], None, 3.0), ("house", "House", ["work"], ["gone"], ["work"], [20, 60], "Family", 4.0)]
