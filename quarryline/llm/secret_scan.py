@@ -3,8 +3,9 @@
 Each text is scanned as it is. Then encoded parts are unwrapped: percent
 escapes, backslash and character-reference escapes give a layer in which the
 rest of the text stands unchanged, so a secret half of which is escaped is
-found too; a run of base64 gives a layer of its own, inflated first if it holds
-gzip or zlib data. Each new layer is scanned and put on the worklist until no
+found too; a run of base64 gives layers of its own, one for each place in a group
+of four where it may begin (a word or path may stand right before it), inflated first if they hold
+gzip or zlib data. Lines of base64 are joined, so a run may be wrapped. Each new layer is scanned and put on the worklist until no
 layer is new; a layer seen before from the same place is not opened again,
 which ends cycles. A position in a layer is mapped to the span of the original
 text that it came from.
@@ -17,17 +18,16 @@ Compressed data is inflated until it is compressed no longer (all members, at an
 depth; one that inflates to what it came from ends there) and scanned as a stream in parts
 of about ``PART`` characters, cut where no pattern can go on, so memory grows with
 the longest run without such a place and not with the document. No layer is left out for its size. Bytes that are not
-UTF-8 are read as Latin-1: the patterns are ASCII.
+UTF-8 are read as Latin-1: the patterns are ASCII. Zero bytes, as UTF-16 has them, are left out.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
@@ -55,9 +55,11 @@ _HINTS = ("password", "passwd", "secret", "token", "api")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Lines of base64, the last of which may be short. It begins where a run does and gives nothing back, so a long run is read once.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+\r?\n[ \t>]*+)++[A-Za-z0-9+/_-]++={0,2}")
+_BREAK = re.compile(r"[\r\n \t>]+")
 #: No pattern, escape or run of base64 holds one of these.
 _APART = re.compile(r"""[^A-Za-z0-9+/_.=\-"' :%\\{};&#]""")
-_MIXED = re.compile(r"[0-9+/_=-]|[a-z][A-Z]")
 
 Span = tuple[int, int, int]  # start, end, index of the kind
 
@@ -94,9 +96,8 @@ class _Layer:
 
     def cut(self, start: int, end: int) -> Iterator[Piece]:
         """The pieces between two places."""
-        for at, n, a, b, copied in self.pieces[max(0, bisect_right(self.starts, start) - 1) :]:
-            if at >= end:
-                break
+        for i in range(max(0, bisect_right(self.starts, start) - 1), bisect_left(self.starts, end)):
+            at, n, a, b, copied = self.pieces[i]
             lo, hi = max(at, start), min(at + n, end)
             if lo < hi:
                 yield (lo, hi - lo, *((a + lo - at, a + hi - at) if copied else (a, b)), copied)
@@ -222,22 +223,22 @@ def _parts(source: Source) -> Iterator[str]:
 
 
 def _unbased(run: str) -> Iterator[str]:
-    """The texts in a run of base64."""
+    """The texts in a run of base64, wherever in its first group of four it begins."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if not _MIXED.search(run) or len(body) % 4 == 1:
-        return
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return
-    if _kind(data) is None:
+    for at in range(4):
+        part = body[at:]
+        part = part[: len(part) - (len(part) % 4 == 1)]  # a single character holds no byte
+        data = base64.b64decode(part + "=" * (-len(part) % 4))
+        if _kind(data) is not None:
+            for source in _streams(lambda data=data: iter((data,))):
+                yield from _parts(source)
+            continue
+        if b"\0" in data:
+            yield data.replace(b"\0", b"").decode("latin-1")
         try:
             yield data.decode("utf-8")
         except UnicodeDecodeError:
             yield data.decode("latin-1")
-        return
-    for source in _streams(lambda: iter((data,))):
-        yield from _parts(source)
 
 
 def _character(m: re.Match) -> str:
@@ -252,9 +253,11 @@ def _layers(layer: _Layer) -> Iterator[_Layer]:
         yield layer.replaced(parts)
     if ("\\" in text or "&#" in text) and (parts := [(m.start(), m.end(), _character(m)) for m in _ESCAPE.finditer(text)]):
         yield layer.replaced(parts)
-    for m in _BASE64.finditer(text):
-        for inner in _unbased(m[0]):
-            yield _Layer(inner, [(0, len(inner), *layer.origin(m.start(), m.end()), False)])
+    for pattern in (_BASE64, _WRAPPED):
+        for m in pattern.finditer(text):
+            for inner in _unbased(_BREAK.sub("", m[0])):
+                if inner:
+                    yield _Layer(inner, [(0, len(inner), *layer.origin(m.start(), m.end()), False)])
 
 
 def spans(text: str) -> list[tuple[int, int, int, bool]]:
