@@ -188,7 +188,8 @@ def repeated_spans(df: DataFrame, window: int = WINDOW, minimiser: int = MINIMIS
     heads = df.mapInArrow(sketch, "id long, key long, mini long, start int, n int")
     shared = heads.groupBy("mini").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("rows")).where("low < high")
     kept = heads.join(shared.select("mini", (F.col("rows") > few).alias("hot")), "mini")
-    kept = kept.groupBy("id", "key").agg(F.collect_list(F.struct("mini", "start", "n", "hot")).alias("heads"))
+    # A set: repeated rows have the same heads.
+    kept = kept.groupBy("id", "key").agg(F.collect_set(F.struct("mini", "start", "n", "hot")).alias("heads"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: dict[bytes, int] = {}
@@ -256,7 +257,7 @@ def repeated_spans(df: DataFrame, window: int = WINDOW, minimiser: int = MINIMIS
 
     done = cut(routed.mapInArrow(bucket, _OUT))
     spans = done.where("sid is null").select("id", "key", "start", "stop").union(_hot_spans(done.where("sid is not null"), window))
-    return spans.groupBy("id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return spans.groupBy("id", "key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
 def _hot_spans(rows: DataFrame, window: int) -> DataFrame:
