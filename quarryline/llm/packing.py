@@ -9,9 +9,9 @@ texts with such white space are tokenised whole. Each document ends with an end
 Packing is sum-of-squares: a piece goes where the sum, over all residual gaps,
 of the squared number of open sequences with that gap becomes smallest; a new
 sequence is one of the choices. Pieces are dealt to buckets by a hash of their
-document, so each bucket has a bounded number of small rows however large a
-source or a group of copies is, and a bucket packs on its own, larger pieces
-first. A bucket leaves a few open sequences; with thousands of pieces in it
+place in the input, so each bucket has a bounded number of small rows however large a
+source or a group of copies is, however many rows share an id and however long
+texts are, and a bucket packs on its own, larger pieces first. A bucket leaves a few open sequences; with thousands of pieces in it
 they do not count.
 
 A null text is empty and has only the end id. Repeated rows are packed each. An
@@ -35,8 +35,8 @@ from quarryline.llm.sentencepiece_codec import pack_ids
 
 SEQUENCE = 2048
 END_ID = 0
-#: Documents in a bucket, about.
-BUCKET_DOCS = 40_000
+#: Pieces in a bucket, about; byte-level ids stand for a byte or more, so there are never over four times as many.
+BUCKET_PIECES = 50_000
 KEEP_CHARS = 64
 #: Fixed: the pre-tokens of byte-level vocabularies.
 PRE_TOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -189,7 +189,7 @@ def pack(pieces: DataFrame, n_buckets: int, size: int = SEQUENCE) -> DataFrame:
         sequence, offset = sum_of_squares(rows["length"].to_numpy(), size)
         return rows.assign(sequence_id=(int(key[0]) << 32) + sequence, offset=offset)
 
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(1, n_buckets)))
+    bucket = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(1, n_buckets)))
     return pieces.groupBy(bucket.alias("bucket")).applyInPandas(run, schema)
 
 
@@ -200,4 +200,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed(docs: DataFrame) -> DataFrame:
     pieces = token_pieces(docs, default_tokenizer()).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(pieces, -(-docs.count() // BUCKET_DOCS))
+    about = docs.agg(F.sum(1 + F.coalesce(F.floor(F.octet_length("text") / (4 * SEQUENCE)), F.lit(0)))).first()[0] or 0
+    return pack(pieces, -(-about // BUCKET_PIECES))
