@@ -42,53 +42,50 @@ ANCHORS = (
     "al", "con", "del", "el", "las", "los", "no", "para", "por", "se", "su", "y",
 )
 RANGE_DOCS = 1024
-MOST_RANGES = 1024
+#: The driver holds a number for each range; beyond so many ranges, ranges hold more documents and sort with spills.
+MOST_RANGES = 16_384
 
-_ANCHOR = "(?:" + "|".join(sorted(ANCHORS, key=lambda w: (-len(w), w))) + ")"
-# No group repeats without being possessive: Java's matcher would recurse once for each repetition.
-_MARKED = rf" ({_ANCHOR})(?= )"
-_BEFORE_MARKED = " [^ \x02]+\x02(?= [^ \x02]+\x02)"
-_SPOT = "(?=(?<= )([^ \x02]+\x02[^ ]+ [^ ]+) )"
+#: No group repeats without being possessive: Java's matcher would recurse once for each repetition.
 _EQUAL = "([0-9A-F]{8})(?: \\1)*+"
 _GRAM = "(?s)(?=(...))"
 
 
 def with_signatures(df: DataFrame, text_col: str = "text", out: str = "hashes") -> DataFrame:
-    """df with the hashes of the text's signatures (64-bit numbers below 2 ** 32), distinct and in order.
+    """df with the hashes of the text's signatures (64-bit numbers from 2 ** 31 to 2 ** 32), distinct and in order.
 
     The steps are columns of their own, so that each is computed once.
     """
-    text, names = F.col(text_col), [f"_{out}_{k}" for k in ("words", "joined", "split", "sorted", "runs")]
-    words, joined, split, ordered, runs = map(F.col, names)
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    df = df.withColumn(names[0], F.regexp_replace(padded, "^ +| +$", " "))
-    marked = F.regexp_replace(F.regexp_replace(words, _MARKED, " $1\x02"), _BEFORE_MARKED, "")
-    spots = F.regexp_extract_all(F.replace(marked, F.lit("\x02 "), F.lit("\x02")), F.lit(_SPOT), 1)
-    # Anchors between the words of a chain go.
-    df = df.withColumn(names[1], F.regexp_replace(F.array_join(spots, "\n"), " [^ \x02\n]*\x02", " "))
-    df = df.withColumn(names[2], F.split(F.concat(F.lit("^"), words, F.lit("$")), " "))
-    none = F.array().cast("array<bigint>")
-    one = lambda s: _low(F.hash(s))
-    spotted = F.when(joined == "", none).otherwise(F.transform(F.split(joined, "\n"), one))
-    pairs = F.zip_with(F.slice(split, F.lit(1), F.size(split) - 1), F.slice(split, F.lit(2), F.size(split) - 1), lambda a, b: _low(F.hash(a, b)))
+    text, names = F.col(text_col), [f"_{out}_{k}" for k in ("words", "steps", "content", "sorted", "runs")]
+    words, steps, content, ordered, runs = map(F.col, names)
+    df = df.withColumn(names[0], F.concat(F.array(F.lit("^")), F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""), F.array(F.lit("$"))))
+    # Each word with the one before it.
+    last = F.size(words) - 1
+    df = df.withColumn(names[1], F.zip_with(F.slice(words, F.lit(1), last), F.slice(words, F.lit(2), last), lambda a, b: F.struct(a.alias("before"), b.alias("word"))))
+    df = df.withColumn(names[2], F.filter(steps, lambda s: ~s["word"].isin(*ANCHORS)))
+    pairs = F.transform(steps, lambda s: _high(F.hash(s["before"], s["word"])))
+    # A content word right after an anchor, and the next content word.
+    chain = lambda s, t: F.when(s["before"].isin(*ANCHORS) & (t["word"] != "$"), _high(F.hash(s["before"], s["word"], t["word"])))
+    spots = F.filter(F.zip_with(content, F.slice(content, F.lit(2), F.size(content)), chain), lambda h: h.isNotNull())
+    one = lambda s: _high(F.hash(s))
     wordless = F.when(F.char_length(text) < 3, F.array(one(text))).otherwise(F.transform(F.regexp_extract_all(F.lower(text), F.lit(_GRAM), 1), one))
-    hashed = F.when(text == "", none).when(words == " ", wordless).otherwise(F.concat(spotted, pairs))
+    hashed = F.when(text == "", F.array().cast("array<bigint>")).when(last == 1, wordless).otherwise(F.concat(spots, pairs))
     df = df.withColumn(names[3], F.sort_array(hashed))
     # Equal ones stand together: the first keeps its hash, the k-th gets one of its own.
     repeats = F.filter(ordered, lambda h, i: h == F.get(ordered, i - 1))
-    digits = F.array_join(F.transform(repeats, lambda h: F.lpad(F.hex(h), 8, "0")), " ")
+    digits = F.array_join(F.transform(repeats, F.hex), " ")
     df = df.withColumn(names[4], F.regexp_extract_all(digits, F.lit(_EQUAL), 0))
-    numbered = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), ((F.length(r) + 1) / 9).cast("int")), lambda k: _low(F.hash(F.substring(r, 1, 8), k)))))
+    numbered = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), ((F.length(r) + 1) / 9).cast("int")), lambda k: _high(F.hash(F.substring(r, 1, 8), k)))))
     return df.withColumn(out, F.when(F.size(runs) == 0, ordered).otherwise(F.sort_array(F.array_distinct(F.concat(ordered, numbered))))).drop(*names)
 
 
-def _low(h: Column) -> Column:
-    return h.cast("long").bitwiseAND(0xFFFFFFFF)
+def _high(h: Column) -> Column:
+    """31 bits of a hash below a one, so that all have eight hexadecimal digits."""
+    return h.cast("long").bitwiseAND(0x7FFFFFFF) + F.lit(0x80000000)
 
 
 def fingerprint(hashes: Column) -> Column:
     """The set as text, eight hexadecimal digits for each hash."""
-    return F.array_join(F.transform(hashes, lambda h: F.lower(F.lpad(F.hex(h), 8, "0"))), "")
+    return F.lower(F.array_join(F.transform(hashes, F.hex), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -98,12 +95,22 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(both / F.greatest(union, F.lit(1)))
 
 
+def _cuts_below(col: str, cuts: list[int]) -> Column:
+    """How many of the cuts, in order, the column reaches: first among the heads of about as many groups as a group has cuts."""
+    step = math.isqrt(len(cuts) - 1) + 1
+    groups = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+    reached = lambda several: F.size(F.filter(several, lambda c: c <= F.col(col)))
+    heads = reached(F.array(*(F.lit(g[0]) for g in groups)))
+    inner = F.get(F.array(*(F.lit(g) for g in groups)), heads - 1)
+    return F.when(heads == 0, 0).otherwise((heads - 1) * step + reached(inner))
+
+
 def with_next(df: DataFrame, made: Callable[[DataFrame], DataFrame], columns: tuple[str, ...], range_docs: int = RANGE_DOCS) -> DataFrame:
     """doc_id, text, the columns that ``made`` adds and, as next_*, text and those of the next row in order of id."""
     n = df.count()
     p = max(1, min(MOST_RANGES, -(-n // range_docs)))
     cuts = df.select(F.percentile_approx("doc_id", [k / p for k in range(1, p)], max(10_000, 20 * p)).alias("c")).first()["c"] if p > 1 and n else None
-    place = F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
+    place = _cuts_below("doc_id", sorted(set(cuts))) if cuts else F.lit(0)
     placed = df.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(p + 1)).otherwise(place))
     names = ["text", *columns]
     full = made(placed.repartition("range"))
