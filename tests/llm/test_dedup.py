@@ -145,6 +145,17 @@ def test_removal_equals_brute_force(spark, monkeypatch, few):
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_words"]) for r in got.collect()) == brute_removal(rows, 50)
 
 
+def test_repeated_rows_take_linear_time(spark):
+    """5,000 rows alike in id and text, and as many with a null id: one set of spans each."""
+    passage = " ".join(f"p{i}" for i in range(120))
+    rows = [(1, passage)] + [(2, passage + " end")] * 5000 + [(None, passage)] * 5000
+    df = documents(spark, rows).withColumn("id", F.coalesce("doc_id", F.lit(2**63 - 1))).withColumn("key", F.xxhash64("text"))
+    got = {r["id"]: r["spans"] for r in substring_dedup.repeated_spans(df.select("id", "key", "text")).collect()}
+    assert set(got) == {2, 2**63 - 1} and all(len(s) <= 120 for s in got.values())
+    kept = substring_dedup.remove_repeats(documents(spark, rows)).groupBy("doc_id", "n_removed", "kept_words").count().collect()
+    assert sorted((str(r["doc_id"]), r["n_removed"], r["count"]) for r in kept) == [("1", 0, 1), ("2", 120, 5000), ("None", 120, 5000)]
+
+
 def test_kept_text_keeps_its_form(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(1, passage), (2, f"One\nline.\n{passage}\nLast  line."), (3, "as it\n is ")]

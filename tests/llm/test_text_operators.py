@@ -5,7 +5,9 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
+from collections import Counter
 from urllib.parse import quote
 
 import numpy as np
@@ -106,6 +108,12 @@ def test_packing_query(spark):
     assert packing.packed(documents(spark, [])).count() == 0
 
 
+def test_rows_of_one_id_are_dealt_to_all_buckets(spark):
+    rows = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(0).alias("piece"), (1 + F.col("id") % 900).alias("length"))
+    got = packing.pack(rows, 8).groupBy((F.col("sequence_id") / 2**32).cast("int").alias("bucket")).count().collect()
+    assert len(got) == 8 and max(r["count"] for r in got) < 1000
+
+
 SECRET = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
 
 
@@ -151,6 +159,28 @@ def test_secrets_of_compressed_layers(monkeypatch):
     assert {s for s, _, k, b in secret_scan.spans(text) if k == 0 and not b} >= {len(big) + 1, text.rindex(small)}
 
 
+def test_secrets_in_forms_of_base64():
+    """Right after a path or word, in wrapped lines, and as UTF-16."""
+    run = base64.b64encode(("x" * 40 + " " + SECRET + " " + "y" * 40).encode()).decode()
+    lines = "\r\n  ".join(run[k : k + 76] for k in range(0, len(run), 76))
+    wide = base64.b64encode(SECRET.encode("utf-16")).decode()
+    for text in (*(f"see {'abc'[:k]}/{run} end" for k in range(4)), f"id_{run}", f"id{run}", f"head\n  {lines}\nafter it", f"x {wide} y"):
+        assert any(k == 0 and not b for _, _, k, b in secret_scan.spans(text)), text[:40]
+        assert "04dbebab" not in secret_scan.redacted(text)
+
+
+def test_long_nested_escapes_take_linear_time():
+    unit = quote(quote("a%b ") + "\\u0041 ")
+    took = []
+    for size in (100_000, 400_000):
+        text, began = unit * (size // len(unit)) + quote(SECRET), time.time()
+        assert any(k == 0 for _, _, k, _ in secret_scan.spans(text))
+        took.append(time.time() - began)
+    began = time.time()
+    assert secret_scan.spans(base64.b64encode(random.Random(2).randbytes(1_000_000)).decode()) == []
+    assert took[1] < 10 * took[0] and time.time() - began < 20
+
+
 def brute_base(text):
     assign = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     out = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 8]
@@ -276,6 +306,34 @@ def test_signatures_of_edge_texts(spark):
     assert all(h == sorted(set(h)) for h in got.values())
 
 
+def brute_signatures(text):
+    """The multiset of a text's signatures."""
+    words = re.findall(r"[^\W_]+", text.lower())
+    if not words:
+        return Counter([text] if 0 < len(text) < 3 else [text.lower()[k : k + 3] for k in range(len(text) - 2)])
+    chain = ["^", *words, "$"]
+    content = [(a, b) for a, b in zip(chain, words) if b not in spot_signatures.ANCHORS]
+    return Counter(zip(chain, chain[1:])) + Counter((a, b, c) for (a, b), (_, c) in zip(content, content[1:]) if a in spot_signatures.ANCHORS)
+
+
+def test_fingerprints_equal_brute_force(spark):
+    """Likeness to the edited and to the next text as of multisets of the signatures themselves, and as many as those."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    texts = [r["text"] or "" for r in docs]
+    rows = {r["doc_id"]: r for r in spot_signatures.op5_fingerprints(spark, SMALL).collect()}
+
+    def like(x, y):
+        both, either = sum((x & y).values()), sum((x | y).values())
+        return both / either if either else 1.0
+
+    for i, (r, t) in enumerate(zip(docs, texts)):
+        nxt, got = texts[(i + 1) % len(texts)], rows[r["doc_id"]]
+        edited = t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]
+        a, b, c = map(brute_signatures, (t, edited, nxt))
+        assert abs(got["near_edited"] - like(a, b)) < 1e-3 and abs(got["near_next"] - like(a, c)) < 1e-3
+        assert abs(len(got["fingerprint"]) // 8 - sum(a.values())) <= 1
+
+
 @pytest.mark.parametrize("ranges", [2, 1000])
 def test_next_document(spark, ranges):
     ids = [5, 1, 1, None, 900, 2, 7, 8, 30]
