@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import language_id, near_dedup, packing, secret_scan, substring_dedup
-from quarryline.llm.common import shared_path, table
+from quarryline.llm.common import remove_path, shared_path, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Cosines of random texts are smaller; those of texts of a word or two are not.
@@ -20,8 +20,13 @@ LEAST_COSINE = 0.05
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is known; those without a letter or unlike any language go."""
+    """Documents in a language that is known; those without a letter or unlike any language go.
+
+    Where no document tells its language, none can be learned: all with a letter stay.
+    """
     prototypes = language_id.train(docs)
+    if not prototypes:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     judged = language_id.predict(docs, prototypes, keep=COLUMNS[1:])
     kept = judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_COSINE))
     return kept.select(*COLUMNS)
@@ -63,9 +68,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = shared_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove_path(spark, before)  # the next one stands whole
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -74,12 +74,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of shared_path, in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Memo:
     """A bounded table of computed values; when it is full, what was not used lately goes."""
 
     def __init__(self, limit: int = 300_000):
         self.limit, self.new, self.old = limit, {}, {}
 
+    def clear(self) -> None:
+        self.new, self.old = {}, {}
+
     def take(self, keys: Iterable, compute) -> dict:
         """A dict with at least these keys; compute maps a list of keys to their values."""
         new = self.new

@@ -8,8 +8,7 @@ of its texts. A text has the language whose prototype has the largest cosine
 with it, and that cosine (0 if negative) as its score.
 
 The bundle of a text is computed from the counts of its distinct n-grams, the
-vectors of which a Python worker keeps (at most ``N_CLASSES`` ** 3 of them, in
-practice some ten thousand). a-z have vectors of their own; all other letters
+vectors of which a task keeps (``KEPT`` of them; beyond that it begins anew). a-z have vectors of their own; all other letters
 share ``OTHER`` vectors by code point, so neighbouring letters of an alphabet
 differ.
 
@@ -36,6 +35,10 @@ from quarryline.llm.common import bucket_of, chunks, table, text_or_empty
 N_DIMS = 512
 OTHER = 101
 N_CLASSES = 128
+#: Vectors of n-grams that a task keeps.
+KEPT = 32_768
+#: N-grams that are summed at a time.
+PART = 4096
 TRAIN_DOCS = 4000
 UNKNOWN = "und"
 _SCALE = 1 << 20
@@ -61,7 +64,10 @@ class Grams:
         self.known = 0
 
     def rows(self, grams: np.ndarray) -> np.ndarray:
-        """The row of each of these distinct n-grams."""
+        """The row of each of these distinct n-grams, at most PART."""
+        if self.known + np.count_nonzero(self.row[grams] < 0) > KEPT:
+            self.row.fill(-1)
+            self.known = 0
         if len(new := grams[self.row[grams] < 0]):
             a, b, c = new // N_CLASSES**2, new // N_CLASSES % N_CLASSES, new % N_CLASSES
             made = np.roll(self.letters[a], 2, axis=1) * np.roll(self.letters[b], 1, axis=1) * self.letters[c]
@@ -81,8 +87,11 @@ class Grams:
         kinds = kinds[np.concatenate([[True], (kinds[1:] != 0) | (kinds[:-1] != 0)])]
         grams = (kinds[:-2] * N_CLASSES + kinds[1:-1]) * N_CLASSES + kinds[2:]
         grams, count = np.unique(grams, return_counts=True)
-        rows = self.rows(grams)
-        return count.astype(np.float32) @ self.vectors[rows].astype(np.float32)
+        total = np.zeros(self.vectors.shape[1], np.float32)
+        for at in range(0, len(grams), PART):
+            rows = self.rows(grams[at : at + PART])
+            total += count[at : at + PART].astype(np.float32) @ self.vectors[rows].astype(np.float32)
+        return total
 
 
 @lru_cache(maxsize=2)
@@ -138,6 +147,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc
                 [part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *(part.column(2 + i) for i in range(len(keep)))],
                 names=["doc_id", "lang_pred", "score", *keep],
             )
+        _grams.cache_clear()  # a worker goes on to other tasks
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return rows.mapInArrow(run, ", ".join([f"doc_id {kinds['doc_id']}", "lang_pred string", "score double", *(f"`{c}` {kinds[f'keep_{c}']}" for c in keep)]))

@@ -3,7 +3,7 @@
 Tokens: byte-level BPE never merges across pre-tokens, and a place before a
 space is a pre-token's start unless white space stands on both sides of it.
 Texts are split there and each distinct chunk is tokenised once for all its
-occurrences that a worker meets (a bounded table that lives with the worker);
+occurrences that a task meets (a bounded table);
 texts with such white space are tokenised whole. Each document ends with an end id.
 
 Packing is sum-of-squares: a piece goes where the sum, over all residual gaps,
@@ -149,6 +149,7 @@ def token_pieces(df: DataFrame, path: str, size: int = SEQUENCE, end_id: int = E
                 [part.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
                 names=["doc_id", "piece", "start", "length", "ids"],
             )
+        tokenizer(path).memo.clear()  # a worker goes on to other tasks
 
     return documents(df, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 

@@ -56,6 +56,8 @@ def test_edge_documents(spark):
         docs = spark.createDataFrame(stage(spark, docs, SMALL).collect(), "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted((str(r["doc_id"]), r["text"]) for r in docs.collect()) == [("4", "the cat and the dog"), ("None", "the bird and the fish")]
     assert P.sequences(spark, docs, SMALL).count() == 2
+    unknown = spark.createDataFrame([(1, "the cat", None, "s", 7), (2, "12 !", None, "s", 4)], docs.schema)
+    assert [r["doc_id"] for r in P.language(spark, unknown, SMALL).collect()] == [1]
     empty = docs.limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, SMALL).count() == 0
