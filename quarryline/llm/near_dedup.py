@@ -23,11 +23,12 @@ and a class is a connected component of the links.
    and all others are compared with it (multiset overlap, exactly): as many pairs as
    texts. Across the components that a bucket still holds, two texts either share
    a shingle that at most ``RARE`` texts have, and meet by it, or overlap in
-   frequent shingles only, and are compared if there are enough of those. So no link
+   frequent shingles only, and are compared if there are enough of those, in the first of
+   the buckets that they share. So no link
    between texts that met in a bucket is lost, pairs within a component are never
    listed, and texts that differ from their original in ways of their own do not
    meet each other.
-5. Components by smallest labels and pointer jumping, as Spark joins.
+5. Components by contraction of the links, as Spark joins: after a round few links are left.
 
 The result has a row for each row of the input: doc_id, class_id (smallest doc_id
 of the class) and class_size (rows). Null texts are empty, and all empty texts are
@@ -247,18 +248,24 @@ def linked(pairs: DataFrame, bags_: DataFrame, threshold: float) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and label (the smallest node of its component) of each node of the edges (a, b)."""
-    edges = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node")
-    labels = cut(labels)
-    while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("seen")).withColumnRenamed("a", "node")
-        moved = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = cut(moved.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
-        if new.where("label < old").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+    """node and label (one node of its component) of each node of the edges (a, b).
+
+    Each round maps a node to the smallest of itself and its neighbours and the edges with it, so that
+    most edges become one or none. Nodes are hashes, so chains of them are in no order and shrink by a share.
+    """
+    low, high = lambda a, b: F.least(a, b).alias("a"), lambda a, b: F.greatest(a, b).alias("b")
+    edges = cut(edges.select(low("a", "b"), high("a", "b")).where("a < b").distinct())
+    steps = [edges.select(F.col("a").alias("node"), F.col("a").alias("to")).limit(0)]
+    while not edges.isEmpty():
+        near = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).union(edges.select("b", "a"))
+        to = cut(near.groupBy("node").agg(F.least(F.min("near"), F.col("node")).alias("to")))
+        steps.append(to)
+        moved = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+        edges = cut(moved.select(low("x", "y"), high("x", "y")).where("a < b").distinct())
+    labels = steps.pop().withColumnRenamed("to", "label")
+    for to in steps[:0:-1]:
+        labels = to.join(labels.withColumnRenamed("node", "to"), "to", "left").select("node", F.coalesce("label", "to").alias("label"))
+    return cut(labels)
 
 
 def _possible(a: str, b: str, threshold: float, shared: str = "common") -> Column:
@@ -291,10 +298,13 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # Pairs across the components of a bucket.
     named = judged.join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
     split = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("texts")).where("low < high and texts > 2").select("key")
-    open_ = cut(named.join(split, "key", "left_semi"))
+    open_ = named.join(split, "key", "left_semi")
+    open_ = cut(open_.join(open_.groupBy("tid").agg(F.collect_set("key").alias("keys")), "tid"))
     apart = F.expr("x.tid < y.tid and x.label <> y.label")
-    alike = open_.alias("x").join(open_.alias("y"), F.expr("x.key = y.key") & apart & _possible("x", "y", threshold, "frequent"))
-    by_rare = rare.where("texts > 1").join(open_.drop("key").distinct(), "tid").select("element", "tid", "n", "common", "label")
+    # Texts that meet in several buckets are a pair in the first of them only.
+    here = F.expr("array_min(array_intersect(x.keys, y.keys)) = x.key")
+    alike = open_.alias("x").join(open_.alias("y"), F.expr("x.key = y.key") & apart & _possible("x", "y", threshold, "frequent") & here)
+    by_rare = rare.where("texts > 1").join(open_.select("tid", "n", "common", "label").distinct(), "tid").select("element", "tid", "n", "common", "label")
     alike_rare = by_rare.alias("x").join(by_rare.alias("y"), F.expr("x.element = y.element") & apart & _possible("x", "y", threshold))
     across = alike.select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b")).union(alike_rare.select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b")))
     further = cut(linked(across.distinct().join(pairs, ["a", "b"], "left_anti"), bags_, threshold))
