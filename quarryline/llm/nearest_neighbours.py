@@ -46,7 +46,7 @@ TREES = 8
 LEAF = 200
 SAMPLE = 4096
 ENOUGH = 0.001
-BEAM = 160
+BEAM = 200
 GROUP = 96
 
 
