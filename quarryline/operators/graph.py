@@ -143,3 +143,36 @@ def intervals(df: DataFrame, lane: str, start: str, end: str, least: float = 6.0
     clamp = lambda c: F.least(F.greatest(F.col(c), F.lit(0)), F.lit(100)).cast("double")
     placed = df.withColumns({"x0": clamp(start), "x1": F.greatest(clamp(end), clamp(start) + least)})
     return placed.withColumn("row", F.row_number().over(Window.partitionBy(lane).orderBy("x0", "x1", *[c for c in ("id",) if c in df.columns])) - 1)
+
+
+def page_event_counts(pages: DataFrame) -> DataFrame:
+    """event_name and the number of pages that have it."""
+    return pages.select(F.explode("life_events").alias("event_name")).groupBy("event_name").agg(F.count("*").alias("n"))
+
+
+# The services of events, by patterns in name or status, and by cluster.
+# (services, pattern, whether it is also sought in the status, words that a cluster contains, whole clusters)
+EVENT_SERVICES = (
+    (("Medicare", "NDIS", "State Health"), "disab|mental|injur|diagnos|medical|health", True, ("health",), ()),
+    (("State Housing", "Local Council", "Shelter/Services"), "rent|home|homeless|moving", False, ("housing",), ()),
+    (("Dept. of Education", "University/TAFE", "TEQSA/ASQA"), "school|tertiary|university|tafe|apprent", True, ("education",), ()),
+    (("Services Australia", "ATO", "Workforce Australia"), "work|job|unemploy|career", False, (), ("working", "unemployment", "business")),
+    (("Family Court", "Services Australia"), "parent|baby|child|separat|foster|adopt", False, (), ("relationships", "family dissolution", "forming family", "caring")),
+    (("Police", "Courts", "Legal Aid"), "court|charge|arrest|sentence|prison|crime", False, ("crime",), ()),
+    (("Emergency Services", "Disaster Recovery"), "flood|fire|storm|drought|pandemic", False, ("disaster",), ()),
+    (("Home Affairs", "Settlement Services"), "immi|visa|citizen|refugee|migrat", True, ("coming to australia",), ()),
+    (("DVA",), "veteran|dva|service record", False, (), ()),
+    (("Financial Counselling", "ASIC/AFCA"), "financial|debt|bank|bankrupt", False, ("finance",), ()),
+)
+
+
+def inferred_services(name: Column, status: Column, cluster: Column) -> Column:
+    """The services that an event's name, eligibility status and cluster tell of, each once."""
+    low = [F.lower(F.coalesce(c, F.lit(""))) for c in (name, status, cluster)]
+
+    def fits(pattern: str, by_status: bool, parts: tuple[str, ...], whole: tuple[str, ...]) -> Column:
+        found = low[0].rlike(pattern) | low[1].rlike(pattern) if by_status else low[0].rlike(pattern)
+        return reduce(lambda a, b: a | b, [F.contains(low[2], F.lit(p)) for p in parts] + [low[2] == w for w in whole], found)
+
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(*(F.when(fits(*rule), F.array(*map(F.lit, names))).otherwise(none) for names, *rule in EVENT_SERVICES)))

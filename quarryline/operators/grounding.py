@@ -124,3 +124,12 @@ def evaluation_metrics(df: DataFrame) -> DataFrame:
 
 def ranked(df: DataFrame, group: str, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+
+
+def crawl_report(log: DataFrame) -> DataFrame:
+    """Totals and means of a crawl, in one row; log has a row for each page: success, duration, fragments and extraction (seconds)."""
+    fragments = F.sum("fragments")
+    return log.agg(
+        F.count("*").alias("urls_crawled"), fragments.alias("fragments_extracted"), F.count_if(~F.col("success")).alias("errors"), F.round(100 * F.avg((~F.col("success")).cast("int")), 2).alias("error_rate"),
+        F.avg("duration").alias("avg_page_load_time"), F.try_divide(F.sum("extraction"), fragments).alias("avg_extraction_time"),
+    )

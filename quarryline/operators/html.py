@@ -10,12 +10,11 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as T
 from quarryline.functions import urls as U
-from quarryline.functions.hashing import fragment_id
 from quarryline.operators import tagging
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -23,11 +22,14 @@ HEADINGS = ("h1", "h2", "h3", "h4")
 # What counts as a fragment's container, content and standalone section.
 CONTENT_TAGS = ("p", "ul", "ol", "table", "form")
 CONTENT_CLASSES = ("content", "info-box")
-SECTION_CLASSES = ("alert", "warning-box", "info-panel", "checklist", "step-list")
+
+#: Where a heading without content beside it takes all that stands in its parent.
+WRAPPERS = ("div", "section", "article")
 
 SCHEMA = (
-    "page string, pos int, standalone boolean, level int, heading string, anchor string, content_text string, content_html string, breadcrumbs array<string>, title string, "
-    "has_form boolean, has_table boolean, has_list boolean, has_ol boolean, has_checklist boolean, has_alert boolean, has_card boolean, has_video boolean, has_info boolean"
+    "page string, pos int, standalone boolean, level int, title string, anchor string, key string, content_text string, content_html string, styles array<string>, page_hierarchy array<string>, "
+    "hierarchy_lvl0 string, hierarchy_lvl1 string, hierarchy_lvl2 string, hierarchy_lvl3 string, has_form boolean, has_table boolean, has_list boolean, has_checklist boolean, "
+    "is_checklist boolean, is_alert boolean, has_warning boolean, has_card boolean, has_video boolean, is_info boolean"
 )
 
 
@@ -72,8 +74,11 @@ class Node:
                 stack.extend(reversed(x.children))
         return "".join(parts)
 
+    def is_(self, tags: tuple[str, ...] = (), classes: tuple[str, ...] = ()) -> bool:
+        return self.tag in tags or any(c in self.classes for c in classes)
+
     def has(self, tags: tuple[str, ...] = (), classes: tuple[str, ...] = ()) -> bool:
-        return any(n.tag in tags or any(c in n.classes for c in classes) for n in self.walk())
+        return any(n.is_(tags, classes) for n in self.walk())
 
 
 class _Tree(HTMLParser):
@@ -108,10 +113,6 @@ def parse(html: str) -> Node:
     return tree.root
 
 
-def _squeezed(text: str) -> str:
-    return " ".join(text.split())
-
-
 def _container(root: Node) -> Node:
     for fits in (lambda n: n.tag == "main", lambda n: n.attrs.get("id") == "main-content", lambda n: "main-content" in n.classes, lambda n: n.tag == "article", lambda n: n.tag == "body"):
         if found := next((n for n in root.walk() if fits(n)), None):
@@ -120,12 +121,16 @@ def _container(root: Node) -> Node:
 
 
 def _breadcrumbs(root: Node) -> list[str]:
-    for fits in (lambda n: "breadcrumb" in n.classes, lambda n: n.attrs.get("aria-label", "").lower() == "breadcrumb", lambda n: "breadcrumbs" in n.classes):
-        for node in root.walk():
-            if fits(node):
-                items = [_squeezed(n.text()) for n in node.walk() if n.tag == "li"] or [_squeezed(n.text()) for n in node.walk() if n.tag == "a"]
-                if items := [i for i in items if i and i not in (">", "/")]:
-                    return items
+    """The items of the first kind of breadcrumbs that has any."""
+    for fits in (
+        lambda n: "breadcrumb" in n.classes,
+        lambda n: n.tag == "nav" and n.attrs.get("aria-label") == "breadcrumb",
+        lambda n: "breadcrumbs" in n.classes,
+        lambda n: "breadcrumb" in n.attrs.get("class", ""),
+    ):
+        items = {id(n): n for node in root.walk() if fits(node) for n in node.walk() if n.tag == "li" and n is not node}
+        if items:
+            return [t for n in items.values() if (t := n.text().strip()) and t not in (">", "/")]
     return []
 
 
@@ -133,41 +138,74 @@ def _is_content(node: Node) -> bool:
     return node.tag in CONTENT_TAGS or (node.tag == "div" and "content" in node.classes) or "info-box" in node.classes
 
 
-def _row(page: str, pos: int, alone: bool, level: int | None, heading: str, anchor: str | None, parts: list[Node], crumbs: list[str], title: str) -> tuple:
-    any_ = lambda tags=(), classes=(): any(p.has(tags, classes) for p in parts)
+def _is_alert(node: Node) -> bool:
+    return "alert" in node.classes or node.attrs.get("role") == "alert"
+
+
+#: Fixed: the kinds of standalone sections, in order.
+SECTIONS = (
+    lambda n: "alert" in n.classes, lambda n: "warning-box" in n.classes, lambda n: "info-panel" in n.classes, lambda n: n.attrs.get("role") == "alert", lambda n: "checklist" in n.classes, lambda n: "step-list" in n.classes,
+)
+
+
+def _flags(nodes: list[Node], alone: bool) -> tuple[bool, ...]:
+    """What a fragment holds; of a standalone section some flags are those of the section itself."""
+    every = [n for node in nodes for n in node.walk()]
+    any_ = lambda tags=(), classes=(): any(n.is_(tags, classes) for n in every)
+    steps = any(n.tag == "ol" and "steps" in n.classes for n in every)
     return (
-        page, pos, alone, level, heading, anchor, "\n".join(t for p in parts if (t := _squeezed(p.text()))), "".join(p.html() for p in parts), crumbs, title,
-        any_(("form",)), any_(("table",)), any_(("ul", "ol")), any_(("ol",)), any_(("ol",), ("checklist",)), any_((), ("alert", "warning", "warning-box")), any_((), ("card",)),
-        any_(("video", "iframe")), any_((), ("info-box", "info-panel")),
+        any_(("form",)), any_(("table",)), any_(("ul", "ol")), any_(("ol",)) or any(n.tag == "ul" and "checklist" in n.classes for n in every),
+        steps or ("checklist" in nodes[0].classes if alone else any_((), ("checklist",))), _is_alert(nodes[0]) if alone else any(map(_is_alert, every)), any_((), ("alert", "warning")),
+        any_((), ("card", "info-box")), any(n.tag == "video" or (n.tag == "iframe" and "youtube" in n.attrs.get("src", "")) for n in every), any(c in nodes[0].classes for c in ("info-box", "info-panel")),
     )
 
 
+def _content(heading: Node, following: Node | None) -> list[Node]:
+    """The content elements after a heading, up to the heading that follows in the document; without any, what else is in the parent."""
+    after, parts = heading.parent.children, []
+    for x in after[after.index(heading) + 1 :]:
+        if x is following:
+            break
+        if isinstance(x, Node) and _is_content(x):
+            parts.append(x)
+    if not parts and heading.parent.tag in WRAPPERS:
+        parts = [c for c in after if isinstance(c, Node) and c.tag not in HEADINGS]
+    return parts
+
+
 def page_rows(page: str, html: str) -> list[tuple]:
     """The fragments of a page in order, then its standalone sections."""
     root = parse(html or "")
     box, crumbs = _container(root), _breadcrumbs(root)
-    title = next((_squeezed(n.text()) for n in root.walk() if n.tag == "title"), "")
+    title = next((n.text() for n in root.walk() if n.tag == "title"), "")
+    styles = ["".join(c for c in n.children if isinstance(c, str)) for n in root.walk() if n.tag == "style"]
     rows: list[tuple] = []
-    for node in box.walk():
-        if node.tag not in HEADINGS or node.parent is None:
+    headings = [n for n in box.walk() if n.tag in HEADINGS and n is not box]
+    for node, following in zip(headings, [*headings, None][1:], strict=True):
+        parts, level = _content(node, following), int(node.tag[1])
+        if not parts and level > 1:
             continue
-        after, parts = node.parent.children, []
-        for x in after[after.index(node) + 1 :]:
-            if isinstance(x, Node):
-                if x.tag in HEADINGS:
-                    break
-                if _is_content(x):
-                    parts.append(x)
-        if not parts and node.tag == "h1":
-            parts = [c for c in box.children if isinstance(c, Node) and c.tag not in HEADINGS and c is not node.parent]
-        level = int(node.tag[1])
-        row = _row(page, len(rows), False, level, _squeezed(node.text()), node.attrs.get("id"), parts, crumbs, title)
-        if row[6] or level == 1:
-            rows.append(row)
-    for node in root.walk():
-        if any(c in node.classes for c in SECTION_CLASSES) or node.attrs.get("role") == "alert":
-            if text := _squeezed(node.text()):
-                rows.append(_row(page, len(rows), True, None, text[:100], node.attrs.get("id"), [node], crumbs, title))
+        heading = node.text().strip()
+        before = [x for x in node.parent.children[: node.parent.children.index(node)] if isinstance(x, Node)]
+        last = lambda tag: next((x.text() for x in reversed(before) if x.tag == tag), "")  # noqa: E731, B023
+        top = crumbs[-1] if crumbs and level > 1 else ""
+        lvl0 = (heading if level == 1 else top) or title or "Content"
+        lvl1 = None if level < 2 else (heading if level == 2 else last("h2")) or "Section"
+        lvl2 = None if level < 3 else (heading if level == 3 else last("h3")) or "Subsection"
+        lvl3 = None if level < 4 else heading or "Item"
+        text = "".join(p.text() for p in parts).strip()
+        rows.append((page, len(rows), False, level, heading or "Untitled", node.attrs.get("id"), page + heading + text, text, "".join(x.html() for x in [node, *parts]), styles,
+                     [c for c in [*crumbs, heading] if c], lvl0, lvl1, lvl2, lvl3, *_flags([node, *parts], False)))
+    met: set[int] = set()
+    for fits in SECTIONS:
+        for node in box.walk():
+            if node is box or id(node) in met or not fits(node):
+                continue
+            met.add(id(node))
+            text = node.text()
+            heading = next((n.text() for n in node.walk() if n.tag in HEADINGS and n is not node), "") or node.attrs.get("aria-label") or "Important Information"
+            inner = "".join(c.html() if isinstance(c, Node) else c for c in node.children)
+            rows.append((page, len(rows), True, None, heading, None, page + text, text.strip(), inner, None, crumbs, crumbs[-1] if crumbs else heading, None, None, None, *_flags([node], True)))
     return rows
 
 
@@ -183,39 +221,26 @@ def split_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     return pages.select(F.col(url_col).alias("page"), F.col(html_col).alias("html")).where("page is not null").mapInPandas(_run, SCHEMA)
 
 
-def hierarchy(level: Column, heading: Column, h2: Column, h3: Column, title: Column) -> dict[str, Column]:
-    """hierarchy_lvl0 to 3 by the heading's own level."""
-    none = F.lit(None).cast("string")
-    return {
-        "hierarchy_lvl0": F.when(level == 1, heading).otherwise(title),
-        "hierarchy_lvl1": F.when(level == 2, heading).when(level > 2, h2).otherwise(none),
-        "hierarchy_lvl2": F.when(level == 3, heading).when(level > 3, h3).otherwise(none),
-        "hierarchy_lvl3": F.when(level == 4, heading).otherwise(none),
-    }
-
-
 def fragments(pages: DataFrame, crawl_version: int, last_seen_at: int, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Fragment rows with ids, hierarchy, flags, reading level, keywords and popularity."""
-    rows = split_pages(pages, url_col, html_col)
-    before = Window.partitionBy("page").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    for k in (1, 2, 3):
-        rows = rows.withColumn(f"h{k}", F.last(F.when(F.col("level") == k, F.col("heading")), ignorenulls=True).over(before))
-    level = F.coalesce("level", F.lit(2))
-    key = F.when(F.col("standalone"), fragment_id(F.col("page"), F.col("content_text"), F.lit(""))).otherwise(fragment_id(F.col("page"), F.col("heading"), F.col("content_text")))
-    rows = rows.withColumn("id", key).withColumns(hierarchy(level, F.col("heading"), F.col("h2"), F.col("h3"), F.coalesce("h1", F.nullif(F.col("title"), F.lit("")), F.col("heading"))))
-    flag = F.col
-    kind = F.when(flag("standalone"), tagging.section_type(flag("has_form"), flag("has_table"), flag("has_checklist"), flag("has_alert"), flag("has_info"))).otherwise(
-        tagging.component_type(flag("has_form"), flag("has_table"), flag("has_checklist"), flag("has_alert"), flag("has_card"), flag("has_video"))
+    """Fragment rows with ids, hierarchy, flags, reading level, keywords and popularity.
+
+    A standalone section has no page_url, anchor, flags, reading level, classes, keywords and popularity.
+    """
+    rows = split_pages(pages, url_col, html_col).withColumn("id", F.md5("key"))
+    flag, alone = F.col, F.col("standalone")
+    whole = lambda c: F.when(~alone, c)
+    kind = F.when(alone, tagging.section_type(flag("has_form"), flag("has_table"), flag("is_checklist"), flag("is_alert"), flag("is_info"))).otherwise(
+        tagging.component_type(flag("has_form"), flag("has_table"), flag("is_checklist"), flag("is_alert"), flag("has_card"), flag("has_video"))
     )
-    score = T.popularity(level, flag("has_form"), flag("has_alert"), flag("has_list"), flag("has_table"), F.col("content_text"))
+    score = T.popularity(F.coalesce("level", F.lit(2)), flag("has_form"), flag("has_warning"), flag("has_list"), flag("has_table"), F.concat("title", "content_text"))
+    anchor = F.coalesce(F.nullif(F.col("anchor"), F.lit("")), F.col("id"))
     return rows.select(
         "id", F.lit(crawl_version).alias("crawl_version"), F.lit(last_seen_at).cast("long").alias("last_seen_at"),
-        F.concat("page", F.lit("#"), F.coalesce(F.nullif(F.col("anchor"), F.lit("")), F.col("id"))).alias("url"), U.base_url(F.col("page")).alias("page_url"), "anchor",
-        F.col("heading").alias("title"), "content_text", "content_html", U.site_hierarchy(F.col("page")).alias("site_hierarchy"),
-        F.filter(F.concat("breadcrumbs", F.array("heading")), lambda x: x != "").alias("page_hierarchy"), *(f"hierarchy_lvl{k}" for k in range(4)),
-        kind.alias("component_type"), "has_form", "has_checklist", T.reading_level(F.col("content_text")).alias("reading_level"), class_set(F.col("content_html")).alias("classes"),
-        F.regexp_extract_all("content_html", F.lit("(?s)<style[^>]*>(.*?)</style>"), 1).alias("inline_styles"), T.keywords(F.col("content_text")).alias("search_keywords"),
-        score.alias("popularity_score"), (100 - score).alias("popularity_sort"), "pos",
+        F.concat("page", F.lit("#"), anchor).alias("url"), whole(U.base_url(F.col("page"))).alias("page_url"), whole(anchor).alias("anchor"),
+        "title", "content_text", "content_html", U.site_hierarchy(F.col("page")).alias("site_hierarchy"), "page_hierarchy", *(f"hierarchy_lvl{k}" for k in range(4)),
+        kind.alias("component_type"), whole(flag("has_form")).alias("has_form"), whole(flag("has_checklist")).alias("has_checklist"), whole(T.reading_level(F.col("content_text"))).alias("reading_level"),
+        whole(class_set(F.col("content_html"))).alias("classes"), F.col("styles").alias("inline_styles"), whole(T.keywords(F.col("content_text"))).alias("search_keywords"),
+        whole(score).alias("popularity_score"), (100 - F.coalesce(whole(score), F.lit(0))).alias("popularity_sort"), "pos",
     )
 
 
@@ -233,3 +258,21 @@ def text_statistics(text: Column, html: Column) -> Column:
         T.word_count(text).alias("word_count"), links.alias("link_count"), count(r"(?i)<[uo]l[\s>]").alias("list_count"), count(r"(?i)<(?:strong|em|b|i)[\s>]").alias("emphasis_count"),
         (count(r"(?i)<img[\s>]") > 0).alias("has_images"), (links > 0).alias("has_links"),
     )
+
+
+def selector_path(node: Node) -> str:
+    """A selector from below the html element, or from the nearest element with an id, down to the node."""
+    steps: list[str] = []
+    while node is not None and node.parent is not None and node.tag != "html":
+        if node.attrs.get("id"):
+            steps.append(f"{node.tag}#{_escaped(node.attrs['id'])}")
+            break
+        steps.append(f"{node.tag}.{_escaped(node.classes[0])}" if node.classes else node.tag)
+        node = node.parent
+    return " > ".join(reversed(steps))
+
+
+def _escaped(name: str) -> str:
+    """name as an identifier of a selector."""
+    out = "".join(c if c.isalnum() or c in "-_" or ord(c) >= 0x80 else f"\\{c}" for c in name)
+    return f"\\3{out[0]} {out[1:]}" if out[:1].isdigit() else out

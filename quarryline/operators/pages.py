@@ -76,3 +76,8 @@ def node_title(title: Column, url: Column) -> Column:
     return F.coalesce(F.nullif(title, F.lit("")), url)
 
 
+
+
+def distinct_hosts(df: DataFrame, url_col: str = "url") -> DataFrame:
+    """The hosts of urls, each once."""
+    return df.select(U.host(F.col(url_col)).alias("host")).distinct()

@@ -112,6 +112,7 @@ def next_events(graph: DataFrame, profiles: DataFrame, most: int = 20) -> DataFr
 
 def inferred_events() -> Column:
     """Life events that a profile's data imply."""
+    # The events' names and limits of age.
     child = lambda low, high: F.coalesce(F.exists("children", lambda c: (c["age"] >= low) & (c["age"] < high)), F.lit(False))
     age = F.col("age")
     return compact(
@@ -127,9 +128,14 @@ def inferred_events() -> Column:
 
 
 def built(profiles: DataFrame) -> DataFrame:
-    """Profiles with empty lists for missing ones and the inferred events among the current ones."""
-    lists = ("citizenship", "disabilities", "current_life_events", "completed_life_events")
-    filled = profiles.withColumns({c: or_empty(F.col(c)) for c in lists} | {"is_carer": F.coalesce("is_carer", F.lit(False))})
+    """Profiles with the inferred events among the current ones.
+
+    Where they are missing, citizenship is Australian, the state National, and lists are empty.
+    """
+    lists = [c for c in ("disabilities", "current_life_events", "completed_life_events", "disaster_affected") if c in profiles.columns]
+    state = F.coalesce("residency_state", F.lit("National")) if "residency_state" in profiles.columns else F.lit("National")
+    own = {"is_carer": F.coalesce("is_carer", F.lit(False)), "citizenship": F.coalesce("citizenship", F.array(F.lit("Australian"))), "residency_state": state}
+    filled = profiles.withColumns({c: or_empty(F.col(c)) for c in lists} | own)
     return filled.withColumn("current_life_events", F.array_union("current_life_events", inferred_events()))
 
 
@@ -170,3 +176,32 @@ def profile_facets(profile: dict, facets: dict) -> dict:
     if events:
         found["life_event"] = found.get("life_event") or events[0]
     return found
+
+
+#: Fixed: what life events say of those who have them.
+EVENT_ATTRIBUTES = {
+    "Having a baby": {"required_children": True, "children_age_ranges": [{"min": 0, "max": 1}]},
+    "Raising Kids": {"required_children": True, "children_age_ranges": [{"min": 0, "max": 18}]},
+    "Work": {"required_employment_status": ["employed", "self-employed"]},
+    "Unemployment": {"required_employment_status": ["unemployed", "job-seeking"]},
+    "Ageing": {"min_age": 65},
+    "Disability": {"required_disabilities": ["any"]},
+    "Student": {"required_employment_status": ["student"]},
+    "Carer": {"required_caring_status": True},
+}
+
+
+def event_attributes(event: Column) -> Column:
+    """A struct of the eligibility attributes of a life event, null where it says nothing."""
+
+    def of(name: str, kind: str) -> Column:
+        value = F.lit(None).cast(kind)
+        for known, attributes in EVENT_ATTRIBUTES.items():
+            if name in attributes:
+                v = attributes[name]
+                made = F.array(*(F.struct(*(F.lit(n).alias(k) for k, n in x.items())) if isinstance(x, dict) else F.lit(x) for x in v)) if isinstance(v, list) else F.lit(v)
+                value = F.when(event == known, made.cast(kind)).otherwise(value)
+        return value.alias(name)
+
+    kinds = {"min_age": "int", "required_children": "boolean", "children_age_ranges": "array<struct<min: int, max: int>>", "required_employment_status": "array<string>", "required_disabilities": "array<string>", "required_caring_status": "boolean"}
+    return F.struct(*(of(k, t) for k, t in kinds.items()))

@@ -27,9 +27,9 @@ ROLES = (
     ("eligibility", ("eligib",), ("eligib", "who-can-get")),
     ("how_to_apply", ("how to claim", "apply"), ("how-to-claim",)),
     ("payment_rates", ("how much you can get", "payment rate"), ("you-can-get",)),
-    ("supporting_documents", ("proving your", "proof of", "prepare to claim", "supporting information"), ()),
+    ("required_documents", ("proving your", "proof of", "prepare to claim", "supporting information", "medical evidence"), ()),
     ("reviews_appeals", ("review", "appeal"), ()),
-    ("change_of_circumstances", ("change of circumstance", "update details", "manage your payment", "study changes"), ()),
+    ("manage_service", ("change of circumstance", "update details", "manage your payment", "study changes", "report income"), ()),
     ("overview", ("overview", "about"), ()),
 )
 FREQUENCIES = (("fortnightly", ("fortnightly",)), ("monthly", ("monthly",)), ("quarterly", ("quarterly",)), ("annually", ("annually", "yearly")), ("one_off", ("one-off", "lump sum")))

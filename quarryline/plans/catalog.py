@@ -297,20 +297,23 @@ def filter_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH p AS (SELECT c_mktsegment || '-' || c_nationkey AS p_id, (count(*) % 60)::INTEGER AS age, round(avg(c_acctbal))::INTEGER AS income FROM customer GROUP BY c_mktsegment, c_nationkey),
-d AS (SELECT p_partkey AS id, p_size AS min_age, p_size + 10 AS max_age, (p_retailprice * 2)::INTEGER AS min_income, (p_retailprice * 4)::INTEGER AS max_income, p_size % 7 * 15 AS urgency FROM part)
-SELECT p_id, id, 1.0::DOUBLE AS eligibility_score, round(0.5 + CASE WHEN urgency = 0 THEN 50 ELSE urgency END / 100.0 * 0.2, 6)::DOUBLE AS relevance_score
-FROM p JOIN d ON min_age <= age AND max_age >= age AND min_income <= income AND max_income >= income
+d AS (SELECT p_partkey AS id, p_size AS min_age, p_size + 10 AS max_age, (p_retailprice * 2)::INTEGER AS min_income, (p_retailprice * 4)::INTEGER AS max_income, p_size % 7 * 15 AS urgency, p_partkey % 3 AS k FROM part),
+m AS (SELECT *, row_number() OVER (PARTITION BY p_id ORDER BY id) AS r FROM p JOIN d ON min_age <= age AND max_age >= age AND min_income <= income AND max_income >= income),
+s AS (SELECT *, CASE k WHEN 0 THEN [] WHEN 1 THEN ['now'] ELSE ['now', 'other'] END AS events,
+  ((min_age <> 0 OR max_age <> 0)::INT + 1 + CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 0.5 END) / ((min_age <> 0 OR max_age <> 0)::INT + 1 + (k > 0)::INT) AS elig, CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 0.75 END AS ev FROM m WHERE r <= 250)
+SELECT p_id, id, round(elig, 6)::DOUBLE AS eligibility_score, round(elig * 0.5 + CASE WHEN urgency = 0 THEN 50 ELSE urgency END / 100.0 * 0.2 + ev * 0.3, 6)::DOUBLE AS relevance_score FROM s
 """)
 def eligible_services(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = table(spark, sf_dir, "customer").groupBy("c_mktsegment", "c_nationkey").agg((F.count("*") % 60).cast("int").alias("age"), F.round(F.avg("c_acctbal")).cast("int").alias("income"))
     none = F.array().cast("array<string>")
-    profiles = profiles.select(F.concat_ws("-", "c_mktsegment", "c_nationkey").alias("id"), "age", "income", none.alias("citizenship"), none.alias("current_life_events"), none.alias("completed_life_events"))
+    profiles = profiles.select(F.concat_ws("-", "c_mktsegment", "c_nationkey").alias("id"), "age", "income", none.alias("citizenship"), F.array(F.lit("now")).alias("current_life_events"), F.array(F.lit("done")).alias("completed_life_events"))
+    k = F.col("p_partkey") % 3
+    events = F.when(k == 1, F.array(F.lit("now"))).when(k == 2, F.array(F.lit("now"), F.lit("other"))).otherwise(none)
     docs = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"), F.col("p_size").alias("min_age"), (F.col("p_size") + 10).alias("max_age"), F.round(F.col("p_retailprice") * 2).cast("int").alias("min_income"),
-        F.round(F.col("p_retailprice") * 4).cast("int").alias("max_income"), (F.col("p_size") % 7 * 15).alias("urgency_score"), none.alias("required_citizenship"), none.alias("life_events"), none.alias("prerequisite_states"),
+        F.round(F.col("p_retailprice") * 4).cast("int").alias("max_income"), (F.col("p_size") % 7 * 15).alias("urgency_score"), none.alias("required_citizenship"), events.alias("life_events"), F.array(F.lit("done")).alias("prerequisite_states"),
     )
-    found = Q.matched(docs, profiles)
-    return found.select("p_id", "id", Q.eligibility_score().alias("eligibility_score"), F.round(Q.relevance_score(), 6).alias("relevance_score"))
+    return Q.eligible_services(docs, profiles).select("p_id", "id", F.round("eligibility_score", 6).alias("eligibility_score"), F.round("relevance_score", 6).alias("relevance_score"))
 
 
 def _small_graph(spark: SparkSession) -> DataFrame:
@@ -323,7 +326,13 @@ def _small_graph(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, ddl).withColumns({"frequent_concurrents": F.array().cast("array<string>"), "concurrent_disallowed": F.array().cast("array<string>")})
 
 
-@query("SELECT * FROM (VALUES ('work', 'Work', 1), ('study', 'Study', 2), ('school', 'School', 3), ('birth', 'Birth', 3), ('loop', 'Loop', 1)) AS t(id, event_name, depth)")
+@query("""
+WITH RECURSIVE g(id, event_name, prerequisites) AS (VALUES ('birth', 'Birth', []::VARCHAR[]), ('school', 'School', ['birth']), ('study', 'Study', ['school', 'birth']), ('work', 'Work', ['study', 'school', 'gone']), ('house', 'House', ['work', 'loop']), ('loop', 'Loop', ['house'])),
+e AS (SELECT id AS src, unnest(prerequisites) AS dst, generate_subscripts(prerequisites, 1) AS pos FROM g),
+w AS (SELECT id AS node, [id] AS seen, []::BIGINT[] AS place, 0 AS depth FROM g WHERE event_name = 'House'
+  UNION ALL SELECT e.dst, list_append(seen, e.dst), list_append(place, e.pos::BIGINT), depth + 1 FROM w JOIN e ON e.src = w.node WHERE depth < 3 AND NOT list_contains(seen, e.dst) AND e.dst IN (SELECT id FROM g))
+SELECT f.id, event_name, depth::INTEGER AS depth FROM (SELECT node AS id, arg_min(depth, place) AS depth FROM w WHERE depth > 0 GROUP BY 1) f JOIN g USING (id)
+""")
 def prerequisite_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.prerequisite_chain(_small_graph(spark), "House").select("id", "event_name", "depth")
 
@@ -380,8 +389,8 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n FROM events WHERE epoch(ts)::BIGINT // 86400 >= (SELECT max(epoch(ts)::BIGINT // 86400) FROM events) - 7 GROUP BY 1")
 def prune_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = table(spark, sf_dir, "events").withColumn("crawl_version", F.datediff("ts", F.lit("1970-01-01").cast("date")))
-    newest = days.agg(F.max("crawl_version").alias("v")).first()["v"]
-    return K.prune(days, newest - 7).groupBy("event_type").agg(F.count("*").alias("n"))
+    newest = days.agg(F.max("crawl_version").alias("newest"))  # one row
+    return K.prune(days.crossJoin(newest), F.col("newest") - 7).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS context, count(*) AS turns FROM conversations GROUP BY conv_id")
@@ -400,7 +409,10 @@ def missing_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.missing_references(table(spark, sf_dir, "labels"), "doc_id", table(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id").select("doc_id")
 
 
-@query("SELECT * FROM (VALUES ('title', 'string', NULL, 'missing'), ('n_chars', 'int', 'bigint', 'mismatched'), ('source', NULL, 'string', 'extra'), ('doc_id', NULL, 'bigint', 'extra')) AS t(name, expected, actual, status)")
+@query("""
+WITH e(name, expected) AS (VALUES ('text', 'string'), ('lang', 'string'), ('n_chars', 'int'), ('title', 'string')), a AS (SELECT column_name AS name, CASE column_type WHEN 'VARCHAR' THEN 'string' ELSE lower(column_type) END AS actual FROM (DESCRIBE documents))
+SELECT name, expected, actual, CASE WHEN actual IS NULL THEN 'missing' WHEN expected IS NULL THEN 'extra' ELSE 'mismatched' END AS status FROM e FULL JOIN a USING (name) WHERE expected IS DISTINCT FROM actual
+""")
 def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = spark.createDataFrame([("text", "string"), ("lang", "string"), ("n_chars", "int"), ("title", "string")], "name string, type string")
     return I.schema_diff(expected, I.schema_frame(table(spark, sf_dir, "documents")))
@@ -426,10 +438,14 @@ def ranked_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.ranked_content(rows, "en", None, "y").select(F.col("id").alias("page_id"), "score")
 
 
-@query()
+@query(r"""
+WITH p AS (SELECT url, html, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h, regexp_extract(html, '(?s)<h1>.*?</h1>(.*?)</article>', 1) AS body FROM pages),
+t AS (SELECT url, trim(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS title, trim(replace(replace(replace(replace(regexp_replace(body, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), chr(10) || ' ') AS body FROM p WHERE contains(html, '<h1>'))
+SELECT md5(url || title || body) AS id, url || '#' || md5(url || title || body) AS url, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || %%HOST(url) || regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS page_url,
+  title, title AS hierarchy_lvl0, 'content' AS component_type, 100::INTEGER AS popularity_score, 0::INTEGER AS pos FROM t
+""")
 def html_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fragments of all pages; HTML parsing has no SQL."""
-    return P.fragments(table(spark, sf_dir, "pages"), 1, 1000).select("id", "url", "page_url", "title", "hierarchy_lvl0", "component_type", "reading_level", "popularity_score", "pos")
+    return P.fragments(table(spark, sf_dir, "pages"), 1, 1000).select("id", "url", "page_url", "title", "hierarchy_lvl0", "component_type", "popularity_score", "pos")
 
 
 @query()

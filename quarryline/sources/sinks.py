@@ -11,8 +11,8 @@ from quarryline.operators.quality import evolved
 
 
 def upsert(current: DataFrame, new: DataFrame, key: str = "id", version: str = "crawl_version") -> DataFrame:
-    """current with the rows of new in place of those with the same key; of several new rows of a key the latest."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version)))
+    """current with the rows of new in place of those with the same key; of several new rows of a key the latest, and of equally late ones the first as JSON."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version), F.to_json(F.struct(*new.columns))))
     latest = new.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
     return current.join(latest.select(key), key, "left_anti").unionByName(latest, allowMissingColumns=True)
 

@@ -22,14 +22,27 @@ def fragments(spark):
 
 def test_fragments(fragments):
     rows = {r["title"]: r for r in fragments.collect()}
-    assert set(rows) == {"Age Pension", "Eligibility", "Income", "Forms", "Closing soon"}
-    top, income, forms = rows["Age Pension"], rows["Income"], rows["Forms"]
+    assert set(rows) == {"Age Pension", "Eligibility", "Income", "Forms", "Important Information"}
+    top, income, forms, alone = rows["Age Pension"], rows["Income"], rows["Forms"], rows["Important Information"]
     assert top["url"] == "https://H.org/pay/age?x=1#top" and top["page_url"] == "https://h.org/pay/age" and top["classes"] == ["lead", "big"]
-    assert (income["hierarchy_lvl0"], income["hierarchy_lvl1"], income["hierarchy_lvl2"], income["hierarchy_lvl3"]) == ("Age Pension", "Eligibility", "Income", None)
-    assert income["component_type"] == "checklist" and income["has_checklist"] and rows["Eligibility"]["component_type"] == "table" and forms["component_type"] == "form"
+    assert (income["hierarchy_lvl0"], income["hierarchy_lvl1"], income["hierarchy_lvl2"], income["hierarchy_lvl3"]) == ("Pay", "Eligibility", "Income", None)
+    assert income["component_type"] == "content" and income["has_checklist"] and rows["Eligibility"]["component_type"] == "table" and forms["component_type"] == "form"
     assert top["page_hierarchy"] == ["Home", "Pay", "Age Pension"] and top["site_hierarchy"] == ["h.org", "pay", "age"]
-    assert rows["Closing soon"]["component_type"] == "alert" and all(r["popularity_sort"] == 100 - r["popularity_score"] for r in rows.values())
-    assert len({r["id"] for r in rows.values()}) == 5
+    assert alone["component_type"] == "alert" and alone["page_url"] is None and alone["hierarchy_lvl0"] == "Pay" and alone["content_text"] == "Closing soon"
+    assert all(r["popularity_sort"] == 100 - (r["popularity_score"] or 0) for r in rows.values()) and len({r["id"] for r in rows.values()}) == 5
+
+
+def test_wrapped_headings_sections_and_breadcrumbs():
+    page = """<body><ol class="my-breadcrumb-x"><li>A</li><li>/</li><li>B</li></ol><a class="breadcrumb">no item</a><article>
+    <h1>Top</h1><div><h2>Wrapped</h2><span>In a span</span></div><section><h3>Deep</h3><div>beside</div></section><h4>Last</h4><p>end</p>
+    <div class="info-panel" aria-label="Know"><ol class="steps"><li>1</li></ol></div><div class="alert" role="alert"><h3>Danger</h3>now</div><iframe src="https://x.org/v"></iframe></article><div class="alert">outside</div></body>"""
+    rows = {r["title"]: r for r in (dict(zip([c.split()[0] for c in html.SCHEMA.split(", ")], r)) for r in html.page_rows("u/", page))}
+    assert set(rows) == {"Top", "Wrapped", "Deep", "Last", "Know", "Danger"}
+    assert rows["Top"]["content_text"] == "end" and rows["Wrapped"]["content_text"] == "In a span" and rows["Deep"]["content_text"] == "beside" and rows["Last"]["content_text"] == "end"
+    assert rows["Know"]["is_checklist"] and rows["Know"]["is_info"] and rows["Danger"]["is_alert"] and rows["Danger"]["page_hierarchy"] == ["A", "B"]
+    assert rows["Deep"]["hierarchy_lvl1"] == "Section" and rows["Last"]["hierarchy_lvl2"] == "Subsection" and rows["Last"]["hierarchy_lvl3"] == "Last" and not rows["Top"]["has_video"]
+    node = next(n for n in html.parse('<div id="1a"><p class="b:c d"><b>x</b></p></div>').walk() if n.tag == "b")
+    assert html.selector_path(node) == "div#\\31 a > p.b\\:c > b"
 
 
 def test_page_roll_up(spark, fragments):
@@ -37,7 +50,7 @@ def test_page_roll_up(spark, fragments):
     row = pages.roll_up(tagged).collect()
     assert len(row) == 1
     page = row[0]
-    assert page["fragment_count"] == 5 and page["title"] == "Age Pension" and page["categories"] == ["Pay"] and len(page["embedding"]) == 256
+    assert page["fragment_count"] == 5 and page["title"] == "Pay" and page["categories"] == ["Pay"] and len(page["embedding"]) == 256
     assert page["out_links"] == ["https://h.org/x/y", "https://o.net/z"] and page["out_link_tokens"] == ["h.org", "h.org/x", "o.net", "o.net/z"]
     assert sum(x * x for x in page["embedding"]) == pytest.approx(1) and page["content_text"].startswith("Who can get it.")
     long_ = spark.createDataFrame([("p", i, str(i), "x" * 9000) for i in range(20)], "page_url string, pos int, id string, content_text string")
@@ -229,6 +242,8 @@ def test_profiles(spark, life):
     poor = docs.select(*docs.columns, *(F.lit(v).alias(f"p_{k}") for k, v in (("age", 20), ("income", 9000))), F.array(F.lit("z")).alias("p_citizenship"))
     assert {r["id"]: r["v"] for r in poor.select("id", profile.reasons().alias("v")).collect()}["d1"] == ["Must be at least 60 years old", "Income must be below $5,000", "Requires c citizenship"]
     built = profile.built(people).first()
+    missing = profile.built(people.withColumns({"citizenship": F.lit(None).cast("array<string>"), "residency_state": F.lit(None).cast("string")})).first()
+    assert (missing["citizenship"], missing["residency_state"]) == (["Australian"], "National")
     assert built["current_life_events"] == ["E", "Raising Kids", "Ageing", "Education", "Caring for someone", "Health and Disability"]
     assert people.select(profile.completeness(people).alias("v")).first()["v"] == pytest.approx(6 / 7)
     stages = spark.range(1).select(*(profile.life_stage(F.lit(a)).alias(str(a)) for a in (17, 18, 30, 50, 65))).first()
@@ -246,6 +261,7 @@ def test_services(spark):
     assert tag(spark, services.service_name(F.lit("Age Pension"), c), c="who can get it") == "Age Pension"
     assert tag(spark, services.service_code(c), c="Age Pension for Widows") == "AGE_P_FOR_WID" and tag(spark, services.service_id(c), c="Age  Pension!").startswith("svc_age-pension-_")
     assert tag(spark, services.fragment_role(c, F.lit("u")), c="How to claim it") == "how_to_apply" and tag(spark, services.fragment_role(c, F.lit("/who-can-get")), c="x") == "eligibility"
+    assert tag(spark, services.fragment_role(c, F.lit("u")), c="Medical evidence") == "required_documents" and tag(spark, services.fragment_role(c, F.lit("u")), c="Report income") == "manage_service"
     assert tag(spark, services.payment_amounts(c), c="$1,000.50 per week or $20 then $30 per week") == {"week": "30", "fortnight": "20"} and tag(spark, services.payment_amounts(c), c="none") is None
     assert tag(spark, services.income_limit(c), c="income under $1,200. income over $9") == 1200 and tag(spark, services.ages(c), c="aged 67 or over, age 20") == [67, 20]
     rows = spark.createDataFrame(
