@@ -12,7 +12,7 @@ keeps its ``K`` nearest. Pairs of which both came by old edges are not compared
 again. The members of a pivot with over ``GROUP`` are dealt to several groups: none of
 them is left out, but pairs of different groups are not compared at that pivot. Each
 descent deals them differently, and in such groups pairs of old edges are compared too, as they may not
-have met. Large leaves are dealt too, differently in each tree. The descent ends when of 1,000 edges less than one changes; each
+have met. Large leaves are dealt too, differently in each tree. The descent ends when of 200 edges less than one changes; each
 change makes an edge shorter, so it ends.
 
 A query starts at its own node and goes on from all of its ``BEAM`` nearest nodes
@@ -45,7 +45,7 @@ K = 20
 TREES = 8
 LEAF = 200
 SAMPLE = 4096
-ENOUGH = 0.001
+ENOUGH = 0.005
 BEAM = 200
 GROUP = 96
 
@@ -183,7 +183,8 @@ def first_graph(points: DataFrame, sample: np.ndarray, n: int, k: int, trees: in
 def descend(graph: DataFrame, points: DataFrame, k: int, salt: int = 0) -> DataFrame:
     """The graph (node, near, d, new) after one join of neighbours of neighbours; salt tells how large pivots are dealt."""
     ends = graph.select(F.col("node").alias("pivot"), F.col("near").alias("member"), "new").union(graph.select(F.col("near").alias("pivot"), F.col("node").alias("member"), "new"))
-    ends = ends.groupBy("pivot", "member").agg(F.max("new").alias("new"))
+    # One shuffle by pivot serves this, the count of members and the join with it.
+    ends = ends.repartition("pivot").groupBy("pivot", "member").agg(F.max("new").alias("new"))
     bound = graph.groupBy("node").agg(F.max("d").alias("worst"), F.count("*").alias("has"))
     carried = points.join(bound, "node", "left").select(F.col("node").alias("member"), "held", F.when(F.col("has") >= k, F.col("worst")).otherwise(float("inf")).alias("worst"))
     # A pivot with many neighbours becomes several groups.
@@ -212,7 +213,7 @@ def descend(graph: DataFrame, points: DataFrame, k: int, salt: int = 0) -> DataF
 
     found = met.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(compare, _EDGE)
     both = graph.select("node", "near", "d", F.lit(False).alias("new")).union(found.select("node", "near", "d", F.lit(True)))
-    merged = both.groupBy("node", "near").agg(F.min("d").alias("d"), F.min("new").alias("new"))
+    merged = both.repartition("node").groupBy("node", "near").agg(F.min("d").alias("d"), F.min("new").alias("new"))
     return nearest(merged, k)
 
 
