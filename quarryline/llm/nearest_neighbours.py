@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from quarryline.llm.common import cut, table
+from quarryline.llm.common import cut, dealt, parts_for, table
 
 K = 20
 TREES = 8
@@ -48,6 +48,8 @@ SAMPLE = 4096
 ENOUGH = 0.005
 BEAM = 200
 GROUP = 96
+#: Nodes, links and met nodes to a partition of a round, where the session has more partitions than that makes.
+EACH_NODES, EACH_LINKS, EACH_MET = 250, 10_000, 5_000
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -180,17 +182,18 @@ def first_graph(points: DataFrame, sample: np.ndarray, n: int, k: int, trees: in
     return nearest(found.groupBy("node", "near").agg(F.min("d").alias("d")), k)
 
 
-def descend(graph: DataFrame, points: DataFrame, k: int, salt: int = 0) -> DataFrame:
-    """The graph (node, near, d, new) after one join of neighbours of neighbours; salt tells how large pivots are dealt."""
+def descend(graph: DataFrame, points: DataFrame, k: int, salt: int = 0, parts: int | None = None) -> DataFrame:
+    """The graph (node, near, d, new) after one join of neighbours of neighbours; salt tells how large pivots are dealt, parts the partitions (None: the session's)."""
+    by = lambda df, col: df.repartition(col) if parts is None else df.repartition(parts, col)
     ends = graph.select(F.col("node").alias("pivot"), F.col("near").alias("member"), "new").union(graph.select(F.col("near").alias("pivot"), F.col("node").alias("member"), "new"))
     # One shuffle by pivot serves this, the count of members and the join with it.
-    ends = ends.repartition("pivot").groupBy("pivot", "member").agg(F.max("new").alias("new"))
-    bound = graph.groupBy("node").agg(F.max("d").alias("worst"), F.count("*").alias("has"))
-    carried = points.join(bound, "node", "left").select(F.col("node").alias("member"), "held", F.when(F.col("has") >= k, F.col("worst")).otherwise(float("inf")).alias("worst"))
+    ends = by(ends, "pivot").groupBy("pivot", "member").agg(F.max("new").alias("new"))
+    bound = dealt(graph, parts, "node").groupBy("node").agg(F.max("d").alias("worst"), F.count("*").alias("has"))
+    carried = dealt(points, parts, "node").join(bound, "node", "left").select(F.col("node").alias("member"), "held", F.when(F.col("has") >= k, F.col("worst")).otherwise(float("inf")).alias("worst"))
     # A pivot with many neighbours becomes several groups.
-    parts = ends.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).alias("parts"), F.max("new").alias("any")).where("any")
-    met = ends.join(parts, "pivot").select(F.xxhash64("pivot", F.pmod(F.xxhash64("member", F.lit(salt)), "parts")).alias("pivot"), "member", (F.col("new") | (F.col("parts") > 1)).alias("new"))
-    met = met.join(carried, "member").select("pivot", "member", "held", "worst", "new")
+    sizes = ends.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).alias("parts"), F.max("new").alias("any")).where("any")
+    met = ends.join(sizes, "pivot").select(F.xxhash64("pivot", F.pmod(F.xxhash64("member", F.lit(salt)), "parts")).alias("pivot"), "member", (F.col("new") | (F.col("parts") > 1)).alias("new"))
+    met = dealt(met, parts, "member").join(carried, "member").select("pivot", "member", "held", "worst", "new")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, near, ds, rows = [], [], [], 0
@@ -211,25 +214,28 @@ def descend(graph: DataFrame, points: DataFrame, k: int, salt: int = 0) -> DataF
                     node, near, ds, rows = [], [], [], 0
         yield _edges(node, near, ds)
 
-    found = met.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(compare, _EDGE)
+    found = by(met, "pivot").sortWithinPartitions("pivot").mapInArrow(compare, _EDGE)
     both = graph.select("node", "near", "d", F.lit(False).alias("new")).union(found.select("node", "near", "d", F.lit(True)))
-    merged = both.repartition("node").groupBy("node", "near").agg(F.min("d").alias("d"), F.min("new").alias("new"))
+    merged = by(both, "node").groupBy("node", "near").agg(F.min("d").alias("d"), F.min("new").alias("new"))
     return nearest(merged, k)
 
 
 def build(points: DataFrame, sample: np.ndarray, n: int, k: int = K, leaf: int = LEAF) -> DataFrame:
     """node, near and d (squared) of the neighbour graph."""
     graph = cut(first_graph(points, sample, n, k, leaf=leaf).withColumn("new", F.lit(True)))
-    salt = 0
+    salt, parts = 0, parts_for(points.sparkSession, n, EACH_NODES)
     while graph.where("new").count() > ENOUGH * n * k:
-        graph = cut(descend(graph, points, k, salt))
+        graph = cut(descend(graph, points, k, salt, parts))
         salt += 1
     return graph.select("node", "near", "d")
 
 
 def search(queries: DataFrame, points: DataFrame, graph: DataFrame, beam: int = BEAM) -> DataFrame:
     """query, node and d (squared) of all nodes that the queries (query, start, held) have met."""
+    spark = points.sparkSession
     links = cut(graph.select("node", "near").union(graph.select("near", "node")).distinct())
+    by_node = parts_for(spark, links.count(), EACH_LINKS)
+    by_query = parts_for(spark, queries.count() * beam, EACH_MET)
     asked = queries.select("query", F.col("held").alias("asked"))
     nodes = points.select(F.col("node").alias("near"), "held")
 
@@ -242,17 +248,20 @@ def search(queries: DataFrame, points: DataFrame, graph: DataFrame, beam: int =
     rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "node"))
     met = cut(queries.select("query", F.col("start").alias("node"), F.lit(0.0).alias("d"), F.lit(False).alias("left")))
     while True:
+        met = dealt(met, by_query, "query")
         ranked = met.withColumn("rank", rank)
         going = ranked.where((F.col("rank") <= beam) & ~F.col("left")).select("query", "node")
-        onward = going.join(links, "node").select("query", "near").distinct()
-        onward = onward.join(met.select("query", F.col("node").alias("near")), ["query", "near"], "left_anti")
-        fresh = onward.join(nodes, "near").join(asked, "query").select("query", "near", "held", "asked").mapInArrow(measure, "query long, node long, d double")
+        onward = dealt(going, by_node, "node").join(dealt(links, by_node, "node"), "node").select("query", "near")
+        onward = dealt(onward, by_query, "query", "near").distinct()
+        onward = onward.join(dealt(met.select("query", F.col("node").alias("near")), by_query, "query", "near"), ["query", "near"], "left_anti")
+        fresh = dealt(onward, by_node, "near").join(dealt(nodes, by_node, "near"), "near")
+        fresh = dealt(fresh, by_query, "query").join(dealt(asked, by_query, "query"), "query").select("query", "near", "held", "asked").mapInArrow(measure, "query long, node long, d double")
         # What a query has met beyond its beam it need not rank again: only that it was met.
         new = cut(ranked.select("query", "node", "d", (F.col("left") | (F.col("rank") <= beam)).alias("left")).union(fresh.withColumn("left", F.lit(False))))
         if new.where("not left").isEmpty():
             break
         met = new
-        if met.withColumn("rank", rank).where((F.col("rank") <= beam) & ~F.col("left")).isEmpty():
+        if dealt(met, by_query, "query").withColumn("rank", rank).where((F.col("rank") <= beam) & ~F.col("left")).isEmpty():
             break
     return met.select("query", "node", "d")
 
