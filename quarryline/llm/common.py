@@ -117,3 +117,29 @@ class Memo:
         if len(new) > self.limit:
             self.old, self.new = new, {}
         return new
+
+
+def in_order(df: DataFrame, *order: str) -> DataFrame:
+    """df dealt by ranges of the columns and sorted in each partition, from a reliable checkpoint.
+
+    ``_part`` numbers the partitions and ``_id`` the rows, both rising with the order;
+    ids of a partition have no gap. Rows alike in all columns may stand in several
+    partitions, so that no value is too common for one.
+    """
+    spread = df.withColumn("_salt", F.monotonically_increasing_id())
+    sorted_ = spread.repartitionByRange(*order, "_salt").sortWithinPartitions(*order, "_salt").drop("_salt")
+    return cut(sorted_.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id")))
+
+
+def crc32_sql(bytes_list: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a list of bytes, eight table entries by rule."""
+
+    def entry(x: int) -> int:
+        for _ in range(8):
+            x = (x >> 1) ^ (0xEDB88320 if x & 1 else 0)
+        return x
+
+    step = "c >> 8"
+    for k in range(8):
+        step = f"xor({step}, ((xor(c, b) >> {k}) & 1) * {entry(1 << k)})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_list}), lambda c, b: {step}), 4294967295::BIGINT)"
