@@ -68,6 +68,11 @@ class Request:
             raise ValueError("typos is 0, 1 or 2")
 
 
+def words_of(query: str) -> list[str]:
+    """The query's words, lower-case; none for ``*``."""
+    return [] if query == "*" else "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()
+
+
 def matches(df: DataFrame, key: str, query: str, columns: Sequence[str], typos: int = 2, prefix: bool = True) -> DataFrame:
     """key and text_match of the rows in which each query token matches a token of the columns.
 
@@ -77,9 +82,8 @@ def matches(df: DataFrame, key: str, query: str, columns: Sequence[str], typos:
     times the weight of the column (earlier ones weigh more). The vocabulary is
     matched first, so the distance is computed once for each distinct token.
     """
-    asked = query.lower()
-    wanted = [t for t in "".join(c if c.isascii() and c.isalnum() else " " for c in asked).split()]
-    if query == "*" or not wanted:
+    wanted = words_of(query)
+    if not wanted:
         return df.select(key, F.lit(1.0).alias("text_match"))
     n = len(columns)
     terms = reduce(DataFrame.union, (df.select(key, F.explode(T.token_set(F.col(c), False)).alias("token"), F.lit(float(n - i) / n).alias("weight")) for i, c in enumerate(columns)))
