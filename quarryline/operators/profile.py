@@ -6,10 +6,11 @@ Documents and profiles meet in one frame: the profile's columns carry the prefix
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.sets import compact, or_empty
+from quarryline.operators.intervals import Range, join_points
 
 # Age limits of life stages, and what a complete profile has.
 LIFE_STAGES = ((18, "Youth"), (30, "Young Adult"), (50, "Adult"), (65, "Mature Adult"))
@@ -30,10 +31,10 @@ def given(c: Column) -> Column:
 def matched(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     """Documents and profiles whose age and income lie within the document's bounds (null bounds never match); a citizenship that is required must be had."""
     p = profiles.select(*(F.col(c).alias(f"p_{c}") for c in profiles.columns))
-    inside = lambda k: (F.col(f"min_{k}") <= F.col(f"p_{k}")) & (F.col(f"max_{k}") >= F.col(f"p_{k}"))
+    bounds = [Range(F.col(f"min_{k}"), F.col(f"max_{k}"), F.col(f"p_{k}")) for k in ("age", "income")]
     wanted = or_empty(F.col("required_citizenship"))
     citizen = (F.size(wanted) == 0) | F.coalesce(F.arrays_overlap(wanted, or_empty(F.col("p_citizenship"))), F.lit(False))
-    return docs.join(p, inside("age") & inside("income") & citizen)
+    return join_points(docs, p, bounds).where(citizen)
 
 
 def _events() -> tuple[Column, Column]:
@@ -81,12 +82,12 @@ def reasons() -> Column:
 
 
 def eligible_services(docs: DataFrame, profiles: DataFrame, most: int = 250) -> DataFrame:
-    """The documents that fit each profile with their scores, the most relevant first."""
+    """The documents that fit each profile with their scores; rank counts from the most relevant. The result is not sorted: profiles stay where they are."""
     from quarryline.operators.search import top_per_group
 
     rows = top_per_group(matched(docs, profiles), ["p_id"], [F.asc("id")], most)
     scored = rows.withColumns({"eligibility_score": eligibility_score(), "eligibility_reasons": reasons(), "relevance_score": relevance_score()})
-    return scored.orderBy("p_id", F.desc("relevance_score"), "id")
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("p_id").orderBy(F.desc("relevance_score"), "id")))
 
 
 def likelihood(age: Column, completed: Column) -> Column:
@@ -99,15 +100,17 @@ def likelihood(age: Column, completed: Column) -> Column:
 
 
 def next_events(graph: DataFrame, profiles: DataFrame, most: int = 20) -> DataFrame:
-    """Events near a profile's age whose prerequisites are all had or done, the likeliest first."""
-    from quarryline.operators.search import any_in_range, top_per_group
+    """Events near a profile's age (one of their ages at least 5 below it or more, one at most 10 above) whose prerequisites are all had or done; rank counts from the likeliest."""
+    from quarryline.operators.search import top_per_group
 
     p = profiles.select(F.col("id").alias("p_id"), F.col("age").alias("p_age"), or_empty(F.col("current_life_events")).alias("p_now"), or_empty(F.col("completed_life_events")).alias("p_done"))
-    near = graph.join(p, any_in_range("typical_age_range", F.col("p_age") - 5, F.col("p_age") + 10))
+    ages = Range(F.array_min("typical_age_range") - 10, F.array_max("typical_age_range") + 5, F.col("p_age"))
+    near = join_points(graph, p, [ages])
     near = top_per_group(near, ["p_id"], [F.asc("id")], most)
     known = F.array_union("p_done", "p_now")
     open_ = near.where(F.forall(or_empty(F.col("prerequisites")), lambda x: F.array_contains(known, x)))
-    return open_.withColumn("likelihood", likelihood(F.col("p_age"), F.col("p_done"))).orderBy("p_id", F.desc("likelihood"), "id")
+    likely = open_.withColumn("likelihood", likelihood(F.col("p_age"), F.col("p_done")))
+    return likely.withColumn("rank", F.row_number().over(Window.partitionBy("p_id").orderBy(F.desc("likelihood"), "id")))
 
 
 def inferred_events() -> Column:
