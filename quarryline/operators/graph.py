@@ -11,6 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.operators import profile as Q
+from quarryline.sources.shared import cut
+
 EDGES = {"prerequisites": 0.8, "next_states": 0.6, "frequent_concurrents": 0.4}
 RELATION_WEIGHT = {"prerequisites": 3, "next_states": 2, "frequent_concurrents": 1}
 
@@ -136,6 +139,73 @@ def lanes(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in rules.items())))
 
 
+# The lanes of a timeline: whole clusters, a pattern in name or status, and an event type.
+LANE_RULES = {
+    "education": (("Education",), None, None),
+    "employment": (("Working", "Unemployment", "Business"), None, None),
+    "housing": (("Housing",), None, None),
+    "disability": (("Managing health", "Caring"), "disab|mental|injur", None),
+    "emergencies": (("Natural disaster", "Human-made disaster", "Domestic violence", "Crime and Justice"), None, "crisis"),
+    "family": (("Relationships", "Forming family", "Family dissolution"), None, None),
+    "cultural": (("Coming to Australia", "Identity change"), None, None),
+    "older": (("Growing older", "End of life"), None, None),
+}
+
+
+def event_lanes(name: Column, status: Column, cluster: Column, kind: Column) -> Column:
+    """The lanes of an event by its name, eligibility status, cluster and type, in their order."""
+
+    def holds(clusters: tuple[str, ...], pattern: str | None, of_kind: str | None) -> Column:
+        parts = [cluster.isin(*clusters)]
+        parts += [F.lower(c).rlike(pattern) for c in (name, status)] if pattern else []
+        parts += [kind == of_kind] if of_kind else []
+        return reduce(lambda a, b: a | b, (F.coalesce(c, F.lit(False)) for c in parts))
+
+    return lanes({key: holds(*rule) for key, rule in LANE_RULES.items()})
+
+
+def edges_of(graph: DataFrame, column: str) -> DataFrame:
+    """src, pos and dst of the ids in a column that the graph has."""
+    each = graph.select(F.col("id").alias("src"), F.posexplode(column).alias("pos", "dst"))
+    return each.join(graph.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "pos", "dst")
+
+
+def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """start, id and depth (the least number of steps) of all that edges(src, dst) lead to from starts(start); a start itself has depth 0.
+
+    By rounds: a round takes one step from what the last one found and drops what was
+    found before, so cycles end and no path is listed. Rounds are as many as the longest
+    of the shortest paths; each is a checkpoint. Rows of a round: the edges that leave its nodes.
+    """
+    steps = edges.select("src", "dst").distinct()
+    new = cut(starts.select("start", F.col("start").alias("id"), F.lit(0).alias("depth")).distinct())
+    found, depth = new, 0
+    while (max_depth is None or depth < max_depth) and not new.isEmpty():
+        depth += 1
+        ahead = new.join(steps, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct()
+        new = cut(ahead.join(found.select("start", "id"), ["start", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        found = cut(found.unionByName(new)) if depth % 8 == 0 else found.unionByName(new)
+    return found
+
+
+def journey_view(graph: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Of each profile (id, age, current_life_events, ...) its life stage, completeness and focus point, beside all placed events and clusters of the (bounded) graph.
+
+    An event without a position is placed by its ages and cluster. The focus is the mean of the profile's current
+    events, raised by 10; (0, 10, 0) without any that the graph has.
+    """
+    by_rule = Q.positions(graph).select("id", *(F.col(k).alias(f"_{k}") for k in "xyz"))
+    own = {f"position_{k}": F.coalesce(F.col(f"position_{k}") if f"position_{k}" in graph.columns else F.lit(None).cast("double"), F.col(f"_{k}")) for k in "xyz"}
+    placed = graph.join(by_rule, "id").withColumns(own).select("id", "event_name", "cluster", *own)
+    events = placed.agg(F.sort_array(F.collect_list(F.struct("id", "event_name", *own))).alias("events"))
+    groups = clusters(placed).agg(F.sort_array(F.collect_list(F.struct("cluster", "x", "y", "z", "n"))).alias("clusters"))
+    here = profiles.select(F.col("id").alias("p_id"), F.explode(F.array_distinct("current_life_events")).alias("event_name")).join(placed.select("event_name", *own), "event_name")
+    focus = here.groupBy("p_id").agg(F.struct(F.avg("position_x").alias("x"), (F.avg("position_y") + 10).alias("y"), F.avg("position_z").alias("z")).alias("focus_point"))
+    people = profiles.select(F.col("id").alias("p_id"), Q.life_stage(F.col("age")).alias("life_stage"), Q.completeness(profiles).alias("completeness"))
+    middle = F.struct(F.lit(0.0).alias("x"), F.lit(10.0).alias("y"), F.lit(0.0).alias("z"))
+    return people.join(focus, "p_id", "left").withColumn("focus_point", F.coalesce("focus_point", middle)).crossJoin(events).crossJoin(groups)  # a row each
+
+
 def intervals(df: DataFrame, lane: str, start: str, end: str, least: float = 6.0) -> DataFrame:
     """Rows laid out by lane: ages within 0 to 100, spans of a least length, and the row's index by (start, end)."""
 
@@ -161,7 +231,7 @@ EVENT_SERVICES = (
     (("Police", "Courts", "Legal Aid"), "court|charge|arrest|sentence|prison|crime", False, ("crime",), ()),
     (("Emergency Services", "Disaster Recovery"), "flood|fire|storm|drought|pandemic", False, ("disaster",), ()),
     (("Home Affairs", "Settlement Services"), "immi|visa|citizen|refugee|migrat", True, ("coming to australia",), ()),
-    (("DVA",), "veteran|dva|service record", False, (), ()),
+    (("DVA",), "veteran|dva|service record", True, (), ()),
     (("Financial Counselling", "ASIC/AFCA"), "financial|debt|bank|bankrupt", False, ("finance",), ()),
 )
 

@@ -326,17 +326,6 @@ def _small_graph(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, ddl).withColumns({"frequent_concurrents": F.array().cast("array<string>"), "concurrent_disallowed": F.array().cast("array<string>")})
 
 
-@query("""
-WITH RECURSIVE g(id, event_name, prerequisites) AS (VALUES ('birth', 'Birth', []::VARCHAR[]), ('school', 'School', ['birth']), ('study', 'Study', ['school', 'birth']), ('work', 'Work', ['study', 'school', 'gone']), ('house', 'House', ['work', 'loop']), ('loop', 'Loop', ['house'])),
-e AS (SELECT id AS src, unnest(prerequisites) AS dst, generate_subscripts(prerequisites, 1) AS pos FROM g),
-w AS (SELECT id AS node, [id] AS seen, []::BIGINT[] AS place, 0 AS depth FROM g WHERE event_name = 'House'
-  UNION ALL SELECT e.dst, list_append(seen, e.dst), list_append(place, e.pos::BIGINT), depth + 1 FROM w JOIN e ON e.src = w.node WHERE depth < 3 AND NOT list_contains(seen, e.dst) AND e.dst IN (SELECT id FROM g))
-SELECT f.id, event_name, depth::INTEGER AS depth FROM (SELECT node AS id, arg_min(depth, place) AS depth FROM w WHERE depth > 0 GROUP BY 1) f JOIN g USING (id)
-""")
-def prerequisite_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.prerequisite_chain(_small_graph(spark), "House").select("id", "event_name", "depth")
-
-
 @query("""
 WITH p AS (SELECT c_custkey AS id, (c_custkey % 70)::INTEGER AS age FROM customer),
 g(id, lo, hi, open_) AS (VALUES ('birth', 0, 1, true), ('school', 5, 18, true), ('study', 17, 30, true), ('work', 16, 70, false), ('house', 20, 60, false), ('loop', 20, 40, false))

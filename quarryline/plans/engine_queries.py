@@ -22,13 +22,41 @@ from quarryline.operators import search as S
 from quarryline.operators import services as V
 from quarryline.operators import similarity as J
 from quarryline.operators import tagging as X
-from quarryline.plans.catalog import _sentence, _small_graph, _title, query, table
+from quarryline.plans.catalog import _sentence, _title, query, table
 
 _FR = """fr AS (SELECT doc_id AS pos, doc_id::VARCHAR AS id, 'https://' || coalesce(source, 'none') || '/' AS page_url, %%SENTENCE(text) AS title, text AS content_text, coalesce(lang, 'xx') AS lang, coalesce(source, 'none') AS source,
   (n_chars % 100)::INTEGER AS popularity_sort, 'e' || (doc_id % 3) AS event, CASE WHEN doc_id % 2 = 0 THEN 'NSW' ELSE 'VIC' END AS state FROM documents)"""
-_GRAPH = """g AS (SELECT * FROM (VALUES ('birth', 'Birth', []::VARCHAR[], ['school'], [0, 1], 'Family'), ('school', 'School', ['birth'], ['study', 'work'], [5, 18], 'Education'),
-  ('study', 'Study', ['school', 'birth'], ['work'], [17, 30], 'Education'), ('work', 'Work', ['study', 'school', 'gone'], ['retire'], [16, 70], 'Work'), ('house', 'House', ['work', 'loop'], []::VARCHAR[], [20, 60], 'Housing'),
-  ('loop', 'Loop', ['house'], ['birth'], [20, 40], NULL)) AS t(id, event_name, prerequisites, next_states, ages, cluster))"""
+#: Words of events: what rules seek in their names.
+_WORDS = ("birth", "school", "work", "rent", "medical", "court", "flood", "visa", "leaving", "debt", "parent", "other")
+_CLUSTERS = ("Family", "Work", "Health", "Education", "Housing", None, "Caring", "Crime and Justice", "Growing older", "Coming to Australia", "Forming family", "Working", "Managing health")
+_STATUSES = ("veteran", "student", None, "disability pension", "carer", "mental health plan", "retired")
+_LIST = lambda values: "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
+# Events are parts; one is before another if an order has it on its first line and the other on the second. Some parts are left out, so that their ids dangle.
+_GRAPH = f"""e0 AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey WHERE a.l_linenumber = 1 AND b.l_linenumber = 2),
+before AS (SELECT dst AS k, list(src::VARCHAR ORDER BY src) AS ids FROM e0 GROUP BY 1), after AS (SELECT src AS k, list(dst::VARCHAR ORDER BY dst) AS ids FROM e0 GROUP BY 1),
+g AS (SELECT p_partkey AS k, p_partkey::VARCHAR AS id, {_LIST(_WORDS)}[p_partkey % {len(_WORDS)} + 1] || ' ' || p_partkey AS event_name, coalesce(before.ids, []) AS prerequisites, coalesce(after.ids, []) AS next_states,
+  [p_size, p_size + 10] AS ages, {_LIST(_CLUSTERS)}[p_partkey % {len(_CLUSTERS)} + 1] AS cluster, {_LIST(_STATUSES)}[p_partkey % {len(_STATUSES)} + 1] AS status, CASE WHEN p_partkey % 11 = 0 THEN 'crisis' ELSE 'planned' END AS kind
+  FROM part LEFT JOIN before ON before.k = p_partkey LEFT JOIN after ON after.k = p_partkey WHERE p_partkey % 20 <> 13)"""
+
+
+def _nth(values: tuple[str | None, ...], k: Column) -> Column:
+    return F.get(F.array(*(F.lit(v).cast("string") for v in values)), (k % len(values)).cast("int"))
+
+
+def event_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as life events: an order's first line comes before its second."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    one = lines.where("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").alias("src"))
+    edges = one.join(lines.where("l_linenumber = 2").select("l_orderkey", F.col("l_partkey").alias("dst")), "l_orderkey").select("src", "dst").distinct()
+    listed = lambda key, other, name: edges.groupBy(F.col(key).alias("k")).agg(F.sort_array(F.collect_list(other)).cast("array<string>").alias(name))
+    k, none = F.col("k"), F.array().cast("array<string>")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_size").where("k % 20 <> 13")
+    joined = parts.join(listed("dst", "src", "prerequisites"), "k", "left").join(listed("src", "dst", "next_states"), "k", "left")
+    return joined.select(
+        k.cast("string").alias("id"), F.concat_ws(" ", _nth(_WORDS, k), k.cast("string")).alias("event_name"), F.coalesce("prerequisites", none).alias("prerequisites"), F.coalesce("next_states", none).alias("next_states"),
+        none.alias("frequent_concurrents"), none.alias("concurrent_disallowed"), F.array("p_size", F.col("p_size") + 10).alias("typical_age_range"), _nth(_CLUSTERS, k).alias("cluster"),
+        _nth(_STATUSES, k).alias("eligibility_status"), F.when(k % 11 == 0, "crisis").otherwise("planned").alias("event_type"),
+    )
 
 
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,54 +308,60 @@ def _edges_sql(column: str) -> str:
 
 @query(f"""
 WITH {_GRAPH}, p AS ({_edges_sql("prerequisites")}), n AS ({_edges_sql("next_states")})
-SELECT event_name, coalesce(p.names, '') AS prerequisites, coalesce(n.names, '') AS next_states FROM g LEFT JOIN p USING (event_name) LEFT JOIN n USING (event_name) WHERE event_name IN ('House', 'Work', 'School')
+SELECT event_name, coalesce(p.names, '') AS prerequisites, coalesce(n.names, '') AS next_states FROM g LEFT JOIN p USING (event_name) LEFT JOIN n USING (event_name) WHERE event_name IN ('school 1', 'work 2', 'birth 12')
 """)
 def event_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([("House",), ("Work",), ("School",), ("Nothing",)], "event_name string")
-    return G.neighbourhood(_small_graph(spark), asked).select("event_name", _joined("prerequisites").alias("prerequisites"), _joined("next_states").alias("next_states"))
+    asked = spark.createDataFrame([("school 1",), ("work 2",), ("birth 12",), ("Nothing",)], "event_name string")
+    return G.neighbourhood(event_graph(spark, sf_dir), asked).select("event_name", _joined("prerequisites").alias("prerequisites"), _joined("next_states").alias("next_states"))
+
 
+_WEIGHTS = "w AS (SELECT event_name, sum(weight)::BIGINT AS weight FROM (SELECT h.event_name, 3 AS weight FROM g JOIN g h ON list_contains(g.prerequisites, h.id) WHERE g.event_name = 'work 2' UNION ALL SELECT h.event_name, 2 FROM g JOIN g h ON list_contains(g.next_states, h.id) WHERE g.event_name = 'work 2' UNION ALL SELECT 'work 2', 10) GROUP BY 1)"
 
-_WEIGHTS = "w AS (SELECT event_name, sum(weight)::BIGINT AS weight FROM (SELECT h.event_name, 3 AS weight FROM g JOIN g h ON list_contains(g.prerequisites, h.id) WHERE g.event_name = 'Study' UNION ALL SELECT h.event_name, 2 FROM g JOIN g h ON list_contains(g.next_states, h.id) WHERE g.event_name = 'Study' UNION ALL SELECT 'Study', 10) GROUP BY 1)"
+
+def _with_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments with an event of the graph each."""
+    k = F.col("pos") % 48
+    return fragments(spark, sf_dir).withColumn("life_events", F.array(F.concat_ws(" ", _nth(_WORDS, k), k.cast("string"))))
 
 
 @query(f"WITH {_GRAPH}, {_WEIGHTS} SELECT * FROM w")
 def event_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.relation_weights(_small_graph(spark), "Study").select("event_name", "weight")
+    return G.relation_weights(event_graph(spark, sf_dir), "work 2").select("event_name", "weight")
 
 
 @query(f"""
-WITH {_GRAPH}, {_WEIGHTS}, {_FR}, n AS (SELECT *, ['Study', 'Birth', 'House'][pos % 3 + 1] AS name FROM fr),
+WITH {_GRAPH}, {_WEIGHTS}, {_FR}, n AS (SELECT *, {_LIST(_WORDS)}[pos % 48 % {len(_WORDS)} + 1] || ' ' || pos % 48 AS name FROM fr),
 s AS (SELECT page_url, sum(weight)::BIGINT AS relationship_score FROM (SELECT DISTINCT page_url, name AS event_name FROM n) JOIN w USING (event_name) GROUP BY 1) SELECT id, relationship_score FROM fr JOIN s USING (page_url)
 """)
 def event_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.get(F.array(F.lit("Study"), F.lit("Birth"), F.lit("House")), (F.col("pos") % 3).cast("int"))
-    rows = fragments(spark, sf_dir).withColumn("life_events", F.array(name))
+    rows = _with_events(spark, sf_dir)
     pages = rows.groupBy(F.col("page_url").alias("url")).agg(Z.union_sets("life_events").alias("life_events"))
-    return G.related_fragments(rows, pages, _small_graph(spark), "Study").select("id", "relationship_score")
+    return G.related_fragments(rows, pages, event_graph(spark, sf_dir), "work 2").select("id", "relationship_score")
 
 
 @query(f"""
-WITH {_GRAPH}, kept AS (SELECT id FROM g WHERE event_name IN ('Birth', 'Work') UNION SELECT 'study' UNION SELECT unnest(list_concat(prerequisites, next_states)) FROM g WHERE event_name = 'Study'),
+WITH {_GRAPH}, {_FR}, kept AS (SELECT g.id FROM g WHERE event_name IN (SELECT {_LIST(_WORDS)}[pos % 48 % {len(_WORDS)} + 1] || ' ' || pos % 48 FROM fr) UNION SELECT '2' UNION SELECT unnest(list_concat(prerequisites, next_states)) FROM g WHERE event_name = 'work 2'),
 e AS (SELECT id AS source, unnest(prerequisites) AS target, 'prerequisites' AS kind, 0.8::DOUBLE AS strength FROM g UNION ALL SELECT id, unnest(next_states), 'next_states', 0.6 FROM g)
 SELECT * FROM e WHERE source IN (SELECT id FROM kept) AND target IN (SELECT id FROM kept)
 """)
 def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = spark.createDataFrame([("Birth", 2), ("Work", 1), ("House", 0)], "event_name string, n long")
-    return G.life_edges(_small_graph(spark), counts, "Study")
+    pages = _with_events(spark, sf_dir).groupBy(F.col("page_url").alias("url")).agg(Z.union_sets("life_events").alias("life_events"))
+    return G.life_edges(event_graph(spark, sf_dir), G.page_event_counts(pages), "work 2")
 
 
 @query(f"WITH {_GRAPH}, e AS (SELECT id AS source, unnest(prerequisites) AS target FROM g) SELECT * FROM e WHERE target NOT IN (SELECT id FROM g)")
 def dangling_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.dangling(_small_graph(spark), "prerequisites")
+    return G.dangling(event_graph(spark, sf_dir), "prerequisites")
 
 
 @query(f"WITH {_GRAPH}, e AS (SELECT event_name, unnest(prerequisites) AS dst, generate_subscripts(prerequisites, 1) AS pos FROM g) SELECT e.event_name, string_agg(coalesce(h.event_name, dst), ',' ORDER BY pos) AS names FROM e LEFT JOIN g h ON h.id = dst GROUP BY 1")
 def event_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.event_card(_small_graph(spark), "prerequisites").select("event_name", _joined("names").alias("names"))
+    return G.event_card(event_graph(spark, sf_dir), "prerequisites").select("event_name", _joined("names").alias("names"))
 
 
-def _placed(spark: SparkSession) -> DataFrame:
-    return Q.positions(_small_graph(spark)).join(_small_graph(spark).select("id", "cluster"), "id").select("id", "event_name", "cluster", *(F.col(k).alias(f"position_{k}") for k in "xyz"))
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = event_graph(spark, sf_dir)
+    return Q.positions(graph).join(graph.select("id", "cluster"), "id").select("id", "event_name", "cluster", *(F.col(k).alias(f"position_{k}") for k in "xyz"))
 
 
 _XYZ = "x AS (SELECT *, ((ages[1] + ages[2]) / 2.0 - 30) * 2 AS x, CASE cluster WHEN 'Family' THEN -30.0 WHEN 'Work' THEN 0.0 WHEN 'Health' THEN 30.0 WHEN 'Education' THEN -15.0 WHEN 'Housing' THEN 15.0 ELSE 0.0 END AS z FROM g)"
@@ -335,12 +369,12 @@ _XYZ = "x AS (SELECT *, ((ages[1] + ages[2]) / 2.0 - 30) * 2 AS x, CASE cluster
 
 @query(f"WITH {_GRAPH}, {_XYZ} SELECT coalesce(cluster, 'Other') AS cluster, avg(x)::DOUBLE AS x, 0.0::DOUBLE AS y, avg(z)::DOUBLE AS z, count(*) AS n FROM x GROUP BY 1")
 def event_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.clusters(_placed(spark))
+    return G.clusters(_placed(spark, sf_dir))
 
 
-@query(f"WITH {_GRAPH}, {_XYZ} SELECT avg(x)::DOUBLE AS x, 10.0::DOUBLE AS y, avg(z)::DOUBLE AS z FROM x WHERE event_name IN ('Birth', 'House')")
+@query(f"WITH {_GRAPH}, {_XYZ} SELECT avg(x)::DOUBLE AS x, 10.0::DOUBLE AS y, avg(z)::DOUBLE AS z FROM x WHERE event_name IN ('birth 12', 'school 1')")
 def event_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.focus_point(_placed(spark), ["Birth", "House"])
+    return G.focus_point(_placed(spark, sf_dir), ["birth 12", "school 1"])
 
 
 @query(f"""
@@ -349,16 +383,73 @@ SELECT id, lane, x0, x1, row_number() OVER (PARTITION BY lane ORDER BY x0, x1, i
 """)
 def event_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     ages = [F.get("typical_age_range", F.lit(k)).alias(n) for k, n in enumerate(("first", "last"))]
-    return G.intervals(_small_graph(spark).select("id", F.coalesce("cluster", F.lit("Other")).alias("lane"), *ages), "lane", "first", "last").select("id", "lane", "x0", "x1", "row")
+    return G.intervals(event_graph(spark, sf_dir).select("id", F.coalesce("cluster", F.lit("Other")).alias("lane"), *ages), "lane", "first", "last").select("id", "lane", "x0", "x1", "row")
+
+
+def _rules_sql() -> str:
+    """The services' rules over name, status and cluster in lower case."""
+
+    def rule(names, pattern: str, by_status: bool, parts, whole) -> str:
+        tests = [f"regexp_matches(n, '{pattern}')", *([f"regexp_matches(s, '{pattern}')"] if by_status else []), *(f"contains(c, '{x}')" for x in parts), *(f"c = '{x}'" for x in whole)]
+        return f"CASE WHEN {' OR '.join(tests)} THEN {_LIST(names)} ELSE [] END"
+
+    return f"list_sort(list_distinct(flatten([{', '.join(rule(*r) for r in G.EVENT_SERVICES)}])))"
+
+
+@query(f"WITH {_GRAPH}, l AS (SELECT event_name, lower(event_name) AS n, lower(coalesce(status, '')) AS s, lower(coalesce(cluster, '')) AS c FROM g) SELECT event_name, array_to_string({_rules_sql()}, ',') AS services FROM l")
+def event_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    services = G.inferred_services(F.col("event_name"), F.col("eligibility_status"), F.col("cluster"))
+    return event_graph(spark, sf_dir).select("event_name", _joined(F.sort_array(services)).alias("services"))
 
 
 @query(f"""
-WITH {_GRAPH} SELECT event_name, CASE event_name WHEN 'School' THEN 'Dept. of Education,University/TAFE,TEQSA/ASQA' WHEN 'Study' THEN 'Dept. of Education,University/TAFE,TEQSA/ASQA' WHEN 'Work' THEN 'Services Australia,ATO,Workforce Australia'
-  WHEN 'House' THEN 'State Housing,Local Council,Shelter/Services' ELSE '' END AS services FROM g
+WITH {_GRAPH}, l AS (SELECT event_name, coalesce(cluster, '') AS c, kind, regexp_matches(event_name || ' ' || coalesce(status, ''), 'disab|mental|injur') AS unwell FROM g)
+SELECT event_name, concat_ws(',', CASE WHEN c = 'Education' THEN 'education' END, CASE WHEN c IN ('Working', 'Unemployment', 'Business') THEN 'employment' END, CASE WHEN c = 'Housing' THEN 'housing' END,
+  CASE WHEN c IN ('Managing health', 'Caring') OR unwell THEN 'disability' END, CASE WHEN c IN ('Natural disaster', 'Human-made disaster', 'Domestic violence', 'Crime and Justice') OR kind = 'crisis' THEN 'emergencies' END,
+  CASE WHEN c IN ('Relationships', 'Forming family', 'Family dissolution') THEN 'family' END, CASE WHEN c IN ('Coming to Australia', 'Identity change') THEN 'cultural' END, CASE WHEN c IN ('Growing older', 'End of life') THEN 'older' END) AS lanes FROM l
 """)
-def event_services(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = _small_graph(spark).withColumn("eligibility_status", F.lit(None).cast("string"))
-    return graph.select("event_name", _joined(G.inferred_services(F.col("event_name"), F.col("eligibility_status"), F.col("cluster"))).alias("services"))
+def event_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = G.event_lanes(F.col("event_name"), F.col("eligibility_status"), F.col("cluster"), F.col("event_type"))
+    return event_graph(spark, sf_dir).select("event_name", _joined(found).alias("lanes"))
+
+
+@query(f"""
+WITH RECURSIVE {_GRAPH}, e AS (SELECT id AS src, unnest(prerequisites) AS dst, generate_subscripts(prerequisites, 1) AS pos FROM g),
+w AS (SELECT id AS node, [id] AS seen, []::BIGINT[] AS place, 0 AS depth FROM g WHERE event_name = 'work 2'
+  UNION ALL SELECT e.dst, list_append(seen, e.dst), list_append(place, e.pos::BIGINT), depth + 1 FROM w JOIN e ON e.src = w.node WHERE depth < 3 AND NOT list_contains(seen, e.dst) AND e.dst IN (SELECT id FROM g))
+SELECT f.id, event_name, depth::INTEGER AS depth FROM (SELECT node AS id, arg_min(depth, place) AS depth FROM w WHERE depth > 0 GROUP BY 1) f JOIN g USING (id)
+""")
+def prerequisite_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.prerequisite_chain(event_graph(spark, sf_dir), "work 2").select("id", "event_name", "depth")
+
+
+@query(f"""
+WITH RECURSIVE {_GRAPH}, e AS (SELECT DISTINCT id AS src, unnest(prerequisites) AS dst FROM g), k AS (SELECT * FROM e WHERE dst IN (SELECT id FROM g)),
+r AS (SELECT id AS start, id, 0 AS depth FROM g WHERE k % 100 = 2 UNION SELECT r.start, k.dst, r.depth + 1 FROM r JOIN k ON k.src = r.id WHERE r.depth < 4)
+SELECT start, id, min(depth)::INTEGER AS depth FROM r GROUP BY 1, 2
+""")
+def prerequisites_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that comes up to four steps before some events, by rounds."""
+    graph = event_graph(spark, sf_dir)
+    starts = graph.where(F.col("id").cast("long") % 100 == 2).select(F.col("id").alias("start"))
+    return G.reachable(G.edges_of(graph, "prerequisites"), starts, 4)
+
+
+@query(f"""
+WITH {_GRAPH}, {_XYZ}, q AS (SELECT c_custkey AS id, c_custkey % 90 AS age, [{_LIST(_WORDS)}[c_custkey % 40 % {len(_WORDS)} + 1] || ' ' || c_custkey % 40, 'school 1'] AS now FROM customer),
+f AS (SELECT q.id, avg(x) AS x, avg(z) AS z FROM (SELECT DISTINCT id, unnest(now) AS event_name FROM q) q JOIN x USING (event_name) GROUP BY 1)
+SELECT q.id AS p_id, CASE WHEN age < 18 THEN 'Youth' WHEN age < 30 THEN 'Young Adult' WHEN age < 50 THEN 'Adult' WHEN age < 65 THEN 'Mature Adult' ELSE 'Senior' END AS life_stage, round(coalesce(f.x, 0), 6)::DOUBLE AS focus_x, (CASE WHEN f.x IS NULL THEN 10.0 ELSE 10.0 END)::DOUBLE AS focus_y,
+  round(coalesce(f.z, 0), 6)::DOUBLE AS focus_z, (SELECT count(*) FROM g) AS events, (SELECT count(DISTINCT coalesce(cluster, 'Other')) FROM g) AS clusters FROM q LEFT JOIN f USING (id)
+""")
+def journey_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Life stage and focus of every profile, with the placed events and clusters."""
+    k = F.col("c_custkey")
+    now = F.array(F.concat_ws(" ", _nth(_WORDS, k % 40), (k % 40).cast("string")), F.lit("school 1"))
+    none = lambda t: F.lit(None).cast(t)
+    people = table(spark, sf_dir, "customer").select(k.alias("id"), (k % 90).cast("int").alias("age"), none("int").alias("income"), none("array<string>").alias("citizenship"), none("string").alias("residency_state"), none("string").alias("employment_status"), none("string").alias("housing_status"), now.alias("current_life_events"))
+    found = G.journey_view(event_graph(spark, sf_dir), people)
+    axis = lambda c: F.round(f"focus_point.{c}", 6).alias(f"focus_{c}")
+    return found.select("p_id", "life_stage", *map(axis, "xyz"), F.size("events").cast("long").alias("events"), F.size("clusters").cast("long").alias("clusters"))
 
 
 # Links between pages.
@@ -425,13 +516,22 @@ def journey_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.journey_statistics(table(spark, sf_dir, "lineitem").select((F.col("l_discount") * 10).alias("relevance_score")), table(spark, sf_dir, "region"))
 
 
-@query("""
-SELECT * FROM (VALUES ('Having a baby', NULL, true, '0-1', NULL), ('Raising Kids', NULL, true, '0-18', NULL), ('Work', NULL, NULL, NULL, 'employed,self-employed'), ('Ageing', 65, NULL, NULL, NULL), ('Anything', NULL, NULL, NULL, NULL)) AS t(event, min_age, children, ranges, employment)
+_NAMED = ("Having a baby", "Raising Kids", "Work", "Ageing", "Anything", "Unemployment", "Student", "Carer", "Disability")
+
+
+@query(f"""
+WITH a(event, min_age, children, ranges, employment, caring, disabilities) AS (VALUES ('Having a baby', NULL, true, '0-1', NULL, NULL, NULL), ('Raising Kids', NULL, true, '0-18', NULL, NULL, NULL), ('Work', NULL, NULL, NULL, 'employed,self-employed', NULL, NULL),
+  ('Ageing', 65, NULL, NULL, NULL, NULL, NULL), ('Unemployment', NULL, NULL, NULL, 'unemployed,job-seeking', NULL, NULL), ('Student', NULL, NULL, NULL, 'student', NULL, NULL), ('Carer', NULL, NULL, NULL, NULL, true, NULL), ('Disability', NULL, NULL, NULL, NULL, NULL, 'any')),
+p AS (SELECT c_custkey AS id, {_LIST(_NAMED)}[c_custkey % {len(_NAMED)} + 1] AS event FROM customer)
+SELECT id, p.event, min_age, children, ranges, employment, caring, disabilities FROM p LEFT JOIN a ON a.event = p.event
 """)
 def event_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.createDataFrame([(e,) for e in ("Having a baby", "Raising Kids", "Work", "Ageing", "Anything")], "event string").select("event", Q.event_attributes(F.col("event")).alias("a"))
+    events = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), _nth(_NAMED, F.col("c_custkey")).alias("event")).withColumn("a", Q.event_attributes(F.col("event")))
     ranges = F.array_join(F.transform("a.children_age_ranges", lambda r: F.concat_ws("-", r["min"], r["max"])), ",")
-    return events.select("event", "a.min_age", F.col("a.required_children").alias("children"), ranges.alias("ranges"), _joined("a.required_employment_status").alias("employment"))
+    return events.select(
+        "id", "event", "a.min_age", F.col("a.required_children").alias("children"), ranges.alias("ranges"), _joined("a.required_employment_status").alias("employment"), F.col("a.required_caring_status").alias("caring"),
+        _joined("a.required_disabilities").alias("disabilities"),
+    )
 
 
 # Grounding and evaluation.
