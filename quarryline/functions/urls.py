@@ -41,10 +41,32 @@ def directory(url: Column) -> Column:
     return F.concat(scheme(url), F.lit("://"), authority(url), F.when(folder == "", "/").otherwise(folder))
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its segments ``.`` and ``..`` (also written ``%2e``): ``..`` takes the segment before it along, at the start nothing; as a last segment either leaves a slash."""
+    segments = F.split(F.regexp_replace(path, "^/", ""), "/")
+    marked = F.transform(segments, lambda s, i: F.struct(s.alias("s"), (i == F.size(segments) - 1).alias("last"), F.regexp_replace(F.lower(s), "%2e", ".").alias("k")))
+    empty = F.array().cast("array<string>")
+
+    def step(stack: Column, x: Column) -> Column:
+        shorter = F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))
+        kept = F.when(x["k"] == "..", shorter).otherwise(stack)
+        dots = x["k"].isin(".", "..")
+        return F.concat(kept, F.when(~dots, F.array(x["s"])).when(x["last"], F.array(F.lit(""))).otherwise(empty))
+
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(marked, empty, step), "/"))
+
+
+def _plain(url: Column) -> Column:
+    """A url with no dot segments in its path."""
+    rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*[^?#]*(.*)$", 1)
+    front = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    return F.when(path(url).rlike(r"(?i)/(\.|%2e)"), F.concat(front, without_dots(path(url)), rest)).otherwise(url)
+
+
 def resolve(href: Column, page: Column) -> Column:
-    """An absolute link; dot segments stay. Null for schemes other than http and https."""
+    """An absolute link without dot segments. Null for schemes other than http and https."""
     root = F.concat(scheme(page), F.lit("://"), authority(page))
-    return (
+    return _plain(
         F.when(href.rlike("(?i)^https?://"), href)
         .when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
         .when(F.startswith(href, F.lit("//")), F.concat(scheme(page), F.lit(":"), href))

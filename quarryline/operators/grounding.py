@@ -133,3 +133,29 @@ def crawl_report(log: DataFrame) -> DataFrame:
         F.count("*").alias("urls_crawled"), fragments.alias("fragments_extracted"), F.count_if(~F.col("success")).alias("errors"), F.round(100 * F.avg((~F.col("success")).cast("int")), 2).alias("error_rate"),
         F.avg("duration").alias("avg_page_load_time"), F.try_divide(F.sum("extraction"), fragments).alias("avg_extraction_time"),
     )
+
+
+ACCEPT, EXCEEDED = "ACCEPT", "MAX_ITERATIONS_EXCEEDED"
+
+
+def review_loops(attempts: DataFrame, most: int = 3) -> DataFrame:
+    """The outcome of each sample's attempts (sample, number, output, verdict, error): iterations, converged, final_verdict, output and rejections.
+
+    A loop takes attempts in order of number, stops at the first that is accepted or that failed, and after
+    ``most``; without acceptance it ends as exceeded. What comes after the end is not looked at. The output is that of the last
+    attempt that did not fail. Only the first attempts of a sample are gathered.
+    """
+    first = S.top_per_group(attempts, ["sample"], [F.asc("number")], most)
+    tried = first.groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("number", "output", "verdict", "error"))).alias("tried"))
+    start = F.struct(F.lit(0).alias("iterations"), F.lit(False).alias("over"), F.lit(False).alias("converged"), F.lit(None).cast("string").alias("output"), F.lit(0).alias("rejections"))
+
+    def step(s: Column, x: Column) -> Column:
+        failed, accepted = x["error"].isNotNull(), x["error"].isNull() & x["verdict"].eqNullSafe(ACCEPT)
+        after = F.struct(
+            (s["iterations"] + 1).alias("iterations"), (failed | accepted).alias("over"), accepted.alias("converged"), F.when(failed, s["output"]).otherwise(x["output"]).alias("output"),
+            (s["rejections"] + F.when(failed | accepted, 0).otherwise(1)).alias("rejections"),
+        )
+        return F.when(s["over"], s).otherwise(after)
+
+    ended = tried.select("sample", F.aggregate("tried", start, step).alias("s"))
+    return ended.select("sample", "s.iterations", "s.converged", F.when(F.col("s.converged"), ACCEPT).otherwise(EXCEEDED).alias("final_verdict"), "s.output", "s.rejections")

@@ -23,6 +23,7 @@ from quarryline.operators import services as V
 from quarryline.operators import similarity as J
 from quarryline.operators import tagging as X
 from quarryline.plans.catalog import _sentence, _title, query, table
+from quarryline.sources import sinks as K
 
 _FR = """fr AS (SELECT doc_id AS pos, doc_id::VARCHAR AS id, 'https://' || coalesce(source, 'none') || '/' AS page_url, %%SENTENCE(text) AS title, text AS content_text, coalesce(lang, 'xx') AS lang, coalesce(source, 'none') AS source,
   (n_chars % 100)::INTEGER AS popularity_sort, 'e' || (doc_id % 3) AS event, CASE WHEN doc_id % 2 = 0 THEN 'NSW' ELSE 'VIC' END AS state FROM documents)"""
@@ -567,6 +568,32 @@ def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.evaluation_metrics(log).withColumn("avg_iterations", F.round("avg_iterations", 6))
 
 
+@query("""
+WITH a AS (SELECT conv_id AS sample, turn AS number, md5(text) AS output, CASE WHEN length(text) % 4 = 0 THEN 'ACCEPT' ELSE 'REJECT' END AS verdict, length(text) % 11 = 0 AS failed FROM conversations WHERE role = 'assistant'),
+r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY number) AS r FROM a),
+k AS (SELECT *, coalesce(max((failed OR verdict = 'ACCEPT')::INT) OVER (PARTITION BY sample ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM r WHERE r <= 3), t AS (SELECT * FROM k WHERE over = 0)
+SELECT sample, count(*)::INTEGER AS iterations, bool_or(verdict = 'ACCEPT' AND NOT failed) AS converged, CASE WHEN bool_or(verdict = 'ACCEPT' AND NOT failed) THEN 'ACCEPT' ELSE 'MAX_ITERATIONS_EXCEEDED' END AS final_verdict,
+  arg_max(output, number) FILTER (NOT failed) AS output, (count(*) FILTER (verdict <> 'ACCEPT' AND NOT failed))::INTEGER AS rejections FROM t GROUP BY 1
+""")
+def review_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns as attempts that a reviewer accepts or rejects."""
+    n = F.length("text")
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    attempts = turns.select(F.col("conv_id").alias("sample"), F.col("turn").alias("number"), F.md5("text").alias("output"), F.when(n % 4 == 0, "ACCEPT").otherwise("REJECT").alias("verdict"), F.when(n % 11 == 0, "failed").alias("error"))
+    return C.review_loops(attempts)
+
+
+@query(r"""
+WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)href\s*=\s*"([^"]+)"', 1)) AS href FROM pages)
+SELECT page_id, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || href AS link, count(*) AS n FROM l WHERE starts_with(href, '/') GROUP BY ALL
+""")
+def page_links_from_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that pages name by way of other folders: the same ones as without the detour."""
+    detour = lambda h: F.concat(F.lit("/a/./b/%2e%2E/.."), h)
+    links = F.transform(F.filter(U.hrefs(F.col("html")), lambda h: F.startswith(h, F.lit("/"))), lambda h: U.resolve(detour(h), F.col("url")))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(links).alias("link")).groupBy("page_id", "link").agg(F.count("*").alias("n"))
+
+
 # Similarity and integrity.
 
 
@@ -591,6 +618,16 @@ def page_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.page_pairs(_vectors_as_pages(spark, sf_dir)).select("a_url", "b_url", "score", "tag_sim", "link_sim")
 
 
+@query(f"""
+WITH {_TAGGED} SELECT a::VARCHAR AS a_url, b::VARCHAR AS b_url, a AS a_fragments, round(score, 3) AS score, CASE WHEN same_event THEN 'e' || ev ELSE '' END AS overlap_life_events, CASE WHEN same_label THEN label::VARCHAR ELSE '' END AS overlap_categories FROM p
+""")
+def page_similarity_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar pages with what both are about, as they are exported."""
+    pages = _vectors_as_pages(spark, sf_dir)
+    named = pages.withColumns({"title": F.col("url"), "fragment_count": F.col("url").cast("long")})
+    return K.similarity_export(J.page_pairs(pages), named).select("a_url", "b_url", "a_fragments", "score", "overlap_life_events", "overlap_categories")
+
+
 @query(f"WITH {_TAGGED} SELECT tag, count(*) AS count FROM (SELECT 'e' || ev AS tag FROM p WHERE same_event UNION ALL SELECT label::VARCHAR FROM p WHERE same_label) GROUP BY 1 ORDER BY count DESC, tag LIMIT 50")
 def shared_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.shared_tag_counts(J.page_pairs(_vectors_as_pages(spark, sf_dir)), "shared_tags")

@@ -46,6 +46,18 @@ def fixtures(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def import_jsonl(spark: SparkSession, path: str, schema: str, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """The rows of a JSONL file that fit a schema and have a key, and the rejects (line, reason): a broken line costs no other.
+
+    Empty lines are neither. Fields that the schema lacks are left out, missing ones are null.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("line")).where(F.trim("line") != "")
+    read = lines.withColumn("row", F.from_json("line", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    broken, keyless = F.col("row").isNull() | F.col("row._bad").isNotNull(), F.col(f"row.{key}").isNull()
+    good = read.where(~broken & ~keyless).select("row.*").drop("_bad")
+    return good, read.where(broken | keyless).select("line", F.when(broken, "not a row of the schema").otherwise(f"no {key}").alias("reason"))
+
+
 def samples(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation samples of a JSONL file; ideal, a string or an array of strings, becomes an array."""
     rows = spark.read.schema(SAMPLE_DDL).json(path)
@@ -89,6 +101,8 @@ def allowed(links: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
                     out.append(True)
                     continue
                 if text not in known:
+                    if len(known) >= 1000:  # hosts come in any order; parsing again is cheap
+                        known.clear()
                     known[text] = RobotFileParser()
                     known[text].parse(text.splitlines())
                 out.append(known[text].can_fetch(agent, url))

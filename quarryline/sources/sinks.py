@@ -54,6 +54,23 @@ def stream_json(df: DataFrame) -> Iterator[str]:
     yield "[]" if first else "]"
 
 
+def stream_csv(df: DataFrame, separator: str = "|") -> Iterator[str]:
+    """CSV lines, the header first, row by row; one partition at a time is held."""
+    header = df.sparkSession.sql("SELECT 1").select(F.to_csv(F.struct(*(F.lit(c).alias(c) for c in df.columns))).alias("j")).head()["j"]
+    yield header + "\n"
+    for row in flat(df, separator).select(F.to_csv(F.struct("*"), {"escape": '"'}).alias("j")).toLocalIterator():
+        yield row["j"] + "\n"
+
+
+def similarity_export(pairs: DataFrame, pages: DataFrame) -> DataFrame:
+    """Page pairs (a_url, b_url, scores) with either page's title and fragment count, and the events and categories that both have, joined by ``|``."""
+    of = lambda k: pages.select(F.col("url").alias(f"{k}_url"), F.col("title").alias(f"{k}_title"), F.coalesce("fragment_count", F.lit(0)).alias(f"{k}_fragments"), F.col("life_events").alias(f"_{k}e"), F.col("categories").alias(f"_{k}c"))
+    both = pairs.join(of("a"), "a_url", "left").join(of("b"), "b_url", "left")
+    shared = lambda c: F.coalesce(F.array_join(F.array_intersect(f"_a{c}", f"_b{c}"), "|"), F.lit(""))
+    scores = [c for c in ("score", "tag_sim", "emb_sim", "link_sim") if c in pairs.columns]
+    return both.select("a_url", "b_url", "a_title", "b_title", "a_fragments", "b_fragments", *scores, shared("e").alias("overlap_life_events"), shared("c").alias("overlap_categories"))
+
+
 def link_graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Nodes and edges as JSON lines with their kind, in one folder."""
     n = nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct("*")).alias("value"))
