@@ -27,11 +27,12 @@ def overlap(claims: DataFrame, hits: DataFrame) -> DataFrame:
     """Evidence rows: claims (claim_id, claim) beside hits (claim_id, id, title, content_text, ...), with relevance and excerpt; overlaps of 0.3 or less are out."""
     rows = hits.join(claims.select("claim_id", claim_terms(F.col("claim")).alias("terms")), "claim_id").where(F.size("terms") > 0)
     content = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content_text", F.lit(""))))
-    rows = rows.withColumn("_content", content).withColumn("highlights", F.filter("terms", lambda t: F.contains(F.col("_content"), t)))
-    rows = rows.withColumn("relevance", F.size("highlights") / F.size("terms")).where(F.col("relevance") > 0.3)
-    sentences = F.filter(F.split("content_text", "[.!?]+"), lambda s: F.exists("terms", lambda t: F.contains(F.lower(s), t)))
+    # Within an array of one, the lower-case text is computed once and not for each term.
+    found = F.flatten(F.transform(F.array(content), lambda c: F.filter("terms", lambda t: F.contains(c, t))))
+    rows = rows.withColumn("highlights", found).withColumn("relevance", F.size("highlights") / F.size("terms")).where(F.col("relevance") > 0.3)
+    sentences = F.filter(F.split("content_text", "[.!?]+"), lambda s: F.exists(F.array(F.lower(s)), lambda low: F.exists("terms", lambda t: F.contains(low, t))))
     excerpt = F.substring(F.trim(F.array_join(F.slice(sentences, 1, 2), ". ")), 1, 300)
-    return rows.withColumn("excerpt", F.when(excerpt == "", F.substring("content_text", 1, 300)).otherwise(excerpt)).drop("_content", "terms")
+    return rows.withColumn("excerpt", F.when(excerpt == "", F.substring("content_text", 1, 300)).otherwise(excerpt)).drop("terms")
 
 
 def verdicts(claims: DataFrame, evidence: DataFrame, max_evidence: int = 5) -> DataFrame:

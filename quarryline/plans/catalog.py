@@ -68,7 +68,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return R.spread(df) if name in ("documents", "pages") else df
 
 
 def _title(html: Column) -> Column:

@@ -31,6 +31,12 @@ def pages(spark: SparkSession, path: str, columns: Sequence[str] = ("url", "html
     return df if most is None else df.limit(most)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Scanned rows, dealt to all cores where the files have fewer parts (row groups) than there are cores; a scan of many parts stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def union_of(frames: Sequence[DataFrame]) -> DataFrame:
     """Several crawls as one; columns that one of them lacks are null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
