@@ -72,8 +72,10 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
         spec = json.loads(self.lib.to_str())
+        # A text that has one of these is left whole to the library: it is one id there, and may take the spaces beside it.
+        added = [re.escape(x["content"]) for x in spec.get("added_tokens") or []]
+        self.added = re.compile("|".join(sorted(added, key=len, reverse=True))) if added else None
         before = spec.get("pre_tokenizer") or {}
         self.separable = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.memo = Memo(table_size)
@@ -98,7 +100,7 @@ class ByteBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without an end id."""
-        whole = [i for i, t in enumerate(texts) if not self.separable or _TANGLED.search(t)]
+        whole = [i for i, t in enumerate(texts) if not self.separable or _TANGLED.search(t) or (self.added and self.added.search(t))]
         out: list[bytes | None] = [None] * len(texts)
         for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
             out[i] = ids
