@@ -40,6 +40,8 @@ from quarryline.llm.common import chunks, documents, table
 
 KINDS = ("assign", "access", "hex")
 PART = 1_000_000
+#: Bytes of an inflated layer that are held while the next is opened; larger ones are inflated again.
+SPOOL = 16_000_000
 
 
 def _either_case(word: str) -> str:
@@ -186,22 +188,46 @@ def _head(source: Source) -> bytes:
     return head
 
 
-def _streams(source: Source, above: tuple[bytes, ...] = ()) -> Iterator[Source]:
-    """What is in source and compressed no longer. Damaged data also counts as it is. Each stream is to be read before the next."""
-    if _kind(_head(source)) is None or (own := _digest(source)) in above:
-        yield source
-        return
-    heads: list[bytes] = []
-    broken: list[bool] = []
-    yield from _streams(lambda: _inflated(source, heads, broken), (*above, own))
-    for _ in _inflated(source, heads, broken):
-        pass
-    bad = bool(broken)
-    # Members after the first may hold compressed data of their own.
-    for i in [i for i, h in enumerate(heads) if i and _kind(h) is not None]:
-        yield from _streams(lambda i=i: _inflated(source, [], [], i), (*above, own))
-    if bad:
-        yield source
+def _spooled(again: Callable[[], Source], first: Iterator[bytes]) -> Source:
+    """first, read to its end: kept if it is small, else to be inflated again by ``again`` each time."""
+    kept, size = [], 0
+    for piece in first:
+        size += len(piece)
+        if size <= SPOOL:
+            kept.append(piece)
+        else:
+            kept.clear()
+    return (lambda: iter(kept)) if size <= SPOOL else again()
+
+
+def _streams(source: Source) -> Iterator[Source]:
+    """What is in source and compressed no longer. Damaged data also counts as it is. Each stream is to be read before the next.
+
+    Layers are opened from a list, not by recursion, and a layer of up to SPOOL bytes is held while the next is
+    opened, so that a chain of small layers costs what its layers hold together.
+    """
+    work: list[tuple[Callable[[], Source], tuple | None, bool]] = [(lambda: source, None, False)]
+    while work:
+        made, above, as_it_is = work.pop()
+        here, own, up = made(), b"", above
+        if as_it_is or _kind(_head(here)) is None:
+            yield here
+            continue
+        own = _digest(here)
+        while up is not None and up[0] != own:
+            up = up[1]
+        if up is not None:  # a layer that holds itself
+            yield here
+            continue
+        heads: list[bytes] = []
+        broken: list[bool] = []
+        inner = _spooled(lambda here=here: lambda: _inflated(here, [], []), _inflated(here, heads, broken))
+        if broken:
+            work.append((lambda here=here: here, None, True))
+        # Members after the first may hold compressed data of their own.
+        for i in reversed([i for i, h in enumerate(heads) if i and _kind(h) is not None]):
+            work.append((lambda here=here, i=i: _spooled(lambda: lambda: _inflated(here, [], [], i), _inflated(here, [], [], i)), (own, above), False))
+        work.append((lambda inner=inner: inner, (own, above), False))
 
 
 def _parts(source: Source) -> Iterator[str]:

@@ -2,6 +2,8 @@
 
 from collections import defaultdict
 
+from tokenizers import Tokenizer
+
 import corpus_pipeline as P
 from quarryline.llm import language_id, packing, secret_scan, substring_dedup
 from test_dedup import brute_classes, brute_removal
@@ -36,11 +38,11 @@ def test_stages(spark):
     four = {r["doc_id"]: r["text"] for r in rows}
     assert four == {k: secret_scan.redacted(t) for k, t in three.items()} and all(r["n_chars"] == len(r["text"]) for r in rows)
 
-    bpe = packing.ByteBpe(packing.default_tokenizer())
+    library = Tokenizer.from_file(packing.default_tokenizer())
     lengths = defaultdict(int)
     for r in P.sequences(spark, fourth, SMALL).collect():
         lengths[r["doc_id"]] += r["length"]
-    assert lengths == {k: len(bpe.lib.encode(t, add_special_tokens=False).ids) + 1 for k, t in four.items()}
+    assert lengths == {k: len(library.encode(t, add_special_tokens=False).ids) + 1 for k, t in four.items()}
 
 
 def test_run_gives_the_last_stage(spark):

@@ -13,6 +13,7 @@ from urllib.parse import quote
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quarryline.llm import language_id, packing, quality_rules, secret_scan, sentencepiece_codec, spot_signatures, url_filter
 
@@ -52,10 +53,31 @@ def test_codec_query(spark):
 
 
 def test_chunked_tokens_equal_the_library():
-    bpe = packing.ByteBpe(packing.default_tokenizer(), table_size=100)
+    bpe, library = packing.ByteBpe(packing.default_tokenizer(), table_size=100), Tokenizer.from_file(packing.default_tokenizer())
     assert bpe.fast is not None
-    texts = [*fuzz(3000, 6), "   ", "a   b", "a \n b", "\n \n", "word" * 100]
-    assert bpe.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in bpe.lib.encode_batch(texts, add_special_tokens=False)]
+    special = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext|", " <|endoftext|>  x"]
+    texts = [*fuzz(3000, 6), "   ", "a   b", "a \n b", "\n \n", "word" * 100, *special]
+    assert bpe.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert library.encode(special[0], add_special_tokens=False).ids == [31373, 220, 50256, 995]
+
+
+def test_a_thousand_compressed_layers_are_opened():
+    data, began = b"xx " + SECRET.encode() + b" yy", time.monotonic()
+    for _ in range(1000):
+        data = gzip.compress(data, 1)
+    text = "see " + base64.b64encode(data).decode()
+    assert [x[:3] for x in secret_scan.spans(text)] == [(4, len(text), k) for *_, k in secret_scan.base_spans(SECRET)] and time.monotonic() - began < 20
+
+
+def test_layers_larger_than_what_is_held_are_opened(monkeypatch):
+    def found():
+        big = gzip.compress(b"fill " * 5000 + SECRET.encode() + b" " + b"fill " * 5000)
+        return secret_scan.spans("v " + base64.b64encode(gzip.compress(gzip.compress(b"one\n") + big)).decode())
+
+    want = found()
+    assert [x[2] for x in want] == [k for *_, k in secret_scan.base_spans(SECRET)]
+    monkeypatch.setattr(secret_scan, "SPOOL", 10)
+    assert found() == want
 
 
 def test_sum_of_squares_choices():
@@ -84,15 +106,15 @@ def test_sum_of_squares_choices():
 
 
 def test_packing_query(spark):
-    texts = [*EDGES, "word " * 5000, "same", "same"]
+    texts = [*EDGES, "word " * 5000, "same", "same", "an end <|endoftext|> within", "<|endoftext|> " * 3000]
     rows = packing.packed(documents(spark, texts)).collect()
-    bpe = packing.ByteBpe(packing.default_tokenizer())
+    library = Tokenizer.from_file(packing.default_tokenizer())
     pieces, sequences = {}, {}
     for r in rows:
         pieces.setdefault(r["doc_id"], []).append(r)
         sequences.setdefault(r["sequence_id"], []).append(r)
     for i, t in enumerate(texts):
-        ids = bpe.lib.encode(t or "", add_special_tokens=False).ids + [0]
+        ids = library.encode(t or "", add_special_tokens=False).ids + [0]
         own = sorted(pieces[i], key=lambda r: r["piece"])
         assert [r["piece"] for r in own] == list(range(len(own))) and sum(r["length"] for r in own) == len(ids)
         assert len(own) == -(-len(ids) // 2048) and all(r["length"] == 2048 for r in own[1:])
