@@ -85,7 +85,7 @@ def test_queries_equal_their_oracles(spark, name):
 
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("pages", "documents", "benchmark", "events", "labels", "conversations"):
+    for t in ("pages", "documents", "benchmark", "events", "labels", "conversations", "part", "lineitem"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     want = con.execute(__spark_entry__.oracle_sql()[name]).df()
     got = __spark_entry__.queries()[name](spark, d).toPandas()
