@@ -70,17 +70,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def parts_for(spark: SparkSession, rows: int, each: int) -> int | None:
-    """Partitions of about ``each`` rows, if those are fewer than the session's; else None: Spark deals and splits them."""
-    wanted = max(1, -(-rows // each))
-    return wanted if wanted < int(spark.conf.get("spark.sql.shuffle.partitions")) else None
-
-
-def dealt(df: DataFrame, parts: int | None, *cols: str) -> DataFrame:
-    """df in so many partitions by the columns; as it is, if parts is None."""
-    return df if parts is None else df.repartition(parts, *cols)
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

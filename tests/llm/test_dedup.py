@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,3 +262,27 @@ def test_large_pivots_are_dealt_anew(spark):
 
 def cut_of(spark, rows, ddl):
     return nearest_neighbours.cut(spark.createDataFrame(rows, ddl))
+
+
+def test_hubs_go_to_several_tasks(spark):
+    """A pivot with most of the edges is found, dealt by its members, and yields the edges of its groups; small tables have none."""
+    x = np.random.default_rng(9).normal(size=(3000, 4)).astype(np.float32)
+    points = cut_of(spark, [(i, b"f" + v.tobytes()) for i, v in enumerate(x)], "node long, held binary")
+    star = cut_of(spark, [(i, 0, float(((x[i] - x[0]) ** 2).sum()), True) for i in range(1, 3000)], "node long, near long, d double, new boolean")
+    hubs = nearest_neighbours.hubs_of(star, 2999)
+    assert [(r["pivot"], r["parts"]) for r in hubs.collect()] == [(0, 2)]
+    assert nearest_neighbours.hubs_of(star.limit(100), 100) is None
+    exact = ((x[:, None].astype(float) - x[None]) ** 2).sum(2)
+    rows = nearest_neighbours.descend(star, points, 5, 0, hubs).collect()
+    assert len({r["node"] for r in rows}) == 3000 and all(abs(exact[r["node"], r["near"]] - r["d"]) < 1e-6 for r in rows)
+
+
+def test_pieces_of_runs():
+    """Runs come whole, or from twice the limit on in pieces, whatever the batches."""
+    keys = [1] * 3 + [2] * 11 + [3] + [4] * 8
+    for size in (1, 2, 5, 23):
+        batches = [pa.record_batch([pa.array(keys[i : i + size])], names=["key"]) for i in range(0, len(keys), size)]
+        got = [(c[0].tolist(), b, e) for c, b, e in nearest_neighbours._pieces(iter([*batches[:1], batches[0].slice(0, 0), *batches[1:]]), lambda b: (b.column(0).to_numpy(),), 4)]
+        assert [k for c, _, _ in got for k in c] == keys
+        assert [(c[0], len(c), b, e) for c, b, e in got] == [(1, 3, True, True), (2, 4, True, False), (2, 7, False, True), (3, 1, True, True), (4, 4, True, False), (4, 4, False, True)]
+    assert not list(nearest_neighbours._pieces(iter([]), lambda b: (b.column(0).to_numpy(),), 4))
