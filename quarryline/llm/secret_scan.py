@@ -5,7 +5,9 @@ escapes, backslash and character-reference escapes give a layer in which the
 rest of the text stands unchanged, so a secret half of which is escaped is
 found too; a run of base64 gives layers of its own, one for each place in a group
 of four where it may begin (a word or path may stand right before it), inflated first if they hold
-gzip or zlib data. Lines of base64 are joined, so a run may be wrapped. Each new layer is scanned and put on the worklist until no
+gzip or zlib data. Lines of base64 are joined, so a run may be wrapped. Where all escapes of a layer are escaped
+again (``%2525...``), their levels are resolved at once down to the first that gives a character: a text has as many such layers as
+its escapes have different depths, fewer than twice the root of its length, and the levels between hold no new text but shorter runs of ``25``. Each new layer is scanned and put on the worklist until no
 layer is new; a layer seen before from the same place is not opened again,
 which ends cycles. A position in a layer is mapped to the span of the original
 text that it came from.
@@ -56,6 +58,13 @@ _HINTS = ("password", "passwd", "secret", "token", "api")
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+#: An escaped escape: the mark, what escapes the mark itself again and again, and the innermost escape.
+_DEEP_PERCENT = re.compile(r"%((?:25)*)([0-9A-Fa-f]{2})")
+_DEEP_ESCAPE = re.compile(
+    r"\\((?:u005[cC]|u\{0{0,4}5[cC]\}|x5[cC]|U0000005[cC])*)(u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|x[0-9A-Fa-f]{2}|U[0-9A-Fa-f]{8})"
+    r"|&((?:#[xX]0{0,4}26;|#0{0,5}38;)*)(#[xX][0-9A-Fa-f]{1,6};|#[0-9]{1,7};)"
+)
+_LINK = re.compile(r"u005[cC]|u\{0{0,4}5[cC]\}|x5[cC]|U0000005[cC]|#[xX]0{0,4}26;|#0{0,5}38;")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Lines of base64, the last of which may be short. It begins where a run does and gives nothing back, so a long run is read once.
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+\r?\n[ \t>]*+)++[A-Za-z0-9+/_-]++={0,2}")
@@ -273,11 +282,46 @@ def _character(m: re.Match) -> str:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"
 
 
+def _percents(text: str) -> list[tuple[int, int, str]]:
+    """What percent escapes are replaced by: one level of them, or as many levels as all of them are nested before one becomes a character."""
+    deep = [(m.start(), m.end(), len(m[1]) // 2) for m in _DEEP_PERCENT.finditer(text)]
+    least = min((k for _, _, k in deep), default=0)
+    if least == 0:
+        return [(m.start(), m.end(), unquote(m[0], errors="replace")) for m in _PERCENT.finditer(text)]
+    parts: list[tuple[int, int, str]] = []
+    run, begin, stop = "", 0, 0  # neighbours may be bytes of one character
+    for start, end, k in deep:
+        if run and (k > least or start != stop):
+            parts.append((begin, stop, unquote(run, errors="replace")))
+            run = ""
+        if k > least:
+            parts.append((start, start + 3 + 2 * least, "%"))
+        else:
+            begin, stop, run = begin if run else start, end, run + "%" + text[end - 2 : end]
+    return [*parts, (begin, stop, unquote(run, errors="replace"))] if run else parts
+
+
+def _escapes(text: str) -> list[tuple[int, int, str]]:
+    """The same for backslash escapes and character references."""
+    deep = [(m, [x.end() for x in _LINK.finditer(m[1] or m[3] or "")]) for m in _DEEP_ESCAPE.finditer(text)]
+    least = min((len(links) for _, links in deep), default=0)
+    if least == 0:
+        return [(m.start(), m.end(), _character(m)) for m in _ESCAPE.finditer(text)]
+    parts = []
+    for m, links in deep:
+        mark = m[0][0]
+        if len(links) > least:
+            parts.append((m.start(), m.start() + 1 + links[least], mark))
+        else:
+            parts.append((m.start(), m.end(), _character(_ESCAPE.fullmatch(mark + (m[2] or m[4])))))
+    return parts
+
+
 def _layers(layer: _Layer) -> Iterator[_Layer]:
     text = layer.text
-    if "%" in text and (parts := [(m.start(), m.end(), unquote(m[0], errors="replace")) for m in _PERCENT.finditer(text)]):
+    if "%" in text and (parts := _percents(text)):
         yield layer.replaced(parts)
-    if ("\\" in text or "&#" in text) and (parts := [(m.start(), m.end(), _character(m)) for m in _ESCAPE.finditer(text)]):
+    if ("\\" in text or "&#" in text) and (parts := _escapes(text)):
         yield layer.replaced(parts)
     for pattern in (_BASE64, _WRAPPED):
         for m in pattern.finditer(text):
