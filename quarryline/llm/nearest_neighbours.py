@@ -52,7 +52,7 @@ TREES = 8
 LEAF = 200
 SAMPLE = 4096
 ENOUGH = 0.005
-BEAM = 200
+BEAM = 300
 KEEP = 10 * BEAM
 GROUP = 96
 HUBS = 1000
