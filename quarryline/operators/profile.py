@@ -181,6 +181,12 @@ def profile_facets(profile: dict, facets: dict) -> dict:
     return found
 
 
+def filters_of(state: Column, events: Column, chosen_state: Column, chosen_event: Column) -> Column:
+    """struct(state, life_event): what was chosen, its blanks filled from the profile of the row, as profile_facets does for one."""
+    own = F.when(state != "National", F.nullif(state, F.lit("")))
+    return F.struct(F.coalesce(F.nullif(chosen_state, F.lit("")), own).alias("state"), F.coalesce(F.nullif(chosen_event, F.lit("")), F.get(events, F.lit(0))).alias("life_event"))
+
+
 #: Fixed: what life events say of those who have them.
 EVENT_ATTRIBUTES = {
     "Having a baby": {"required_children": True, "children_age_ranges": [{"min": 0, "max": 1}]},

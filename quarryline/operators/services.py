@@ -47,9 +47,14 @@ def service_key(url: Column) -> Column:
     return F.coalesce(*map(of, KEY_PATTERNS))
 
 
+def _stripped(text: Column) -> Column:
+    """text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def service_name(title: Column, content: Column) -> Column:
     text = F.concat_ws(" ", title, content)
-    return F.coalesce(*(F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit("")) for p in NAME_PATTERNS))
+    return F.coalesce(*(F.nullif(_stripped(F.regexp_extract(text, p, 1)), F.lit("")) for p in NAME_PATTERNS))
 
 
 def normalized_name(name: Column) -> Column:
@@ -116,7 +121,7 @@ def payment_amounts(content: Column) -> Column:
 def common_names(name: Column, contents: Column) -> Column:
     """The name and the other names that the texts of an array give, of less than 50 characters."""
     found = F.flatten(F.transform(contents, lambda c: F.array(*(F.regexp_extract(c, p, 1) for p in OTHER_NAMES))))
-    return F.array_distinct(F.concat(F.array(name), F.transform(F.filter(found, lambda x: (x != "") & (F.length(x) < 50)), F.trim)))
+    return F.array_distinct(F.concat(F.array(name), F.transform(F.filter(found, lambda x: (x != "") & (F.length(x) < 50)), _stripped)))
 
 
 def description(content: Column) -> Column:
