@@ -13,7 +13,8 @@ share ``OTHER`` vectors by code point, so neighbouring letters of an alphabet
 differ.
 
 Training reads about ``TRAIN_DOCS`` texts of each language (a bounded sample, by a
-hash of the id), sums integers and so gives the same prototypes however the
+hash of id and text; rows alike in both count once, so neither null nor repeated
+ids enlarge it), sums integers and so gives the same prototypes however the
 rows are partitioned. A text that is null or has no letter is ``und`` with score
 0; a table without labelled rows gives ``und`` for all. Ties go to the language
 first in order. Repeated rows repeat, an empty table gives an empty result,
@@ -106,7 +107,8 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not counts:
         return {}
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, most / r["count"]))))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).repartition(16, "doc_id")
+    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text")).where(F.pmod("key", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    sample = keyed.groupBy("key", "lang").agg(F.first("text").alias("text")).repartition(16, "key").select("key", "text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

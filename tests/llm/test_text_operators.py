@@ -269,6 +269,44 @@ def test_language(spark):
     assert language_id.train(documents(spark, ["abc"]).withColumn("lang", F.lit(None).cast("string"))) == {}
 
 
+def brute_bundle(text, letters):
+    kinds = [ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 101 if c.isalpha() else 0 for c in text.lower()]
+    if not any(kinds):
+        return None
+    spaced = [k for i, k in enumerate([0, *kinds, 0]) if k or not i or [0, *kinds, 0][i - 1]]
+    return sum(np.roll(letters[a], 2).astype(int) * np.roll(letters[b], 1) * letters[c] for a, b, c in zip(spaced, spaced[1:], spaced[2:], strict=False))
+
+
+def test_languages_equal_brute_force(spark):
+    letters = language_id.Grams(64).letters
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang").where("length(text) < 400")
+    prototypes = language_id.train(docs, dims=64)
+    rows = docs.collect()
+    sums = {}
+    for r in rows:
+        if r.lang and (v := brute_bundle(r.text, letters)) is not None:
+            sums[r.lang] = sums.get(r.lang, 0) + v / np.linalg.norm(v)
+    assert sorted(sums) == [*prototypes]
+    for k, v in sums.items():
+        np.testing.assert_allclose(prototypes[k], v / np.linalg.norm(v), atol=1e-5)
+    for r, got in zip(rows, sorted(language_id.predict(docs, prototypes).collect(), key=lambda r: r.doc_id), strict=True):
+        v = brute_bundle(r.text, letters)
+        cosines = {k: 0.0 if v is None else float(v @ p / np.linalg.norm(v)) for k, p in prototypes.items()}
+        assert got.doc_id == r.doc_id
+        assert v is None or (abs(cosines[got.lang_pred] - max(cosines.values())) < 1e-6 and abs(got.score - max(0.0, max(cosines.values()))) < 1e-5)
+
+
+def test_training_counts_rows_alike_once_whatever_their_ids(spark):
+    base = [(None, "der hund und die katze", "de"), (None, "the dog and the cat", "en"), (7, "le chien et le chat", "fr"), (7, "les chats", "fr")]
+    schema = "doc_id long, text string, lang string"
+    once, often = (language_id.train(spark.createDataFrame(base * n, schema), dims=64) for n in (1, 300))
+    for k in once:
+        np.testing.assert_allclose(once[k], often[k], atol=1e-9)
+    texts = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"), F.lit("en").alias("lang"))
+    few = language_id.train(texts, most=40, dims=64)["en"]
+    assert 0.9 < float(few @ language_id.train(texts, dims=64)["en"]) < 1 - 1e-9  # a sample of rows without ids, neither none nor all
+
+
 def test_bundles_are_sums_of_bound_letters():
     grams = language_id.Grams(64)
     L, kinds = grams.letters, [0, 1, 2, 3, 0]
