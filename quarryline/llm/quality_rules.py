@@ -6,12 +6,13 @@ the root is a conjunction of comparisons. A logistic regression with an L1
 penalty keeps few of them, and the rules kept compile into one column
 expression, so scoring is a scan without Python.
 
-Fitted on about ``TRAIN_ROWS`` labelled rows (a bounded sample by a hash of the id),
-in order of id, so a fit does not depend on the partitioning. A null text is
-empty and is scored as such. Without labelled rows, or with one label only, the
-score is that label's smoothed share. A repeated label row counts as often as it
-stands; repeated documents repeat; an empty table gives an empty result; other
-columns are not read.
+Fitted on at most ``TRAIN_ROWS`` pairs of an id and a label (by a hash of the id),
+in order of both, so a fit does not depend on the partitioning. A label row that
+repeats counts once, an id with both labels twice; of documents with one id that
+with the smallest hash is read. A null text is empty and is scored as such.
+Without labelled rows, with one label only, or with too few rows to split, the
+score is the smoothed share of label 1. Repeated documents repeat in the scores; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -153,10 +154,10 @@ def lasso_logistic(a: np.ndarray, y: np.ndarray, penalty: float, steps: int = 40
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY) -> Model:
-    if not len(y) or y.min() == y.max():
+    rules = candidate_rules(x, y) if len(y) and y.min() < y.max() else []
+    if not rules:  # too few rows to split, or one label
         p = (float(y.sum()) + 1) / (len(y) + 2)
         return Model(float(np.log(p / (1 - p))), ())
-    rules = candidate_rules(x, y)
     a = np.stack([np.logical_and.reduce([c.holds(x) for c in r]) for r in rules], axis=1).astype(np.float32)
     intercept, weights = lasso_logistic(a, y, penalty)
     return Model(intercept, tuple(Rule(r, float(w)) for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-4))
@@ -164,12 +165,15 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_ROWS) -> Model:
     """A model of the labels (1 or 0) that are not null."""
-    marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).where("label is not null and doc_id is not null")
+    marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).where("label is not null and doc_id is not null").distinct()
     share = most / max(most, marked.count())
-    sample = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    # The sample is bounded by ``most`` rows of two numbers.
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    # At most ``most`` pairs of two numbers: the limit is proof, the share spares it work.
+    sample = marked.where(place < share * 1_000_000).orderBy(place, "doc_id", "label").limit(most)
     rows = documents(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")
-    got = rows.select("doc_id", "label", *(c.alias(k) for k, c in statistics(F.col("text")).items())).toPandas().sort_values(["doc_id", "label"])
+    numbers = rows.select("doc_id", "label", F.xxhash64("text").alias("_key"), *(c.alias(k) for k, c in statistics(F.col("text")).items()))
+    one = numbers.groupBy("doc_id", "label").agg(F.min(F.struct("_key", *STATISTICS)).alias("one"))
+    got = one.select("doc_id", "label", *(f"one.{k}" for k in STATISTICS)).toPandas().sort_values(["doc_id", "label"])  # at most ``most`` rows
     return fit(got[list(STATISTICS)].to_numpy(np.float64), got["label"].to_numpy(np.float64))
 
 

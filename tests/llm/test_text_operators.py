@@ -3,9 +3,11 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
 import re
 import time
+import unicodedata
 import zlib
 from collections import Counter
 from urllib.parse import quote, unquote
@@ -324,6 +326,32 @@ def test_quality(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
 
 
+def brute_statistics(text):
+    n, words, lines = max(len(text), 1), [w for w in re.split("[ \\t\\n\\x0b\\f\\r]+", text) if w], [x for x in text.split("\n") if x]
+    share = lambda test: sum(map(test, text)) / n
+    return [
+        math.log1p(len(text)), n / max(len(words), 1), share(lambda c: unicodedata.category(c) == "Lu"), share(lambda c: c in "0123456789"), share(lambda c: c in "#$%&*@^~+=<>\\{}[]_"), share(lambda c: c == "!"), share(lambda c: c == "|"),
+        share(lambda c: c in ".,;:?"), len(set(words)) / max(len(words), 1), len(set(lines)) / max(len(lines), 1), max(len(words), 1) / max(len(lines), 1),
+    ]
+
+
+def test_quality_statistics_equal_brute_force(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()] + [t for t in EDGES] + ["Ä1! | [x]_\\ {y}\n\n a\x0bb\u00a0c \U0001d400"]
+    df = documents(spark, texts).select("doc_id", *(c.alias(k) for k, c in quality_rules.statistics(F.coalesce("text", F.lit(""))).items())).orderBy("doc_id")
+    for text, row in zip(texts, df.collect(), strict=True):
+        assert [row[k] for k in quality_rules.STATISTICS] == pytest.approx(brute_statistics(text or ""), rel=1e-12)
+
+
+def test_fit_does_not_see_repeats(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    once = quality_rules.train(docs, labels)
+    assert once.rules
+    assert quality_rules.train(docs.union(docs).repartition(5), labels.union(labels).union(labels)) == once
+    hot = spark.range(5000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    model = quality_rules.train(hot, spark.createDataFrame([(1, 1), (1, 0), (None, 1)], "doc_id long, quality int"), most=10)
+    assert model.intercept == 0.0 or abs(model.intercept) < 1.0
+
+
 def test_rules_compile_to_columns(spark):
     rng = np.random.default_rng(0)
     x = rng.random((2000, len(quality_rules.STATISTICS)))
