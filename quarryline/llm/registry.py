@@ -13,7 +13,7 @@ from quarryline.llm.secret_scan import op7_secret_scan
 from quarryline.llm.sentencepiece_codec import op1_sentencepiece
 from quarryline.llm.sharding import OP12_SQL, op12_sharding
 from quarryline.llm.spot_signatures import op5_fingerprints
-from quarryline.llm.substring_dedup import op9_substring_dedup
+from quarryline.llm.substring_dedup import OP9_SQL, op9_substring_dedup
 from quarryline.llm.url_filter import OP6_SQL, op6_url_filter
 
 QUERIES = {
@@ -34,4 +34,4 @@ QUERIES = {
         op13_hard_negatives,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op6_url_filter": OP6_SQL, "op11_merkle_manifest": OP11_SQL, "op12_sharding": OP12_SQL, "op13_hard_negatives": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_url_filter": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op12_sharding": OP12_SQL, "op13_hard_negatives": OP13_SQL}

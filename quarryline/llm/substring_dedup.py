@@ -346,3 +346,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each whole document without the words of windows that documents with smaller ids have."""
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
+
+
+#: Words of all texts, windows by their words, and what the windows cover whose words start in an earlier document.
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place, len(words) AS n FROM d),
+p AS (SELECT doc_id, place, n, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) AS digest FROM w WHERE n >= 50),
+f AS (SELECT digest, min(doc_id) AS first FROM p WHERE place <= n - 49 GROUP BY digest),
+c AS (SELECT DISTINCT doc_id, unnest(range(place, place + 50)) AS place FROM p JOIN f USING (digest) WHERE place <= n - 49 AND doc_id > first),
+k AS (SELECT doc_id, count(c.place) AS n_removed, string_agg(word, ' ' ORDER BY place) FILTER (c.place IS NULL) AS kept FROM w LEFT JOIN c USING (doc_id, place) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
