@@ -290,3 +290,24 @@ def test_quality(spark):
 
 def test_taxonomy_text():
     assert list(tagging.load_taxonomy(json.dumps({"b": ["x"], "a": []}))) == ["b", "a"]
+
+
+def test_page_pairs_in_blocks_equal_those_row_by_row(spark, monkeypatch):
+    """Vectors null, empty, zero, of other lengths, with nulls or not finite, and copies: products of matrices give what single pairs do."""
+    odd = [None, [], [0.0, 0.0], [1.0, 2.0, 3.0], [None, 1.0], [float("nan"), 1.0], [float("inf"), 1.0], [0.3, 0.4], [0.3, 0.4], [-1.0, 2.0], [0.1, 0.9]]
+    data = [("AB"[i % 2], f"u{i}", ["x"] if i % 3 else ["y"], odd[i % 11]) for i in range(88)]
+    df = spark.createDataFrame(data, "site string, url string, life_events array<string>, embedding array<double>")
+    df = df.withColumns({"categories": F.array().cast("array<string>"), "keywords": F.array().cast("array<string>"), "out_link_tokens": F.array(F.lit("h.org"))})
+    pairs = lambda t, m: sorted(str(tuple(r)) for r in similarity.page_pairs(df, t, m, ["life_events"]).collect())
+    for threshold, metric in ((0.5, "combined"), (1.0, "embedding")):
+        monkeypatch.setattr(similarity, "FEW", 1 << 60)
+        single = pairs(threshold, metric)
+        monkeypatch.setattr(similarity, "FEW", 0)
+        monkeypatch.setattr(similarity, "BLOCK", 5)
+        assert single == pairs(threshold, metric) and len(single) > 100
+
+
+def test_page_pairs_of_large_classes_are_not_joined_row_by_row(spark):
+    df = spark.range(400).select(F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("site"), F.col("id").cast("string").alias("url"), F.array(F.lit("x")).alias("life_events"), *(F.array().cast("array<string>").alias(c) for c in ("categories", "keywords", "out_link_tokens")), F.array(F.col("id").cast("double"), F.lit(9.0)).alias("embedding"))
+    pairs = similarity.page_pairs(df, 0.9)
+    assert "FlatMapCoGroupsInArrow" in pairs._jdf.queryExecution().toString() and pairs.count() == sum((a * b + 81) / ((a * a + 81) * (b * b + 81)) ** 0.5 >= 2 / 3 for a in range(0, 400, 2) for b in range(1, 400, 2))
