@@ -62,13 +62,22 @@ def stream_csv(df: DataFrame, separator: str = "|") -> Iterator[str]:
         yield row["j"] + "\n"
 
 
-def similarity_export(pairs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Page pairs (a_url, b_url, scores) with either page's title and fragment count, and the events and categories that both have, joined by ``|``."""
-    of = lambda k: pages.select(F.col("url").alias(f"{k}_url"), F.col("title").alias(f"{k}_title"), F.coalesce("fragment_count", F.lit(0)).alias(f"{k}_fragments"), F.col("life_events").alias(f"_{k}e"), F.col("categories").alias(f"_{k}c"))
-    both = pairs.join(of("a"), "a_url", "left").join(of("b"), "b_url", "left")
-    shared = lambda c: F.coalesce(F.array_join(F.array_intersect(f"_a{c}", f"_b{c}"), "|"), F.lit(""))
+#: What an export needs of either page.
+EXPORTED = ("title", "fragment_count", "life_events", "categories")
+
+
+def similarity_export(pairs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Page pairs (a_url, b_url, scores) with either page's title and fragment count, and the events and categories that both have, joined by ``|``.
+
+    Without pages, pairs carry the columns ``EXPORTED`` of both sides (``page_pairs(carried=EXPORTED)``), so that no pair is shuffled.
+    """
+    if pages is not None:
+        of = lambda k: pages.select(*(F.col(c).alias(f"{k}_{c}") for c in ("url", *EXPORTED)))
+        pairs = pairs.join(of("a"), "a_url", "left").join(of("b"), "b_url", "left")
+    count = lambda k: F.coalesce(f"{k}_fragment_count", F.lit(0)).alias(f"{k}_fragments")
+    shared = lambda c: F.coalesce(F.array_join(F.array_intersect(f"a_{c}", f"b_{c}"), "|"), F.lit(""))
     scores = [c for c in ("score", "tag_sim", "emb_sim", "link_sim") if c in pairs.columns]
-    return both.select("a_url", "b_url", "a_title", "b_title", "a_fragments", "b_fragments", *scores, shared("e").alias("overlap_life_events"), shared("c").alias("overlap_categories"))
+    return pairs.select("a_url", "b_url", "a_title", "b_title", count("a"), count("b"), *scores, shared("life_events").alias("overlap_life_events"), shared("categories").alias("overlap_categories"))
 
 
 def link_graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
