@@ -111,3 +111,13 @@ def test_dot_segments_equal_brute_force(spark):
     cases = {"../w": "https://H.org/x/w", "./": "https://H.org/x/y/", "/a/../../b?c=/./d#/../e": "https://H.org/b?c=/./d#/../e", "http://o.org/a/..": "http://o.org/", "?k=/../": "https://H.org/x/y/z?k=/../", "g/..": "https://H.org/x/y/"}
     df = spark.createDataFrame([(k,) for k in cases], "h string").select(U.resolve(F.col("h"), F.lit(page)).alias("u"))
     assert [r.u for r in df.collect()] == list(cases.values())
+
+
+def test_journey_focus_counts_and_carries_no_list(spark):
+    graph = spark.createDataFrame([("a", "A", [20, 40], "Health"), ("b", "B", None, None), ("c", "C", None, "Other")], "id string, event_name string, typical_age_range array<int>, cluster string")
+    people = "id long, age int, income int, citizenship array<string>, residency_state string, employment_status string, housing_status string, current_life_events array<string>"
+    profiles = spark.createDataFrame([(1, 20, None, None, None, None, None, ["A", "B"]), (2, 70, None, None, None, None, None, None)], people)
+    found = G.journey_focus(graph, profiles)
+    view = {r.p_id: r for r in G.journey_view(graph, profiles).collect()}
+    assert {r.p_id: (r.life_stage, r.completeness, r.focus_point, r.events, r.clusters) for r in found.collect()} == {k: (r.life_stage, r.completeness, r.focus_point, 3, 2) for k, r in view.items()}
+    assert "collect_list" not in found._jdf.queryExecution().toString()
