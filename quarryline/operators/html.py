@@ -33,6 +33,10 @@ SCHEMA = (
 )
 
 
+#: Characters of HTML whose fragments a worker holds at once (of a longer page: that page's).
+SLICE = 2_000_000
+
+
 class Node:
     __slots__ = ("attrs", "children", "parent", "tag")
 
@@ -206,13 +210,21 @@ def page_rows(page: str, html: str) -> list[tuple]:
             heading = next((n.text() for n in node.walk() if n.tag in HEADINGS and n is not node), "") or node.attrs.get("aria-label") or "Important Information"
             inner = "".join(c.html() if isinstance(c, Node) else c for c in node.children)
             rows.append((page, len(rows), True, None, heading, None, page + text, text.strip(), inner, None, crumbs, crumbs[-1] if crumbs else heading, None, None, None, *_flags([node], True)))
+    for node in [*root.walk()]:  # without cycles the tree goes at once, not at some later collection
+        node.parent = None
     return rows
 
 
 def _run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     for part in parts:
-        rows = [r for page, html in zip(part["page"], part["html"], strict=True) for r in page_rows(page, html)]
+        rows, held = [], 0
+        for page, html in zip(part["page"], part["html"], strict=True):
+            rows += page_rows(page, html)
+            held += len(html or "")
+            if held >= SLICE:
+                yield pd.DataFrame(rows, columns=names)
+                rows, held = [], 0
         yield pd.DataFrame(rows, columns=names)
 
 

@@ -311,3 +311,14 @@ def test_page_pairs_of_large_classes_are_not_joined_row_by_row(spark):
     df = spark.range(400).select(F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("site"), F.col("id").cast("string").alias("url"), F.array(F.lit("x")).alias("life_events"), *(F.array().cast("array<string>").alias(c) for c in ("categories", "keywords", "out_link_tokens")), F.array(F.col("id").cast("double"), F.lit(9.0)).alias("embedding"))
     pairs = similarity.page_pairs(df, 0.9)
     assert "FlatMapCoGroupsInArrow" in pairs._jdf.queryExecution().toString() and pairs.count() == sum((a * b + 81) / ((a * a + 81) * (b * b + 81)) ** 0.5 >= 2 / 3 for a in range(0, 400, 2) for b in range(1, 400, 2))
+
+
+def test_fragments_come_in_slices_of_bounded_text(monkeypatch):
+    import pandas as pd
+
+    pages = pd.DataFrame({"page": [f"u{i}" for i in range(50)], "html": [f"<main><h1>t{i}</h1><p>{'x ' * 500}</p></main>" for i in range(50)]})
+    same = ["page", "pos", "title", "content_text", "content_html"]
+    whole = pd.concat(html._run(iter([pages])))
+    monkeypatch.setattr(html, "SLICE", 5000)
+    parts = list(html._run(iter([pages])))
+    assert len(parts) > 9 and max(map(len, parts)) <= 5 and pd.concat(parts)[same].values.tolist() == whole[same].values.tolist()
