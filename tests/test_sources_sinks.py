@@ -1,11 +1,13 @@
 """Sources, sinks, the stream and the entry points."""
 
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from quarryline.plans import catalog
 from quarryline.sources import readers, sinks
 from quarryline.streaming import upserts
 
@@ -91,3 +93,26 @@ def test_queries_equal_their_oracles(spark, name):
     got = __spark_entry__.queries()[name](spark, d).toPandas()
     key = lambda df: sorted(map(repr, df[sorted(df.columns)].astype(object).where(df.notna(), None).values.tolist()))
     assert sorted(got.columns) == sorted(want.columns) and key(got) == key(want)
+
+
+def test_prune_stale_takes_the_day_of_the_nearest_second(spark, tmp_path):
+    """As its SQL, where epoch(ts)::BIGINT rounds: the last half second of a day is of the next."""
+    kinds = (("2024-01-01 23:59:59.6", "kept"), ("2024-01-01 23:59:59.4", "dropped"), ("2024-01-08 12:00:00", "other"), ("2024-01-08 23:59:59.5", "last"))
+    for zone in ("timestamp_ntz", "timestamp"):
+        spark.createDataFrame(kinds, "t string, event_type string").select(F.col("t").cast(zone).alias("ts"), "event_type").write.parquet(f"{tmp_path}/{zone}/events.parquet")
+        assert {r.event_type for r in catalog.prune_stale(spark, f"{tmp_path}/{zone}").collect()} == {"kept", "other", "last"}
+
+
+def test_frontier_of_pages_with_one_url_does_not_depend_on_their_order(spark):
+    pages = [("https://h.org/p", f'<a href="/{k}">x</a>') for k in "cabd"]
+    for rows in (pages, pages[::-1]):
+        df = spark.createDataFrame(rows, "url string, html string").coalesce(1)
+        assert [r["link"][-1] for r in readers.frontier(df, 2).orderBy("link").collect()] == ["a", "b"]
+
+
+def test_html_fragments_leaves_cut_off_references(spark, tmp_path):
+    """As its SQL: a reference without its semicolon is text."""
+    html = "<html><body><article><h1>a&amp;&amp</h1><p>b &lt &lt;c&amp;lt &quot</p></article></body></html>"
+    spark.createDataFrame([(0, "https://h.org/p", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    row = catalog.html_fragments(spark, str(tmp_path)).first()
+    assert row.title == "a&&amp" and row.id == hashlib.md5(b"https://h.org/pa&&ampb &lt <c&lt &quot").hexdigest()
