@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from quarryline.operators import similarity
 from quarryline.plans import catalog
 from quarryline.sources import readers, sinks
 from quarryline.streaming import upserts
@@ -116,3 +117,12 @@ def test_html_fragments_leaves_cut_off_references(spark, tmp_path):
     spark.createDataFrame([(0, "https://h.org/p", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     row = catalog.html_fragments(spark, str(tmp_path)).first()
     assert row.title == "a&&amp" and row.id == hashlib.md5(b"https://h.org/pa&&ampb &lt <c&lt &quot").hexdigest()
+
+
+def test_pairs_that_carry_their_pages_export_as_joined_ones(spark):
+    data = [("AB"[i % 2], f"u{i}", ["x"], ["m", "n"][: i % 3], [1.0, float(i)], f"t{i}", None if i == 3 else i) for i in range(8)]
+    df = spark.createDataFrame(data, "site string, url string, life_events array<string>, categories array<string>, embedding array<double>, title string, fragment_count int")
+    df = df.withColumns({"keywords": F.array().cast("array<string>"), "out_link_tokens": F.array(F.lit("h.org"))})
+    carried = sinks.similarity_export(similarity.page_pairs(df, carried=sinks.EXPORTED))
+    joined = sinks.similarity_export(similarity.page_pairs(df), df)
+    assert sorted(map(tuple, carried.collect())) == sorted(map(tuple, joined.collect())) and carried.count() > 3 and carried.columns == joined.columns
