@@ -1,6 +1,7 @@
 """Hand-written rows for each operator."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,6 +182,32 @@ def test_similarity(spark):
     assert (r["tag_sim"], r["emb_sim"], r["link_sim"], r["score"]) == (0.333, 0.707, 1.0, 0.579)
 
 
+def test_classes_meet_once_in_blocks_and_no_pair_is_lost(spark, monkeypatch):
+    """Sets of all sizes, some alike, some copies, some empty, against all pairs compared one by one; a pair leaves one block only."""
+    monkeypatch.setattr(similarity, "SET_BLOCK", 9)
+    monkeypatch.setattr(similarity, "STEP", 4)
+    monkeypatch.setattr(similarity, "PAIRS", 7)
+    rng, rows = random.Random(5), []
+    for k in range(90):
+        if k % 3 and rows:
+            title, content = (list(x) for x in rows[rng.randrange(len(rows))][1:])
+            title, content = ([w for w in x if rng.random() > 0.2] + [f"n{rng.randrange(9)}" for _ in range(rng.randrange(3))] for x in (title, content))
+        else:
+            title, content = ([f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(m))] for m in (7, 60))
+        rows.append((k, title, content))
+    df = spark.createDataFrame(
+        [("AB"[rng.randrange(2)], str(k), f"https://h/{k}", " ".join(t), " ".join(c), None, [], []) for k, t, c in rows],
+        "site string, id string, url string, title string, content_text string, content_html string, life_events array<string>, categories array<string>",
+    ).cache()
+    sims = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+    side = {r["id"]: r["site"] for r in df.select("id", "site").collect()}
+    metrics = {"combined": lambda t, c: 0.4 * t + 0.5 * c + 0.1 * 1.0, "title": lambda t, c: t, "content": lambda t, c: c}
+    for metric, threshold in (("combined", 0.55), ("title", 0.5), ("content", 0.6)):
+        found = [(r["a_id"], r["b_id"]) for r in similarity.fragment_pairs(df, threshold, metric, ignore_generic=False).collect()]
+        wanted = [(str(i), str(j)) for i, t, c in rows for j, u, d in rows if side[str(i)] == "A" and side[str(j)] == "B" and metrics[metric](sims(set(t), set(u)), sims(set(c), set(d))) >= threshold]
+        assert wanted and sorted(found) == sorted(wanted)
+
+
 def test_similar_contents_without_a_title_token(spark):
     """Candidates by content do not depend on the order or number of tokens; whole texts can be compared."""
     words = [f"word{i:03d}" for i in range(200)]
