@@ -4,12 +4,12 @@ The index is a folder of Parquet tables, written in segments:
 
     postings/segment=/bucket=   token, field, key, positions; sorted by token in each bucket of tokens
     tokens/segment=             token, field, bucket, df: the vocabulary, sorted by token
-    edits/segment=/bucket=      variant, token: what is left of a token's first letters without one or two of them
+    heads/segment=/bucket=      variant, head: what is left of the first letters of tokens without one or two of them
     keys/segment=               the keys that a segment has anew or has removed
     commits/segment=,base=      markers, written last: what is not committed, or lies before the last base, is not read
 
 A search looks up the query's words in the vocabulary (equal, by prefix as a range of
-the sorted tokens, within some typos by shared variants), and then reads only
+the sorted tokens, within some typos by shared variants of first letters), and then reads only
 the buckets of the tokens found; scores are those of ``search.matches``. A bucket that is
 too large for a task is split when it is written, so no token is too common.
 
@@ -61,13 +61,14 @@ _DELETIONS = [(_NONE, _NONE), *((i, _NONE) for i in range(1, EDIT_PREFIX + 1)),
 
 
 def _edits(tokens: DataFrame) -> DataFrame:
-    """token and variant, for tokens(token)."""
-    each = tokens.select("token", F.substring("token", 1, EDIT_PREFIX).alias("p"), F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _DELETIONS))).alias("d"))
-    there = lambda c: (F.col(c) == _NONE) | (F.col(c) <= F.length("p"))
-    part = lambda a, n: F.substring(F.col("p"), a, n)
+    """head and variant, once for all tokens(token) that begin with the same letters: there are far fewer heads than tokens, and the more texts, the fewer new ones."""
+    heads = tokens.select(F.substring("token", 1, EDIT_PREFIX).alias("head")).distinct()
+    each = heads.select("head", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _DELETIONS))).alias("d"))
+    there = lambda c: (F.col(c) == _NONE) | (F.col(c) <= F.length("head"))
+    part = lambda a, n: F.substring(F.col("head"), a, n)
     i, j = F.col("d.i"), F.col("d.j")
     variant = F.concat(part(F.lit(1), i - 1), part(i + 1, F.greatest(j - i - 1, F.lit(0))), part(j + 1, F.lit(EDIT_PREFIX)))
-    return each.where(there("d.i") & there("d.j")).select("token", variant.alias("variant"))
+    return each.where(there("d.i") & there("d.j")).select("head", variant.alias("variant"))
 
 
 def _with_positions(rows: DataFrame, key: str, column: str) -> DataFrame:
@@ -117,7 +118,7 @@ class Index:
         self._commit(n, n)
         for old in earlier:
             self._forget(old)
-            for name in ("postings", "tokens", "edits", "keys"):
+            for name in ("postings", "tokens", "heads", "keys"):
                 remove(self.spark, f"{self.path}/{name}/segment={old:09d}")
         return n
 
@@ -131,9 +132,8 @@ class Index:
         written = self.spark.read.schema(postings.schema).parquet(where("postings"))
         counts = written.groupBy("token", "field", "bucket").agg(F.count("*").alias("df"))
         counts.orderBy("token").write.mode("overwrite").parquet(where("tokens"))
-        tokens = self.spark.read.parquet(where("tokens")).select("token").distinct()
-        edits = _edits(tokens).withColumn("bucket", self._bucket("variant"))
-        edits.hint("rebalance", "bucket").sortWithinPartitions("bucket", "variant").write.mode("overwrite").partitionBy("bucket").parquet(where("edits"))
+        edits = _edits(self.spark.read.parquet(where("tokens"))).withColumn("bucket", self._bucket("variant"))
+        edits.hint("rebalance", "bucket").sortWithinPartitions("bucket", "variant").write.mode("overwrite").partitionBy("bucket").parquet(where("heads"))
 
     def _write_keys(self, keys: DataFrame, n: int) -> None:
         keys.distinct().write.mode("overwrite").parquet(f"{self.path}/keys/segment={n:09d}")
@@ -169,7 +169,7 @@ class Index:
 
     def _schema(self, name: str) -> str:
         """Given to the reader, so that it opens no file for it and empty tables have it too."""
-        kept = {"tokens": "token string, field int, bucket int, df long", "edits": "token string, variant string, bucket int"}
+        kept = {"tokens": "token string, field int, bucket int, df long", "heads": "head string, variant string, bucket int"}
         return kept.get(name, f"{self.key} {self.kind}" + ", token string, field int, positions array<int>, bucket int" * (name == "postings")) + ", segment int"
 
     def _live(self, rows: DataFrame) -> DataFrame:
@@ -193,9 +193,11 @@ class Index:
             if most := allowed_typos(word, typos):
                 shared = sorted(variants(word, most))
                 where = self.spark.sql("SELECT 1").select(F.explode(F.array(*map(F.lit, shared))).alias("v")).select(self._bucket("v")).distinct().collect()
-                near = self._read("edits", [r[0] for r in where])
+                near = self._read("heads", [r[0] for r in where])
                 if near is not None:
-                    found.append(at(near.where(F.col("variant").isin(shared)).where(F.levenshtein("token", F.lit(word), most) >= 0), TYPO))
+                    heads = near.where(F.col("variant").isin(shared)).select("head")
+                    begun = vocabulary.join(heads, F.substring("token", 1, EDIT_PREFIX) == F.col("head"), "left_semi")
+                    found.append(at(begun.where(F.levenshtein("token", F.lit(word), most) >= 0), TYPO))
         return reduce(DataFrame.unionByName, found).groupBy("term", "token", "bucket").agg(F.max("q").alias("q"))
 
     def postings_of(self, matched: DataFrame) -> DataFrame:

@@ -116,3 +116,13 @@ def test_words_within_two_typos_share_a_variant():
             at = rng.randrange(len(b) + 1)
             b[at : at + rng.randint(0, 1)] = rng.choice(["", rng.choice("abcd")])
         assert variants(a) & variants("".join(b))
+
+
+def test_variants_are_kept_once_for_tokens_that_begin_alike(spark):
+    """Long words with few beginnings: the table of variants grows with the beginnings, and all words are found within their typos."""
+    rows = {i: (None, f"medicare{i:03d}x carers{i % 2}") for i in range(300)}
+    index = index_of(spark, rows, buckets=4)
+    assert spark.read.parquet(f"{index.path}/heads").count() <= 3 * 37
+    for query in ("medicare007x", "medicaer107x", "edicare20x"):
+        want = scores(S.matches(frame(spark, rows), "id", query, ("title", "body"), 2, False))
+        assert want and scores(index.matches(query, 2, False)) == want
