@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,6 +56,22 @@ def load_taxonomy(text: str) -> dict:
     return json.loads(text)
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), c computed once: rules that come one after the other would each compute it again."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def phrases(pattern: str) -> list[str]:
+    """The texts that a pattern of letters, spaces, (a|b) and (a)? stands for, without those that contain another one."""
+    found = set()
+    for each in re.split(r"\|(?![^()]*\))", pattern):
+        parts = re.split(r"(\([^()]*\)\??)", each)
+        found |= {"".join(x) for x in product(*([*p.rstrip("?").strip("()").split("|"), *([""] if p.endswith("?") else [])] if p.startswith("(") else [p] for p in parts))}
+    if not all(re.fullmatch("[a-z ]+", x) for x in found):
+        raise ValueError(f"not a pattern of words: {pattern}")
+    return sorted(x for x in found if not any(y != x and y in x for y in found))
+
+
 def hits(content: Column, keywords: Sequence[str]) -> Column:
     """How many of the keywords content has; one listed twice counts twice."""
     return sum((F.when(F.contains(content, F.lit(k)), 1).otherwise(0) for k in keywords), F.lit(0))
@@ -70,14 +87,13 @@ def labels(content: Column, taxonomy: Keywords, at_least: int = 2) -> Column:
 
 
 def categories(content: Column, taxonomy: Keywords) -> Column:
-    return labels(F.lower(content), taxonomy)
+    return once(F.lower(content), lambda c: labels(c, taxonomy))
 
 
 def life_events(content: Column, taxonomy: Keywords) -> Column:
     """Events with two hits, or one by a keyword of more than six characters."""
-    content = F.lower(content)
-    fits = lambda ks: (hits(content, ks) >= 2) | ((hits(content, ks) == 1) & has_any(content, [k for k in ks if len(k) > 6]))
-    return compact(*(F.when(fits(ks), F.lit(event)) for event, ks in taxonomy.items()))
+    fits = lambda c, ks: (hits(c, ks) >= 2) | ((hits(c, ks) == 1) & has_any(c, [k for k in ks if len(k) > 6]))
+    return once(F.lower(content), lambda c: compact(*(F.when(fits(c, ks), F.lit(event)) for event, ks in taxonomy.items())))
 
 
 def event_score(content: Column, keywords: Sequence[str]) -> Column:
@@ -97,8 +113,7 @@ def primary_life_event(content: Column, events: Column, taxonomy: Keywords) -> C
 
 def first_label(content: Column, taxonomy: Keywords, default: str | None = None) -> Column:
     """The first label with a keyword in content."""
-    content = F.lower(content)
-    return F.coalesce(*(F.when(has_any(content, ks), F.lit(label)) for label, ks in taxonomy.items()), F.lit(default).cast("string"))
+    return once(F.lower(content), lambda c: F.coalesce(*(F.when(has_any(c, ks), F.lit(label)) for label, ks in taxonomy.items()), F.lit(default).cast("string")))
 
 
 def stage(content: Column, primary: Column, stages: Mapping[str, Keywords]) -> Column:
@@ -112,7 +127,10 @@ def stage_variant(content: Column, primary: Column, variants: Mapping[str, Keywo
 
 def provider(url: Column, content: Column, taxonomy: Mapping[str, Keywords] | None = None) -> Column:
     """struct(governance, provider): by domain, then the taxonomy ({governance: {provider: patterns}}), then words, then the domain's end."""
-    low, content = F.lower(url), F.lower(content)
+    return once(F.lower(content), lambda c: once(F.lower(url), lambda low: _provider(url, low, c, taxonomy)))
+
+
+def _provider(url: Column, low: Column, content: Column, taxonomy: Mapping[str, Keywords] | None) -> Column:
     of = lambda governance, name: F.struct(F.lit(governance).alias("governance"), (name if isinstance(name, Column) else F.lit(name)).alias("provider"))
     rules = [(F.contains(low, F.lit(h)), of("Federal Government", name)) for h, name in PROVIDER_HOSTS.items()]
     for governance, providers in (taxonomy or {}).items():
@@ -128,7 +146,10 @@ def provider(url: Column, content: Column, taxonomy: Mapping[str, Keywords] | No
 
 def states(url: Column, content: Column) -> Column:
     """State codes by domain and phrase; National for federal sites and where none is found."""
-    low, content = F.lower(url), F.lower(content)
+    return once(F.lower(content), lambda c: once(F.lower(url), lambda low: _states(url, low, c)))
+
+
+def _states(url: Column, low: Column, content: Column) -> Column:
     in_url = {code: F.contains(low, F.lit(f".{code.lower()}.gov.au")) for code in STATES}
     by_url = compact(*(F.when(c, F.lit(code)) for code, c in in_url.items()))
     phrases = lambda code, name: [p.lower() for n in (code, name) for p in (f"{n} residents", f"{n} government", f"in {n}", f"{n} only")]
@@ -147,8 +168,9 @@ def task_order(html: Column) -> Column:
 
 def stress_weight(text: Column) -> Column:
     """The weight of the first rule that fits; 0 without."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return reduce(lambda a, r: a.when(low.rlike(r[0]), r[1]), STRESS_RULES[1:], F.when(low.rlike(STRESS_RULES[0][0]), STRESS_RULES[0][1])).otherwise(0)
+    rules = [(phrases(p), weight) for p, weight in STRESS_RULES]
+    first = lambda low: reduce(lambda a, r: a.when(has_any(low, r[0]), r[1]), rules[1:], F.when(has_any(low, rules[0][0]), rules[0][1])).otherwise(0)
+    return once(F.lower(F.coalesce(text, F.lit(""))), first)
 
 
 def stress_score(events: Column, stage_: Column, variant: Column, title: Column, content: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -349,3 +350,15 @@ def test_fragments_come_in_slices_of_bounded_text(monkeypatch):
     monkeypatch.setattr(html, "SLICE", 5000)
     parts = list(html._run(iter([pages])))
     assert len(parts) > 9 and max(map(len, parts)) <= 5 and pd.concat(parts)[same].values.tolist() == whole[same].values.tolist()
+
+
+def test_rules_over_texts_read_the_lower_case_text_once(spark):
+    """Phrases say what the rules' patterns say, and a rule does not compute the lower-case text again."""
+    rng, words = random.Random(3), " ".join(p for p, _ in tagging.STRESS_RULES).translate(str.maketrans("()|?", "    ")).split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(9))).upper() for _ in range(300)] + [x for p, _ in tagging.STRESS_RULES for x in tagging.phrases(p)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    wanted = [next((w for p, w in tagging.STRESS_RULES if re.search(p, (t or "").lower())), 0) for t in texts]
+    assert [r[0] for r in df.select(tagging.stress_weight(F.col("text"))).collect()] == wanted and len(set(wanted)) > 9
+    c = F.col("text")
+    for column in (tagging.stress_weight(c), tagging.provider(c, c), tagging.states(c, c), tagging.life_events(c, {"a": ("x", "y"), "b": ("z",)})):
+        assert df.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("lower(") <= 2
