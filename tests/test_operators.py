@@ -209,6 +209,36 @@ def test_classes_meet_once_in_blocks_and_no_pair_is_lost(spark, monkeypatch):
         assert wanted and sorted(found) == sorted(wanted)
 
 
+def test_pairs_of_pages_are_counted_where_classes_meet(spark, monkeypatch):
+    """The same rows as from all pairs, with copies on several pages, an id that stands twice, and tokens beyond the frequent ones."""
+    for name, value in (("SET_BLOCK", 9), ("STEP", 4), ("PAIRS", 7), ("FREQUENT", 15)):
+        monkeypatch.setattr(similarity, name, value)
+    rng, rows = random.Random(8), []
+    for k in range(80):
+        words = [f"w{rng.randrange(40)}" for _ in range(rng.randrange(1, 25))] if k % 4 == 0 else [w for w in rows[-1][4].split() if rng.random() > 0.1]
+        rows.append(("AB"[rng.randrange(2)], str(k if k % 9 else 0), f"https://h/{rng.randrange(4)}", " ".join(words[:5]), " ".join(words)))
+    df = spark.createDataFrame(rows, "site string, id string, url string, title string, content_text string").cache()
+    df = df.withColumns({"content_html": F.lit(None).cast("string"), "life_events": F.array().cast("array<string>"), "categories": F.array().cast("array<string>")})
+    wanted = similarity.page_overlap(similarity.fragment_pairs(df, ignore_generic=False), df).collect()
+    assert len(wanted) > 9 and sum(r["match_count"] for r in wanted) > 50
+    found = similarity.fragment_page_overlap(df, ignore_generic=False)
+    assert found.collect() == wanted
+
+
+def test_coded_sets_keep_all_tokens():
+    """Frequent tokens take 16 bits, others keep their hashes; what is shared stays so."""
+    pa = similarity.pa
+    known = similarity.np.sort(similarity.np.array([-(1 << 62), -5, 3, 9, 1 << 62]))
+    sets = pa.array([[-(1 << 62), -7, 3, 11], [], [-8, 9, 1 << 62], [-7, 3, 4, 11]], pa.list_(pa.int64()))
+    codes, others = similarity._coded(sets, known)
+    assert codes.type == pa.list_(pa.int16()) and codes.to_pylist() == [[1, 3], [], [4, 5], [3]]
+    both = similarity._Sets(codes, others)
+    assert both.n.tolist() == [4, 0, 3, 4]
+    i, j = similarity.np.divmod(similarity.np.arange(16), 4)
+    want = [len(set(x) & set(y)) for x in sets.to_pylist() for y in sets.to_pylist()]
+    assert similarity._shared(both, both, i, j).tolist() == want
+
+
 def test_similar_contents_without_a_title_token(spark):
     """Candidates by content do not depend on the order or number of tokens; whole texts can be compared."""
     words = [f"word{i:03d}" for i in range(200)]
