@@ -232,7 +232,8 @@ def test_coded_sets_keep_all_tokens():
     sets = pa.array([[-(1 << 62), -7, 3, 11], [], [-8, 9, 1 << 62], [-7, 3, 4, 11]], pa.list_(pa.int64()))
     codes, others = similarity._coded(sets, known)
     assert codes.type == pa.list_(pa.int16()) and codes.to_pylist() == [[1, 3], [], [4, 5], [3]]
-    both = similarity._Sets(codes, others)
+    rank = similarity.np.array([0, 5, 4, 3, 2, 1])
+    both = similarity._Sets(codes, others, similarity.np.unique(others.flatten().to_numpy()), rank)
     assert both.n.tolist() == [4, 0, 3, 4]
     i, j = similarity.np.divmod(similarity.np.arange(16), 4)
     want = [len(set(x) & set(y)) for x in sets.to_pylist() for y in sets.to_pylist()]
