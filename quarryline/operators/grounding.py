@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.functions import text as T
 from quarryline.operators import search as S
 from quarryline.operators.tagging import has_any
 
@@ -23,6 +25,24 @@ def claim_terms(claim: Column) -> Column:
     return F.filter(F.split(F.lower(claim), r"\s+"), lambda t: F.length(t) > 3)
 
 
+#: Documents of a part at most, about: a task counts the claims that share a token with each of them.
+PART = 2048
+
+
+def best_hits(claims: DataFrame, docs: DataFrame, most: int = 10) -> DataFrame:
+    """The documents (id, content_text) that share the most tokens with each claim (claim_id, claim), with that number as n; ties to the smaller id.
+
+    Almost every document shares a token with many claims, so the documents are dealt by id to as many parts as their number asks for: what a
+    task counts and sorts doesn't grow with the table, and only the best of each part are shuffled.
+    That holds while Spark broadcasts the claims' tokens by their size. Larger ones meet by token, and the counts are then shuffled.
+    """
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(docs.count() / PART))
+    dealt = docs.repartition(parts, "id")
+    asked = claims.select("claim_id", F.explode(T.token_set(F.col("claim"))).alias("token"))
+    counts = dealt.select("id", F.explode(T.token_set(F.col("content_text"))).alias("token")).join(asked, "token").groupBy("claim_id", "id").agg(F.count("*").alias("n"))
+    return S.top_per_group(counts, ["claim_id"], [F.desc("n"), F.asc("id")], most).join(dealt, "id")
+
+
 def overlap(claims: DataFrame, hits: DataFrame) -> DataFrame:
     """Evidence rows: claims (claim_id, claim) beside hits (claim_id, id, title, content_text, ...), with relevance and excerpt; overlaps of 0.3 or less are out."""
     rows = hits.join(claims.select("claim_id", claim_terms(F.col("claim")).alias("terms")), "claim_id").where(F.size("terms") > 0)

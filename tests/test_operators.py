@@ -225,6 +225,19 @@ def test_pairs_of_pages_are_counted_where_classes_meet(spark, monkeypatch):
     assert found.collect() == wanted
 
 
+def test_claims_are_counted_in_parts_of_documents(spark, monkeypatch):
+    """The hits are those of a plain count, and there are as many parts as the documents ask for."""
+    monkeypatch.setattr(grounding, "PART", 3)
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(30)}" for _ in range(n))
+    docs, claims = [(k, text(12)) for k in range(60)], [(k, text(6)) for k in range(7)]
+    hits = grounding.best_hits(spark.createDataFrame(claims, "claim_id int, claim string"), spark.createDataFrame(docs, "id int, content_text string"), 4)
+    shared = {c: sorted((-len(set(x.split()) & set(y.split())), k) for k, y in docs if set(x.split()) & set(y.split()))[:4] for c, x in claims}
+    assert sorted((r["claim_id"], -r["n"], r["id"]) for r in hits.collect()) == sorted((c, n, k) for c, found in shared.items() for n, k in found)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "20), REPARTITION_BY_NUM" in plan
+
+
 def test_coded_sets_keep_all_tokens():
     """Frequent tokens take 16 bits, others keep their hashes; what is shared stays so."""
     pa = similarity.pa
