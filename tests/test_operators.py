@@ -326,6 +326,18 @@ def test_profiles(spark, life):
     assert profile.profile_facets({"residency_state": "NSW", "current_life_events": ["E"]}, {"state": "VIC"}) == {"state": "VIC", "life_event": "E"}
 
 
+def test_all_services_that_fit_are_scored(spark):
+    """A profile that fits more than 250 documents has all of them, and its most relevant may have any id."""
+    docs = spark.range(600).select(
+        "id", F.lit(1).alias("min_age"), F.lit(99).alias("max_age"), F.lit(0).alias("min_income"), F.lit(5000).alias("max_income"), F.array().cast("array<string>").alias("required_citizenship"),
+        F.array(F.lit("E")).alias("life_events"), F.array().cast("array<string>").alias("prerequisite_states"), F.when(F.col("id") == 599, 90).otherwise(10).alias("urgency_score"),
+    )
+    people = spark.createDataFrame([(p, 30, 1000, None, [], "NSW", [], "student", None, True, [], ["E"], []) for p in "pq"], profile.PROFILE_DDL)
+    got = profile.eligible_services(docs, people).select("p_id", "id", "rank").collect()
+    assert sorted((r["p_id"], r["id"]) for r in got) == [(p, k) for p in "pq" for k in range(600)]
+    assert [r["id"] for r in got if r["rank"] == 1] == [599, 599]
+
+
 def test_services(spark):
     c = F.col("c")
     for url, key in (("/services/payments/Age-Pension/x", "payments-age-pension"), ("/benefits/carer", "carer"), ("/x", None)):
