@@ -271,6 +271,19 @@ def test_similar_contents_without_a_title_token(spark):
     assert {("1", "2"), ("5", "6")} <= set(pairs())
 
 
+def _long_texts(spark):
+    """Fragments 1 and 2 are alike in their first 4,000 characters only, 3 and 4 as a whole but not there."""
+    ends, starts = [" ".join(f"{k}{i:03d}" for i in range(300)) for k in "ab"], ["shared " * 600, *(" ".join(f"{k}{i}" for i in range(70)) + " pad" * 1100 for k in "cd")]
+    data = [("A", "1", "Alpha", starts[0] + ends[0]), ("B", "2", "Beta", starts[0] + ends[1]), ("A", "3", "Gamma", f"{starts[1]} {' '.join(ends)}"), ("B", "4", "Delta", f"{starts[2]} {' '.join(ends)}")]
+    df = spark.createDataFrame([(s, i, f"https://{i}.org/", t, c) for s, i, t, c in data], "site string, id string, url string, title string, content_text string")
+    return df.withColumns({"content_html": F.lit(None).cast("string"), "life_events": F.array().cast("array<string>"), "categories": F.array().cast("array<string>")})
+
+
+def test_pairs_come_from_whole_texts(spark):
+    found = similarity.fragment_pairs(_long_texts(spark)).collect() + similarity.fragment_pairs(_long_texts(spark), metric="content").collect()
+    assert [(r["a_id"], r["b_id"], r["content_sim"]) for r in found if r["content_sim"] > 0.5] == [("3", "4", 0.811)]
+
+
 @pytest.fixture(scope="module")
 def life(spark):
     data = [("birth", "Birth", [], ["school"], [], [0, 1], "Family", 1.0), ("school", "School", ["birth", "gone"], ["work"], ["house"], [5, 18], "Education", 2.0), ("work", "Work", ["school", "birth"], ["house"], [], [16, 70], None, 3.0), ("house", "House", ["work"], ["gone"], ["work"], [20, 60], "Family", 4.0)]
