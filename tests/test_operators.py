@@ -284,6 +284,11 @@ def test_pairs_come_from_whole_texts(spark):
     assert [(r["a_id"], r["b_id"], r["content_sim"]) for r in found if r["content_sim"] > 0.5] == [("3", "4", 0.811)]
 
 
+def test_page_overlap_comes_from_whole_texts(spark):
+    found = similarity.fragment_page_overlap(_long_texts(spark), metric="content").collect()
+    assert [(r["a_page"], r["b_page"], r["max_score"]) for r in found] == [("https://3.org/", "https://4.org/", 0.811)]
+
+
 @pytest.fixture(scope="module")
 def life(spark):
     data = [("birth", "Birth", [], ["school"], [], [0, 1], "Family", 1.0), ("school", "School", ["birth", "gone"], ["work"], ["house"], [5, 18], "Education", 2.0), ("work", "Work", ["school", "birth"], ["house"], [], [16, 70], None, 3.0), ("house", "House", ["work"], ["gone"], ["work"], [20, 60], "Family", 4.0)]
