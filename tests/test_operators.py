@@ -289,6 +289,24 @@ def test_page_overlap_comes_from_whole_texts(spark):
     assert [(r["a_page"], r["b_page"], r["max_score"]) for r in found] == [("https://3.org/", "https://4.org/", 0.811)]
 
 
+def test_no_class_is_copied_and_no_pair_shuffled(spark, monkeypatch):
+    """Blocks meet in a cartesian product without a shuffle after it; the rows of a class with many stand in several entries, repeated and null ids with them."""
+    monkeypatch.setattr(similarity, "SET_BLOCK", 3)
+    monkeypatch.setattr(similarity, "MEMBERS", 4)
+    rng = random.Random(5)
+    data = [("AB"[i % 2], None if i == 9 else i // 3, f"https://{i % 5}.org/", f"Report {i % 4}", " ".join(f"w{rng.randrange(12)}" for _ in range(9)) if i % 3 else "same words here") for i in range(60)]
+    df = spark.createDataFrame(data, "site string, id int, url string, title string, content_text string")
+    df = df.withColumns({"content_html": F.lit(None).cast("string"), "life_events": F.array().cast("array<string>"), "categories": F.array().cast("array<string>")})
+    sets = [(s, i, set(t.lower().split()), set(c.split())) for s, i, _, t, c in data]
+    alike = lambda x, y: len(x & y) / len(x | y)
+    key = lambda x, y: (-1 if x is None else x, -1 if y is None else y)
+    wanted = sorted(key(a[1], b[1]) for a in sets for b in sets if a[0] == "A" and b[0] == "B" and 0.4 * alike(a[2], b[2]) + 0.5 * alike(a[3], b[3]) + 0.1 >= 0.55)
+    found = similarity.fragment_id_pairs(df)
+    assert sorted(key(r["a_id"], r["b_id"]) for r in found.collect()) == wanted == sorted(key(r["a_id"], r["b_id"]) for r in similarity.fragment_pairs(df).collect())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
 @pytest.fixture(scope="module")
 def life(spark):
     data = [("birth", "Birth", [], ["school"], [], [0, 1], "Family", 1.0), ("school", "School", ["birth", "gone"], ["work"], ["house"], [5, 18], "Education", 2.0), ("work", "Work", ["school", "birth"], ["house"], [], [16, 70], None, 3.0), ("house", "House", ["work"], ["gone"], ["work"], [20, 60], "Family", 4.0)]
